@@ -7,6 +7,8 @@ from importlib import import_module
 #: Module and query of each operator; both have the same name.
 OPERATORS = (
     "op2_sharding",
+    "op3_packing",
+    "op8_ngram_jaccard",
     "op9_quality_rules",
 )
 
