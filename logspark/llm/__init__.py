@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: Module and query of each operator; both have the same name.
 OPERATORS = (
+    "op1_line_dedup",
     "op2_sharding",
     "op3_packing",
     "op8_ngram_jaccard",

@@ -7,6 +7,7 @@ executor never takes the only copy of an intermediate result with it.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -97,3 +98,9 @@ def with_defaults(docs: DataFrame, **kinds: str) -> DataFrame:
     return docs.select(
         *[(docs[f"`{c}`"] if c in docs.columns else F.lit(None)).cast(k).alias(c) for c, k in kinds.items()]
     )
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of finished steps now rather than at some later collection."""
+    gc.collect()
+    spark._jvm.System.gc()
