@@ -9,6 +9,7 @@ OPERATORS = (
     "op1_line_dedup",
     "op2_sharding",
     "op3_packing",
+    "op4_mixing",
     "op8_ngram_jaccard",
     "op9_quality_rules",
 )

@@ -106,7 +106,11 @@ def measure(docs: DataFrame) -> DataFrame:
 
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
     found = docs.select(F.col("doc_id").cast("bigint"), lang.cast("string").alias("lang"), F.col("text").cast("string")).mapInArrow(run, schema)
-    return found.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
+    return with_base(found)
+
+
+def with_base(measured: DataFrame) -> DataFrame:
+    return measured.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
 
 
 def upper_bound(k: int, n: int, delta: float) -> float:
@@ -114,9 +118,12 @@ def upper_bound(k: int, n: int, delta: float) -> float:
     if k >= n:
         return 1.0
 
+    i = np.arange(1, k + 1)
+    choose = np.concatenate(([0.0], np.cumsum(np.log((n - i + 1) / i))))
+    i = np.arange(k + 1)
+
     def below(p: float) -> float:
-        logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(k + 1)]
-        return math.fsum(map(math.exp, logs))
+        return float(np.exp(choose + i * math.log(p) + (n - i) * math.log1p(-p)).sum())
 
     low, high = 0.0, 1.0
     for _ in range(60):
@@ -182,6 +189,27 @@ def apply_rules(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
     return judge(measured, fit_cutoffs(measured, labels, **params))
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with all their columns.
+
+    The statistics are computed again beside each text, which costs less than joining them to the texts.
+    """
+    cutoffs = fit_cutoffs(save(measure(docs), "quality"), labels, **params)
+    names = docs.columns
+    at, lang = names.index("text"), names.index("lang") if "lang" in names else None
+    plain = docs.toDF(*[f"_d{i}" for i in range(len(names))])
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in plain.schema]
+
+    def run(batches):
+        for part in slices(batches, f"_d{at}"):
+            stats = text_stats(part.column(at))
+            yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array(stats[c], pa.int64()) for c in STATS]], [*part.schema.names, *STATS])
+
+    measured = plain.mapInArrow(run, ", ".join([*kinds, *[f"{c} bigint" for c in STATS]]))
+    measured = with_base(measured.withColumn("lang", F.lit(None).cast("string") if lang is None else F.col(f"_d{lang}")))
+    return judge(measured, cutoffs).where("kept").select(*[F.col(f"_d{i}").alias(c) for i, c in enumerate(names)])
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", *STATS[:5], "base_failed", "kept")
