@@ -18,6 +18,7 @@ empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import json
 import unicodedata
 import zlib
 from functools import lru_cache
@@ -33,7 +34,7 @@ SEQUENCE = 4096
 END_ID = 2
 VOCABULARY = 1 << 16
 BUCKETS, DIMENSIONS, BITS = 256, 3, 16
-CACHE_WORDS = 300_000
+CACHE_WORDS = 1_000_000
 #: A range gets about this many tokens: one padded sequence in hundreds.
 TOKENS_PER_RANGE = 1 << 21
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
@@ -46,32 +47,44 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-class WordEncoder:
+class WordEncoder(dict):
     """Ids of texts as little-endian unsigned 16-bit bytes."""
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         import regex
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        # The same model for single words of letters, which need no normalising or splitting.
+        self.letters = Tokenizer(models.BPE(vocab=model["vocab"], merges=merges, end_of_word_suffix=model["end_of_word_suffix"], cache_capacity=0))
+        self.letters.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.limit = cache_words
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # Texts of Latin letters, digits, full stops and commas alone are the common case.
+        self.unusual = regex.compile(r"[^\t\n\r .,0-9A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u017f]")
         # Latin text without control or format characters, and without the capital I with dot.
-        self.unsafe = regex.compile(r"[^\t\n\r\x20-\x7e\xa1-\xac\xae-įı-ɏ]")
+        self.unsafe = regex.compile(r"[^\t\n\r\x20-\x7e\xa1-\xac\xae-\u012f\u0131-\u024f]")
+        self.joined = regex.compile(r"[^\s\p{L}\p{N}][.,]|[.,][^\s\p{L}\p{N}]")
+
+    def __missing__(self, word: str) -> bytes:
+        by = self.letters if word.isalpha() else self.tokenizer
+        self[word] = ids = np.array(by.encode(word, add_special_tokens=False).ids, "<u2").tobytes()
+        return ids
 
     def encode(self, text: str) -> bytes:
-        if self.unsafe.search(text) or any(s in text for s in self.special) or not unicodedata.is_normalized("NFC", text):
+        plain = not self.unusual.search(text)
+        if not plain and (self.unsafe.search(text) or any(s in text for s in self.special)) or not unicodedata.is_normalized("NFC", text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
-        words = text.lower().split()
-        missing = list(set(words).difference(self.cache))
-        if missing:
-            if len(self.cache) + len(missing) > self.limit:
-                self.cache = {}
-                missing = list(set(words))
-            for word, e in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False), strict=True):
-                self.cache[word] = np.array(e.ids, "<u2").tobytes()
-        return b"".join(map(self.cache.__getitem__, words))
+        text = text.lower()
+        joined = any(m in text for m in ("..", ",,", ".,", ",.")) or not plain and self.joined.search(text)
+        if not joined:  # each full stop and comma is a token of its own
+            text = text.replace(".", " . ").replace(",", " , ")
+        if len(self) > self.limit:
+            self.clear()
+        return b"".join(map(self.__getitem__, text.split()))
 
 
 @lru_cache(maxsize=4)
@@ -133,7 +146,7 @@ def tokenize(docs: DataFrame, path: str) -> DataFrame:
         code = encoder(path)
         end = np.array([END_ID], "<u2").tobytes()
         for part in slices(batches):
-            packed = [code.encode(t or "") + end for t in part.column(1).to_pylist()]
+            packed = [b + end for b in (code.encode(t or "") for t in part.column(1).to_pylist())]
             key = curve_keys([np.frombuffer(b, "<u2") for b in packed])
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(key, pa.int64()), pa.array([len(b) // 2 for b in packed], pa.int64()), pa.array(packed, pa.binary())], ["doc_id", "key", "n", "ids"])
 
