@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_saved, lists, save, slices, small_batches, table, text_bytes, with_defaults
+from .common import drop_saved, lists, release, save, slices, small_batches, table, text_bytes, with_defaults
 from .graph import components
 from .wordcodes import mix, windows, words
 
@@ -292,7 +292,7 @@ def candidates(blocks: DataFrame, labelled: bool) -> DataFrame:
             yield emit(pa.Table.from_batches(held))
 
     columns = ["key", "chunk", "node", "n", "vector", *["label"] * labelled]
-    return blocks.select(*columns).repartition("key", "chunk").sortWithinPartitions("key", "chunk").mapInArrow(run, "a bigint, b bigint").distinct()
+    return blocks.select(*columns).repartition("key", "chunk").sortWithinPartitions("key", "chunk").mapInArrow(run, "a bigint, b bigint").where("a < b").distinct()
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -325,16 +325,20 @@ def link_components(docs: DataFrame) -> DataFrame:
     shared = save(shared_keys(described.select(F.explode("keys").alias("key"), "node")), "shared")
     small_batches(docs.sparkSession)
     drop_saved(described)
+    release(docs.sparkSession)
     chosen = members.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(shared.select("node").distinct(), "node", "left_semi").select("doc_id")
-    sets = save(full_sets(docs.join(chosen.distinct(), "doc_id", "left_semi").select("doc_id", "text")).dropDuplicates(["node"]), "sets")
+    sets = save(full_sets(docs.join(chosen.distinct(), "doc_id", "left_semi").select("doc_id", "text")), "sets")
+    release(docs.sparkSession)
 
     signature = shared.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("first"), F.max("node").alias("last"), F.bit_xor(F.xxhash64("node")).alias("x"))
     blocks = signature.groupBy("m", "first", "last", "x").agg(F.min("key").alias("key")).select("key", "m")
     vectors = sets.select("node", "n", "vector")
     rows = save(shared.join(blocks, "key").select("key", "m", "node"), "blocks")
+    release(docs.sparkSession)
     chunks = F.greatest(F.lit(1), F.ceil(F.col("m") / CHUNK)).cast("int")
     mine = F.pmod(F.xxhash64("node", F.lit(5)), chunks).cast("int")
     tried = save(verify(candidates(rows.select("key", "node", mine.alias("chunk")).join(vectors, "node"), False), sets), "verified")
+    release(docs.sparkSession)
     links = tried.where("linked").select("a", "b")
     first = components(links)
 
