@@ -3,13 +3,13 @@
 Lines are compared lower-cased and without surrounding white space. Their
 distance is the Jaccard similarity of their character-shingle sets.
 
-1. Every line yields character shingles anchored at word starts (at every
-   character where white space is rare), each hashed once; XOR with fixed
+1. Every line yields character shingles anchored at word starts (single
+   characters in scripts without spaces), each hashed once; XOR with fixed
    constants gives the permutations, and the minima aggregate on the map side,
    per distinct line, before anything is shuffled.
 2. Bands of the signature form buckets. Within a bucket each line is paired
-   with the bucket's two outermost lines, never with all others; a second round
-   pairs what is still apart.
+   with the bucket's smallest, never with all others; a second round pairs
+   those that are still apart.
 3. Pairs are verified by the exact Jaccard similarity of all their shingles.
 4. Union-find (alternating stars on edge tables) joins verified pairs. Of each
    component, equal lines included, the first line by (doc_id, line number) stays.
@@ -32,7 +32,7 @@ from .common import drop_saved, hash128, release, save, table
 from .graph import components
 
 SHINGLE, THRESHOLD = 8, 0.8
-BANDS, ROWS = 10, 3
+BANDS, ROWS = 12, 3
 _random = random.Random(1)
 _MASKS = [_random.getrandbits(63) * (1 if i % 2 else -1) for i in range(BANDS * ROWS)]
 
@@ -42,10 +42,8 @@ def normal(line: Column) -> Column:
 
 
 def anchored(line: Column, k: int = SHINGLE) -> Column:
-    """Shingles for the signature: from each word start, or from each character of text with few words."""
-    at_words = F.regexp_extract_all(line, F.lit(rf"(?s)(?<!\S)(?=(\S.{{0,{k - 1}}}))"), F.lit(1))
-    everywhere = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{1,{k}}}))"), F.lit(1))
-    return F.when(F.length(line) > 32 * F.size(at_words), everywhere).otherwise(at_words)
+    """Shingles for the signature: up to ``k`` characters from each word start on, each character of scripts without spaces."""
+    return F.regexp_extract_all(line, F.lit(rf"[^\s\u2e80-\uffff]{{1,{k}}}|[\u2e80-\uffff]"), F.lit(0))
 
 
 def all_shingles(line: Column, k: int = SHINGLE) -> Column:
@@ -71,10 +69,16 @@ def signatures(lines: DataFrame) -> DataFrame:
     return least.select("node", F.array(*bands).alias("bands"))
 
 
-def outer_pairs(buckets: DataFrame, member: str) -> DataFrame:
-    """Distinct (a, b): each member of a bucket with the bucket's smallest and largest."""
-    ends = buckets.groupBy("bucket").agg(F.min(member).alias("low"), F.max(member).alias("high")).where("low <> high")
-    paired = buckets.join(ends, "bucket").select(member, F.explode(F.array("low", "high")).alias("other")).where(F.col(member) != F.col("other"))
+def shared_buckets(buckets: DataFrame) -> DataFrame:
+    """(bucket, node, low) of the buckets with two nodes or more; low is the smallest of them."""
+    ends = save(buckets.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("bucket", "low"), "ends")
+    release(buckets.sparkSession)
+    return buckets.join(ends, "bucket")
+
+
+def pairs_with(rows: DataFrame, member: str, others: Column) -> DataFrame:
+    """Distinct (a, b) of each member and the others beside it."""
+    paired = rows.select(member, F.explode(others).alias("other")).where(F.col(member) != F.col("other"))
     return paired.select(F.least(member, "other").alias("a"), F.greatest(member, "other").alias("b")).distinct()
 
 
@@ -87,30 +91,27 @@ def similar(pairs: DataFrame, wording: DataFrame, threshold: float = THRESHOLD)
     return both.where(F.col("i") >= threshold * (F.col("n") - F.col("i"))).select("a", "b")
 
 
-def wording_of(lines: DataFrame, pairs: DataFrame) -> DataFrame:
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    return lines.select("node", "line").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("line").alias("line"))
-
-
 def line_components(lines: DataFrame) -> DataFrame:
     """(node, component) of the distinct lines that have a similar one."""
     spark = lines.sparkSession
     signed = save(signatures(lines), "signatures")
     release(spark)
-    buckets = signed.select("node", F.explode("bands").alias("bucket"))
-    pairs = save(outer_pairs(buckets, "node"), "pairs")
+    shared = save(shared_buckets(signed.select("node", F.explode("bands").alias("bucket"))), "shared")
+    drop_saved(signed)
+    nodes = shared.select("node").distinct()
+    wording = save(lines.select("node", "line").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("line").alias("line")), "wording")
+    pairs = save(pairs_with(shared, "node", F.array("low")), "pairs")
     release(spark)
-    wording = save(wording_of(lines, pairs), "wording")
     links = save(similar(pairs, wording), "links")
     release(spark)
-    found = components(links)
-    named = buckets.join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-    open_ = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
-    reps = named.join(open_, "bucket", "left_semi").groupBy("bucket", "component").agg(F.min("node").alias("rep"))
-    again = save(outer_pairs(reps, "rep").join(pairs, ["a", "b"], "left_anti"), "pairs")
+    # Again among those of a bucket that are still apart: one line of each component, with the outermost two.
+    named = shared.join(components(links), "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+    reps = save(named.groupBy("bucket", "component").agg(F.min("node").alias("rep")), "reps")
+    ends = reps.groupBy("bucket").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high")
+    again = save(pairs_with(reps.join(ends, "bucket"), "rep", F.array("low", "high")).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    release(spark)
+    more = save(similar(again, wording), "links")
     release(spark)
-    more = save(similar(again, save(wording_of(lines, again), "wording")), "links")
-    drop_saved(signed)
     return components(links.unionByName(more))
 
 
