@@ -8,8 +8,8 @@ distance is the Jaccard similarity of their character-shingle sets.
    constants gives the permutations, and the minima aggregate on the map side,
    per distinct line, before anything is shuffled.
 2. Bands of the signature form buckets. Within a bucket each line is paired
-   with the bucket's smallest, never with all others; a second round pairs
-   those that are still apart.
+   with the bucket's smallest, never with all others; two more turns pair
+   those still apart with four members each of its largest component.
 3. Pairs are verified by the exact Jaccard similarity of all their shingles.
 4. Union-find (alternating stars on edge tables) joins verified pairs. Of each
    component, equal lines included, the first line by (doc_id, line number) stays.
@@ -33,6 +33,7 @@ from .graph import components
 
 SHINGLE, THRESHOLD = 8, 0.8
 BANDS, ROWS = 12, 3
+TURNS = 2
 _random = random.Random(1)
 _MASKS = [_random.getrandbits(63) * (1 if i % 2 else -1) for i in range(BANDS * ROWS)]
 
@@ -104,15 +105,20 @@ def line_components(lines: DataFrame) -> DataFrame:
     release(spark)
     links = save(similar(pairs, wording), "links")
     release(spark)
-    # Again among those of a bucket that are still apart: one line of each component, with the outermost two.
-    named = shared.join(components(links), "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-    reps = save(named.groupBy("bucket", "component").agg(F.min("node").alias("rep")), "reps")
-    ends = reps.groupBy("bucket").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high")
-    again = save(pairs_with(reps.join(ends, "bucket"), "rep", F.array("low", "high")).join(pairs, ["a", "b"], "left_anti"), "pairs")
-    release(spark)
-    more = save(similar(again, wording), "links")
-    release(spark)
-    return components(links.unionByName(more))
+    for turn in range(TURNS):  # those of a bucket still apart, with other members of its largest component
+        named = shared.join(components(links), "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+        named = save(named, "named")
+        ways = [F.xxhash64("node", F.lit(2 * turn + i)) for i in (1, 2)]
+        reps = F.array(*[pick("node", way) for way in ways for pick in (F.min_by, F.max_by)])
+        sizes = named.groupBy("bucket", "component").agg(F.count("*").alias("n"), reps.alias("reps"))
+        lead = sizes.groupBy("bucket").agg(F.count("*").alias("parts"), F.max(F.struct("n", "component", "reps")).alias("lead")).where("parts > 1")
+        apart = named.join(lead, "bucket").where(F.col("component") != F.col("lead.component"))
+        again = save(pairs_with(apart, "node", F.col("lead.reps")).join(pairs, ["a", "b"], "left_anti"), "pairs")
+        pairs = pairs.unionByName(again)
+        links = links.unionByName(save(similar(again, wording), "links"))
+        drop_saved(named)
+        release(spark)
+    return components(links)
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
