@@ -57,9 +57,9 @@ def shingle_sets(column: pa.Array, k: int = WORDS):
 
 
 def groups_of(n: int) -> int:
-    """Number of groups for a set of n: two to four shingles each, 64 at least."""
+    """Number of groups for a set of n: one or two shingles each, 64 at least."""
     g = 64
-    while 4 * g < n:
+    while 2 * g < n:
         g *= 2
     return g
 
@@ -193,24 +193,25 @@ def prefix(shingles: np.ndarray, hot: np.ndarray) -> np.ndarray:
 
 
 def describe(docs: DataFrame, hot: np.ndarray) -> DataFrame:
-    """doc_id, node, n, and the prefix keys (empty if this task has emitted the node before)."""
+    """doc_id, node, n, and the prefix keys and count vector (empty and null if this task has emitted the node before)."""
     hot_keys = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches):
         seen: set[int] = set()
         for part in slices(batches):
-            nodes, sizes, keys = [], [], []
+            nodes, sizes, keys, vectors = [], [], [], []
             for node, shingles in shingle_sets(part.column(1)):
                 nodes.append(node)
                 sizes.append(len(shingles))
                 new = len(shingles) and node not in seen
                 seen.add(node)
                 keys.append(prefix(shingles, hot_keys.value) if new else shingles[:0])
+                vectors.append(count_vector(shingles).tobytes() if new else None)
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()),
-                 lists(np.concatenate(keys).view(np.int64), np.array([len(k) for k in keys]), pa.int64())], ["doc_id", "node", "n", "keys"])
+                 lists(np.concatenate(keys).view(np.int64), np.array([len(k) for k in keys]), pa.int64()), pa.array(vectors, pa.binary())], ["doc_id", "node", "n", "keys", "vector"])
 
-    return docs.mapInArrow(run, "doc_id bigint, node bigint, n bigint, keys array<bigint>")
+    return docs.mapInArrow(run, "doc_id bigint, node bigint, n bigint, keys array<bigint>, vector binary")
 
 
 def shared_keys(keys: DataFrame) -> DataFrame:
@@ -243,18 +244,19 @@ def shared_keys(keys: DataFrame) -> DataFrame:
     return keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "key bigint, node bigint")
 
 
-def full_sets(docs: DataFrame) -> DataFrame:
-    """node, n, count vector and sorted shingles of each document of ``docs``."""
+def full_sets(docs: DataFrame, members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """node and sorted shingles of the nodes in ``pairs``, from the text of one document of each."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    chosen = members.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(nodes, "node", "left_semi").select("doc_id").distinct()
 
     def run(batches):
         for part in slices(batches):
             found = [(node, s) for node, s in shingle_sets(part.column(1)) if len(s)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.array([n for n, _ in found], np.uint64).view(np.int64)), pa.array([len(s) for _, s in found], pa.int64()),
-                 pa.array([count_vector(s).tobytes() for _, s in found], pa.binary()), pa.array([s.astype("<u8").tobytes() for _, s in found], pa.binary())],
-                ["node", "n", "vector", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.array([n for n, _ in found], np.uint64).view(np.int64)), pa.array([s.astype("<u8").tobytes() for _, s in found], pa.binary())], ["node", "shingles"])
 
-    return docs.mapInArrow(run, "node bigint, n bigint, vector binary, shingles binary")
+    sets = save(docs.join(chosen, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "node bigint, shingles binary"), "sets")
+    release(docs.sparkSession)
+    return sets
 
 
 def candidates(blocks: DataFrame, labelled: bool) -> DataFrame:
@@ -324,20 +326,20 @@ def link_components(docs: DataFrame) -> DataFrame:
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")  # rows of two numbers
     shared = save(shared_keys(described.select(F.explode("keys").alias("key"), "node")), "shared")
     small_batches(docs.sparkSession)
+    fresh = described.where("vector is not null").join(shared.select("node").distinct(), "node", "left_semi")
+    vectors = save(fresh.groupBy("node", "n").agg(F.first("vector").alias("vector")), "vectors")
     drop_saved(described)
     release(docs.sparkSession)
-    chosen = members.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(shared.select("node").distinct(), "node", "left_semi").select("doc_id")
-    sets = save(full_sets(docs.join(chosen.distinct(), "doc_id", "left_semi").select("doc_id", "text")), "sets")
-    release(docs.sparkSession)
 
     signature = shared.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("first"), F.max("node").alias("last"), F.bit_xor(F.xxhash64("node")).alias("x"))
     blocks = signature.groupBy("m", "first", "last", "x").agg(F.min("key").alias("key")).select("key", "m")
-    vectors = sets.select("node", "n", "vector")
     rows = save(shared.join(blocks, "key").select("key", "m", "node"), "blocks")
     release(docs.sparkSession)
     chunks = F.greatest(F.lit(1), F.ceil(F.col("m") / CHUNK)).cast("int")
     mine = F.pmod(F.xxhash64("node", F.lit(5)), chunks).cast("int")
-    tried = save(verify(candidates(rows.select("key", "node", mine.alias("chunk")).join(vectors, "node"), False), sets), "verified")
+    pairs = save(candidates(rows.select("key", "node", mine.alias("chunk")).join(vectors, "node"), False), "candidates")
+    release(docs.sparkSession)
+    tried = save(verify(pairs, full_sets(docs, members, pairs)), "verified")
     release(docs.sparkSession)
     links = tried.where("linked").select("a", "b")
     first = components(links)
@@ -348,7 +350,10 @@ def link_components(docs: DataFrame) -> DataFrame:
     placed = labelled.join(open_blocks.join(leading, "key"), "key").withColumn("outside", F.col("label") != F.col("leading"))
     everywhere = F.when(F.col("outside"), F.sequence(F.lit(0), chunks - 1)).otherwise(F.array(mine))
     second = candidates(placed.select("key", "node", "label", F.explode(everywhere).alias("chunk")).join(vectors, "node"), True)
-    more = save(verify(second.join(tried, ["a", "b"], "left_anti"), sets).where("linked").select("a", "b"), "links")
+    second = save(second.join(tried, ["a", "b"], "left_anti"), "candidates")
+    release(docs.sparkSession)
+    more = save(verify(second, full_sets(docs, members, second)).where("linked").select("a", "b"), "links")
+    release(docs.sparkSession)
     joined = components(links.unionByName(more))
 
     smallest = members.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("low"))
