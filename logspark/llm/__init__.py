@@ -10,6 +10,7 @@ OPERATORS = (
     "op2_sharding",
     "op3_packing",
     "op4_mixing",
+    "op5_hnsw",
     "op7_language_id",
     "op8_ngram_jaccard",
     "op9_quality_rules",
