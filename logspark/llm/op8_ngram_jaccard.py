@@ -13,8 +13,8 @@ A document is the set of its distinct 5-word shingles; two link when
    counts. An R-tree keeps the coordinate maxima below each of its nodes; the
    sum of coordinate minima bounds the overlap, and branches that cannot reach
    3/7 of the two sizes are skipped.
-4. Surviving pairs are verified on the full sets. The first round takes each
-   point's best partner and the medoids of its block; after the links found
+4. Surviving pairs are verified on the full sets. The first round takes, in a
+   few blocks, each point's best partner and the medoids of its block; after the links found
    are merged, the second takes all surviving pairs between different
    components, so every remaining link is found, while groups of near copies
    never become all pairs. In a block larger than a chunk the rows outside the
@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .common import drop_saved, lists, release, save, slices, small_batches, table, text_bytes, with_defaults
 from .graph import components
@@ -39,6 +40,8 @@ from .wordcodes import mix, windows, words
 WORDS = 5
 SAMPLE_DOCS, HOT_SHARE = 5_000, 0.004
 CHUNK, LEAF, QUERIES = 4096, 32, 512
+#: Blocks of each smallest member that the first round joins; the second joins all that still hold several components.
+FIRST_BLOCKS = 4
 
 
 def shingle_sets(column: pa.Array, k: int = WORDS):
@@ -66,7 +69,16 @@ def groups_of(n: int) -> int:
 
 def count_vector(shingles: np.ndarray) -> np.ndarray:
     g = groups_of(len(shingles))
-    return np.bincount((shingles >> np.uint64(20)).astype(np.int64) & (g - 1), minlength=g).astype("<u2")
+    return np.bincount((shingles >> np.uint64(20)).astype(np.int64) & (g - 1), minlength=g)
+
+
+def pack_counts(v: np.ndarray) -> bytes:
+    """One byte a count; eight where a count is too large for that."""
+    return v.astype(np.uint8 if v.max() < 256 else "<i8").tobytes()
+
+
+def unpack_counts(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, np.uint8 if len(data) == groups_of(n) else "<i8")
 
 
 def fold(v: np.ndarray, g: int) -> np.ndarray:
@@ -206,7 +218,7 @@ def describe(docs: DataFrame, hot: np.ndarray) -> DataFrame:
                 new = len(shingles) and node not in seen
                 seen.add(node)
                 keys.append(prefix(shingles, hot_keys.value) if new else shingles[:0])
-                vectors.append(count_vector(shingles).tobytes() if new else None)
+                vectors.append(pack_counts(count_vector(shingles)) if new else None)
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()),
                  lists(np.concatenate(keys).view(np.int64), np.array([len(k) for k in keys]), pa.int64()), pa.array(vectors, pa.binary())], ["doc_id", "node", "n", "keys", "vector"])
@@ -270,7 +282,7 @@ def candidates(blocks: DataFrame, labelled: bool) -> DataFrame:
             ends = np.flatnonzero(np.concatenate([(key[1:] != key[:-1]) | (chunk[1:] != chunk[:-1]), [True]])) + 1
             node, n = table_.column("node").to_numpy(), table_.column("n").to_numpy()
             label = table_.column("label").to_numpy() if labelled else None
-            vectors = [np.frombuffer(v.as_buffer(), "<u2") for v in table_.column("vector")]
+            vectors = [unpack_counts(v.as_buffer(), size) for v, size in zip(table_.column("vector"), n, strict=True)]
             at, out = 0, []
             for end in ends:
                 if end - at > 1:
@@ -332,12 +344,14 @@ def link_components(docs: DataFrame) -> DataFrame:
     release(docs.sparkSession)
 
     signature = shared.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("first"), F.max("node").alias("last"), F.bit_xor(F.xxhash64("node")).alias("x"))
-    blocks = signature.groupBy("m", "first", "last", "x").agg(F.min("key").alias("key")).select("key", "m")
+    blocks = signature.groupBy("m", "first", "last", "x").agg(F.min("key").alias("key"))
+    blocks = save(blocks, "signatures")
     rows = save(shared.join(blocks, "key").select("key", "m", "node"), "blocks")
     release(docs.sparkSession)
     chunks = F.greatest(F.lit(1), F.ceil(F.col("m") / CHUNK)).cast("int")
     mine = F.pmod(F.xxhash64("node", F.lit(5)), chunks).cast("int")
-    pairs = save(candidates(rows.select("key", "node", mine.alias("chunk")).join(vectors, "node"), False), "candidates")
+    few = blocks.withColumn("r", F.row_number().over(W.partitionBy("first").orderBy(F.desc("m"), "key"))).where(F.col("r") <= FIRST_BLOCKS).select("key")
+    pairs = save(candidates(rows.join(few, "key", "left_semi").select("key", "node", mine.alias("chunk")).join(vectors, "node"), False), "candidates")
     release(docs.sparkSession)
     tried = save(verify(pairs, full_sets(docs, members, pairs)), "verified")
     release(docs.sparkSession)
