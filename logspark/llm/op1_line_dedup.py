@@ -3,8 +3,8 @@
 Lines are compared lower-cased and without surrounding white space. Their
 distance is the Jaccard similarity of their character-shingle sets.
 
-1. Every line yields character shingles anchored at word starts (single
-   characters in scripts without spaces), each hashed once; XOR with fixed
+1. Every line yields character shingles anchored at word starts (at
+   each character in scripts without spaces), each hashed once; XOR with fixed
    constants gives the permutations, and the minima aggregate on the map side,
    per distinct line, before anything is shuffled.
 2. Bands of the signature form buckets. Within a bucket each line is paired
@@ -43,8 +43,8 @@ def normal(line: Column) -> Column:
 
 
 def anchored(line: Column, k: int = SHINGLE) -> Column:
-    """Shingles for the signature: up to ``k`` characters from each word start on, each character of scripts without spaces."""
-    return F.regexp_extract_all(line, F.lit(rf"[^\s\u2e80-\uffff]{{1,{k}}}|[\u2e80-\uffff]"), F.lit(0))
+    """Shingles for the signature: ``k`` characters from each word start on, from each character in scripts without spaces."""
+    return F.regexp_extract_all(line, F.lit(rf"(?s)(?=(\S.{{0,{k - 1}}}))(?:[^\s\u2e80-\uffff]++|[\u2e80-\uffff])"), F.lit(1))
 
 
 def all_shingles(line: Column, k: int = SHINGLE) -> Column:
