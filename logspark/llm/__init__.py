@@ -11,6 +11,7 @@ OPERATORS = (
     "op3_packing",
     "op4_mixing",
     "op5_hnsw",
+    "op6_license_scan",
     "op7_language_id",
     "op8_ngram_jaccard",
     "op9_quality_rules",
