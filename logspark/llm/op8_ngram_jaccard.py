@@ -14,7 +14,7 @@ A document is the set of its distinct 5-word shingles; two link when
    sum of coordinate minima bounds the overlap, and branches that cannot reach
    3/7 of the two sizes are skipped.
 4. Surviving pairs are verified on the full sets. The first round takes, in a
-   few blocks, each point's best partner and the medoids of its block; after the links found
+   few blocks, each point with its block's medoid and with its best partner; after the links found
    are merged, the second takes all surviving pairs between different
    components, so every remaining link is found, while groups of near copies
    never become all pairs. In a block larger than a chunk the rows outside the
@@ -128,7 +128,11 @@ def passing(sizes_a: np.ndarray, sizes_b: np.ndarray, bound: np.ndarray) -> np.n
 
 
 def block_pairs(nodes: np.ndarray, sizes: np.ndarray, vectors: list[np.ndarray], labels: np.ndarray | None = None) -> np.ndarray:
-    """Candidate pairs (m, 2) of one block; with ``labels`` all between different labels, else best partners and medoids."""
+    """Candidates (node, other, score) of one block, as 64-bit integers.
+
+    With ``labels`` all pairs between different labels; else each point's best partner (score: per mille of the sizes, at
+    most 500) and its leader, the medoid that most of the block could link to (score: 1000 and how many).
+    """
     m = len(nodes)
     length = np.array([len(v) for v in vectors])
     best = np.zeros(m)
@@ -147,7 +151,7 @@ def block_pairs(nodes: np.ndarray, sizes: np.ndarray, vectors: list[np.ndarray],
                 if labels is not None:
                     ok &= labels[a][:, None] != labels[b][None, :]
                     x, y = np.nonzero(ok)
-                    out.append(np.stack([nodes[a[x]], nodes[b[y]]], 1))
+                    out.append(np.stack([nodes[a[x]], nodes[b[y]], np.zeros(len(x), np.int64)], 1))
                 elif ok.any():
                     score = np.where(ok, bound / (sizes[a][:, None] + sizes[b][None, :]), 0)
                     for mine, theirs, s in ((a, b, score), (b, a, score.T)):
@@ -157,24 +161,22 @@ def block_pairs(nodes: np.ndarray, sizes: np.ndarray, vectors: list[np.ndarray],
                         best[mine[better]], partner[mine[better]] = value[better], theirs[top[better]]
     if labels is None:
         have = np.flatnonzero(partner >= 0)
-        out.append(np.stack([nodes[have], nodes[partner[have]]], 1))
+        out.append(np.stack([nodes[have], nodes[partner[have]], (best[have] * 1000).astype(np.int64)], 1))
         if m > 3 and len(have):
-            out.append(medoid_pairs(nodes, sizes, vectors, int(length.min())))
-    return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+            out.append(leader_pairs(nodes, sizes, vectors, int(length.min())))
+    return np.concatenate(out) if out else np.zeros((0, 3), np.int64)
 
 
-def medoid_pairs(nodes: np.ndarray, sizes: np.ndarray, vectors: list[np.ndarray], g: int, leaders: int = 3, probes: int = 64) -> np.ndarray:
-    """Pairs of every point with the few points that most of an even selection could link to."""
+def leader_pairs(nodes: np.ndarray, sizes: np.ndarray, vectors: list[np.ndarray], g: int, probes: int = 64) -> np.ndarray:
+    """Every point with the one point that most of an even selection could link to."""
     counts = np.array([fold(v, g) for v in vectors], np.int32)
     probe = np.unique(np.linspace(0, len(nodes) - 1, probes).astype(int))
     linked = lambda i: passing(sizes[i : i + 1], sizes, np.minimum(counts[i], counts).sum(1)[None])[0]
-    score = sum(linked(i).astype(int) for i in probe)
-    out = []
-    for leader in np.argsort(-score, kind="stable")[:leaders]:
-        ok = np.flatnonzero(linked(leader))
-        ok = ok[ok != leader]
-        out.append(np.stack([nodes[ok], np.full(len(ok), nodes[leader])], 1))
-    return np.concatenate(out)
+    votes = sum(linked(i).astype(int) for i in probe)
+    leader = int(votes.argmax())
+    ok = np.flatnonzero(linked(leader))
+    ok = ok[ok != leader]
+    return np.stack([nodes[ok], np.full(len(ok), nodes[leader]), np.full(len(ok), 1000 + votes[leader])], 1)
 
 
 def hot_shingles(docs: DataFrame, n_docs: int) -> np.ndarray:
@@ -272,7 +274,7 @@ def full_sets(docs: DataFrame, members: DataFrame, pairs: DataFrame) -> DataFram
 
 
 def candidates(blocks: DataFrame, labelled: bool) -> DataFrame:
-    """Distinct pairs (a < b) of all blocks; ``blocks``: key, chunk, node, n, vector and, if labelled, label."""
+    """Distinct (node, other, score) of all blocks, see :func:`block_pairs`; ``blocks``: key, chunk, node, n, vector and, if labelled, label."""
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -288,9 +290,8 @@ def candidates(blocks: DataFrame, labelled: bool) -> DataFrame:
                 if end - at > 1:
                     out.append(block_pairs(node[at:end], n[at:end], vectors[at:end], label[at:end] if labelled else None))
                 at = end
-            found = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-            found = np.unique(np.sort(found, 1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+            found = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 3), np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(found[:, i]) for i in range(3)], ["node", "other", "score"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -306,26 +307,50 @@ def candidates(blocks: DataFrame, labelled: bool) -> DataFrame:
             yield emit(pa.Table.from_batches(held))
 
     columns = ["key", "chunk", "node", "n", "vector", *["label"] * labelled]
-    return blocks.select(*columns).repartition("key", "chunk").sortWithinPartitions("key", "chunk").mapInArrow(run, "a bigint, b bigint").where("a < b").distinct()
+    return blocks.select(*columns).repartition("key", "chunk").sortWithinPartitions("key", "chunk").mapInArrow(run, "node bigint, other bigint, score bigint").where("node <> other")
 
 
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs with ``linked``: the exact test on the full sets."""
+def as_pairs(found: DataFrame) -> DataFrame:
+    """Distinct (a, b), a < b."""
+    return found.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+
+
+def compare(pairs: DataFrame, sets: DataFrame, kind: str, slack: int) -> DataFrame:
+    """a, b and the verdict: 0 no link, 1 a link even if ``slack`` common values were chance, 2 otherwise."""
 
     def run(batches):
         for batch in batches:
-            ok = []
+            verdict = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
+                p, q = np.frombuffer(x.as_buffer(), kind), np.frombuffer(y.as_buffer(), kind)
                 both = np.concatenate([p, q])
                 both.sort()
                 common = int((both[1:] == both[:-1]).sum())
-                ok.append(100 * common >= 75 * (len(p) + len(q) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], ["a", "b", "linked"])
+                links = [100 * c >= 75 * (len(p) + len(q) - c) for c in (common, common - slack)]
+                verdict.append(1 if links[1] else 2 if links[0] else 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(verdict, pa.int32())], ["a", "b", "verdict"])
 
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint, linked boolean")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint, verdict int")
+
+
+def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs with ``linked``, by the full sets.
+
+    Half of each hash is compared first: its common values are never too few, so what fails is no link; what passes by
+    more than a few values that chance could add is one; the rest is compared by the whole hashes.
+    """
+
+    def halve(batches):
+        for batch in batches:
+            half = [(np.frombuffer(x.as_buffer(), "<u8") >> np.uint64(32)).astype("<u4").tobytes() for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(half, pa.binary())], ["node", "shingles"])
+
+    first = save(compare(pairs, sets.select("node", "shingles").mapInArrow(halve, "node bigint, shingles binary"), "<u4", 16), "compared")
+    release(pairs.sparkSession)
+    second = compare(first.where("verdict = 2").select("a", "b"), sets, "<u8", 0)
+    return first.where("verdict <> 2").unionByName(second).select("a", "b", (F.col("verdict") == 1).alias("linked"))
 
 
 def link_components(docs: DataFrame) -> DataFrame:
@@ -351,9 +376,18 @@ def link_components(docs: DataFrame) -> DataFrame:
     chunks = F.greatest(F.lit(1), F.ceil(F.col("m") / CHUNK)).cast("int")
     mine = F.pmod(F.xxhash64("node", F.lit(5)), chunks).cast("int")
     few = blocks.withColumn("r", F.row_number().over(W.partitionBy("first").orderBy(F.desc("m"), "key"))).where(F.col("r") <= FIRST_BLOCKS).select("key")
-    pairs = save(candidates(rows.join(few, "key", "left_semi").select("key", "node", mine.alias("chunk")).join(vectors, "node"), False), "candidates")
+    found = save(candidates(rows.join(few, "key", "left_semi").select("key", "node", mine.alias("chunk")).join(vectors, "node"), False), "candidates")
+    best = save(found.groupBy("node", (F.col("score") >= 1000).alias("leader")).agg(F.max_by("other", F.struct("score", "other")).alias("other")), "best")
     release(docs.sparkSession)
-    tried = save(verify(pairs, full_sets(docs, members, pairs)), "verified")
+    sets = full_sets(docs, members, as_pairs(best))
+    tried = save(verify(as_pairs(best.where("leader")), sets), "verified")
+    first = save(components(tried.where("linked")), "components")
+    # Best partners only where the leaders have not joined them.
+    label = lambda c: first.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in"))
+    apart = as_pairs(best.where("not leader")).join(label("a"), "a", "left").join(label("b"), "b", "left")
+    apart = apart.where(F.coalesce("a_in", "a") != F.coalesce("b_in", "b")).select("a", "b").join(tried, ["a", "b"], "left_anti")
+    tried = tried.unionByName(save(verify(apart, sets), "verified"))
+    drop_saved(sets)
     release(docs.sparkSession)
     links = tried.where("linked").select("a", "b")
     first = components(links)
@@ -363,7 +397,7 @@ def link_components(docs: DataFrame) -> DataFrame:
     leading = labelled.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "label")).alias("top")).select("key", F.col("top.label").alias("leading"))
     placed = labelled.join(open_blocks.join(leading, "key"), "key").withColumn("outside", F.col("label") != F.col("leading"))
     everywhere = F.when(F.col("outside"), F.sequence(F.lit(0), chunks - 1)).otherwise(F.array(mine))
-    second = candidates(placed.select("key", "node", "label", F.explode(everywhere).alias("chunk")).join(vectors, "node"), True)
+    second = as_pairs(candidates(placed.select("key", "node", "label", F.explode(everywhere).alias("chunk")).join(vectors, "node"), True))
     second = save(second.join(tried, ["a", "b"], "left_anti"), "candidates")
     release(docs.sparkSession)
     more = save(verify(second, full_sets(docs, members, second)).where("linked").select("a", "b"), "links")
