@@ -15,6 +15,7 @@ OPERATORS = (
     "op7_language_id",
     "op8_ngram_jaccard",
     "op9_quality_rules",
+    "op10_suffix_dedup",
 )
 
 
