@@ -1,15 +1,15 @@
 """Fuzzy line dedup by MinHash, with DataFrame functions only.
 
 Lines are compared lower-cased and without surrounding white space. Their
-distance is the Jaccard similarity of their character-shingle sets.
+similarity is that of their sets of character shingles, each eight characters
+long from a word start on (from any character in scripts without spaces).
 
-1. Every line yields character shingles anchored at word starts (at
-   each character in scripts without spaces), each hashed once; XOR with fixed
-   constants gives the permutations, and the minima aggregate on the map side,
-   per distinct line, before anything is shuffled.
+1. Each shingle is hashed once; XOR with fixed constants gives the
+   permutations, and the minima aggregate on the map side, per distinct line,
+   before anything is shuffled.
 2. Bands of the signature form buckets. Within a bucket each line is paired
    with the bucket's smallest, never with all others; two more turns pair
-   those still apart with four members each of its largest component.
+   those still apart with two members each of its largest component.
 3. Pairs are verified by the exact Jaccard similarity of all their shingles.
 4. Union-find (alternating stars on edge tables) joins verified pairs. Of each
    component, equal lines included, the first line by (doc_id, line number) stays.
@@ -28,11 +28,11 @@ import random
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_saved, hash128, release, save, table
+from .common import drop_saved, release, save, table
 from .graph import components
 
-SHINGLE, THRESHOLD = 8, 0.8
-BANDS, ROWS = 12, 3
+SHINGLE, THRESHOLD = 8, 0.75
+BANDS, ROWS = 9, 3
 TURNS = 2
 _random = random.Random(1)
 _MASKS = [_random.getrandbits(63) * (1 if i % 2 else -1) for i in range(BANDS * ROWS)]
@@ -42,30 +42,23 @@ def normal(line: Column) -> Column:
     return F.lower(F.btrim(line, F.lit(" \t\r\f\u000b")))
 
 
-def anchored(line: Column, k: int = SHINGLE) -> Column:
-    """Shingles for the signature: ``k`` characters from each word start on, from each character in scripts without spaces."""
+def shingles(line: Column, k: int = SHINGLE) -> Column:
+    """The ``k`` characters from each word start on, from each character in scripts without spaces (fewer at the end)."""
     return F.regexp_extract_all(line, F.lit(rf"(?s)(?=(\S.{{0,{k - 1}}}))(?:[^\s\u2e80-\uffff]++|[\u2e80-\uffff])"), F.lit(1))
 
 
-def all_shingles(line: Column, k: int = SHINGLE) -> Column:
-    """Hashes of the distinct shingles of a line; one shorter than a shingle is its own."""
-    many = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{k}}}))"), F.lit(1))
-    return F.array_distinct(F.transform(F.when(F.length(line) < k, F.array(line)).otherwise(many), lambda s: F.xxhash64(s)))
-
-
 def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, pos and normal form of every line that is not blank, with its identity: node (and node2, 128 bits in all)."""
+    """doc_id, pos and normal form of every line that is not blank, with its identity ``node``, a 64-bit hash."""
     each = docs.where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
-    each = each.select("doc_id", "pos", normal(F.col("raw")).alias("line")).where("line <> ''")
-    a, b = hash128(F.col("line"))
-    return each.select("doc_id", "pos", a.alias("node"), b.alias("node2"), "line")
+    each = each.where(F.btrim("raw", F.lit(" \t\r\f\u000b")) != "").select("doc_id", "pos", normal(F.col("raw")).alias("line"))
+    return each.select("doc_id", "pos", F.xxhash64("line").alias("node"), "line")
 
 
 def signatures(lines: DataFrame) -> DataFrame:
     """node and its bands, one row for each distinct line."""
-    hashed = lines.select("node", "node2", F.explode(anchored(F.col("line"))).alias("s")).select("node", "node2", F.xxhash64("s").alias("h"))
+    hashed = lines.select("node", F.explode(shingles(F.col("line"))).alias("s")).select("node", F.xxhash64("s").alias("h"))
     minima = [F.min(F.shiftright(F.col("h").bitwiseXOR(F.lit(m)), 32).cast("int")).alias(f"m{i}") for i, m in enumerate(_MASKS)]
-    least = hashed.groupBy("node", "node2").agg(*minima)
+    least = hashed.groupBy("node").agg(*minima)
     bands = [F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)]
     return least.select("node", F.array(*bands).alias("bands"))
 
@@ -84,12 +77,12 @@ def pairs_with(rows: DataFrame, member: str, others: Column) -> DataFrame:
 
 
 def similar(pairs: DataFrame, wording: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The pairs whose exact Jaccard similarity reaches the threshold."""
-    left = wording.select(F.col("node").alias("a"), F.col("line").alias("x"))
-    right = wording.select(F.col("node").alias("b"), F.col("line").alias("y"))
-    sets = pairs.join(left, "a").join(right, "b").select("a", "b", all_shingles(F.col("x")).alias("p"), all_shingles(F.col("y")).alias("q"))
-    both = sets.select("a", "b", F.size(F.array_intersect("p", "q")).alias("i"), (F.size("p") + F.size("q")).alias("n"))
-    return both.where(F.col("i") >= threshold * (F.col("n") - F.col("i"))).select("a", "b")
+    """The pairs whose exact Jaccard similarity reaches the threshold; ``wording``: node, line, n (its distinct shingles)."""
+    left = wording.select(F.col("node").alias("a"), F.col("line").alias("x"), F.col("n").alias("p"))
+    right = wording.select(F.col("node").alias("b"), F.col("line").alias("y"), F.col("n").alias("q"))
+    common = F.size(F.array_intersect(shingles(F.col("x")), shingles(F.col("y"))))
+    # common / (p + q - common) >= threshold, with each set written once: a filter computes what it names.
+    return pairs.join(left, "a").join(right, "b").where(common * (1 + threshold) >= threshold * (F.col("p") + F.col("q"))).select("a", "b")
 
 
 def line_components(lines: DataFrame) -> DataFrame:
@@ -100,7 +93,8 @@ def line_components(lines: DataFrame) -> DataFrame:
     shared = save(shared_buckets(signed.select("node", F.explode("bands").alias("bucket"))), "shared")
     drop_saved(signed)
     nodes = shared.select("node").distinct()
-    wording = save(lines.select("node", "line").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("line").alias("line")), "wording")
+    wording = lines.select("node", "line").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("line").alias("line"))
+    wording = save(wording.select("node", "line", F.size(F.array_distinct(shingles(F.col("line")))).alias("n")), "wording")
     pairs = save(pairs_with(shared, "node", F.array("low")), "pairs")
     release(spark)
     links = save(similar(pairs, wording), "links")
@@ -108,8 +102,8 @@ def line_components(lines: DataFrame) -> DataFrame:
     for turn in range(TURNS):  # those of a bucket still apart, with other members of its largest component
         named = shared.join(components(links), "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
         named = save(named, "named")
-        ways = [F.xxhash64("node", F.lit(2 * turn + i)) for i in (1, 2)]
-        reps = F.array(*[pick("node", way) for way in ways for pick in (F.min_by, F.max_by)])
+        way = F.xxhash64("node", F.lit(turn))
+        reps = F.array(F.min_by("node", way), F.max_by("node", way))
         sizes = named.groupBy("bucket", "component").agg(F.count("*").alias("n"), reps.alias("reps"))
         lead = sizes.groupBy("bucket").agg(F.count("*").alias("parts"), F.max(F.struct("n", "component", "reps")).alias("lead")).where("parts > 1")
         apart = named.join(lead, "bucket").where(F.col("component") != F.col("lead.component"))
