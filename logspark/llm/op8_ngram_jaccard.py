@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .common import drop_saved, lists, release, save, slices, small_batches, table, text_bytes, with_defaults
-from .graph import components
+from .graph import components_any_style as components
 from .wordcodes import mix, windows, words
 
 WORDS = 5
@@ -381,7 +381,7 @@ def link_components(docs: DataFrame) -> DataFrame:
     release(docs.sparkSession)
     sets = full_sets(docs, members, as_pairs(best))
     tried = save(verify(as_pairs(best.where("leader")), sets), "verified")
-    first = save(components(tried.where("linked")), "components")
+    first = components(tried.where("linked"))
     # Best partners only where the leaders have not joined them.
     label = lambda c: first.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in"))
     apart = as_pairs(best.where("not leader")).join(label("a"), "a", "left").join(label("b"), "b", "left")
