@@ -60,9 +60,9 @@ def shingle_sets(column: pa.Array, k: int = WORDS):
 
 
 def groups_of(n: int) -> int:
-    """Number of groups for a set of n: one or two shingles each, 64 at least."""
+    """Number of groups for a set of n: about one shingle each, 64 at least."""
     g = 64
-    while 2 * g < n:
+    while g < n:
         g *= 2
     return g
 
@@ -278,6 +278,7 @@ def candidates(blocks: DataFrame, labelled: bool) -> DataFrame:
 
     def run(batches):
         held: list[pa.RecordBatch] = []
+        sent: set[tuple[int, int]] = set()
 
         def emit(table_: pa.Table):
             key, chunk = table_.column("key").to_numpy(), table_.column("chunk").to_numpy()
@@ -291,6 +292,12 @@ def candidates(blocks: DataFrame, labelled: bool) -> DataFrame:
                     out.append(block_pairs(node[at:end], n[at:end], vectors[at:end], label[at:end] if labelled else None))
                 at = end
             found = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 3), np.int64)
+            if labelled:  # blocks share pairs; those that this task has sent need not go again
+                new = [p not in sent for p in map(tuple, found[:, :2].tolist())]
+                found = found[new]
+                if len(sent) > 500_000:
+                    sent.clear()
+                sent.update(map(tuple, found[:, :2].tolist()))
             return pa.RecordBatch.from_arrays([pa.array(found[:, i]) for i in range(3)], ["node", "other", "score"])
 
         for batch in batches:
