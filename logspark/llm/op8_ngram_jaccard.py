@@ -73,12 +73,20 @@ def count_vector(shingles: np.ndarray) -> np.ndarray:
 
 
 def pack_counts(v: np.ndarray) -> bytes:
-    """One byte a count; eight where a count is too large for that."""
+    """Half a byte a count where all are small enough, one or eight bytes otherwise."""
+    if v.max() < 16:
+        return (v[::2] | v[1::2] << 4).astype(np.uint8).tobytes()
     return v.astype(np.uint8 if v.max() < 256 else "<i8").tobytes()
 
 
 def unpack_counts(data: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(data, np.uint8 if len(data) == groups_of(n) else "<i8")
+    g = groups_of(n)
+    if len(data) * 2 == g:
+        packed = np.frombuffer(data, np.uint8)
+        out = np.empty(g, np.uint8)
+        out[::2], out[1::2] = packed & 15, packed >> 4
+        return out
+    return np.frombuffer(data, np.uint8 if len(data) == g else "<i8")
 
 
 def fold(v: np.ndarray, g: int) -> np.ndarray:
