@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import features, normalize_extended
-from ..functions import normalize as N
+from ..functions.normalize import EXTENDED
 from .evaluate import confusion
 from .scoring import LineModel
 from .tokens import char_ngrams, word_ngrams
@@ -97,7 +97,7 @@ def train_model(labelled: DataFrame, word_features: int = 5000, char_features: i
     mean = {c: sum(s for x, _, s in scores if x == c) for c, _, _ in scores}
     best = max(mean, key=mean.get) if mean else 1.0
     fitted = LogisticRegression(featuresCol="x", labelCol="y", weightCol="weight", standardization=False, regParam=1 / (best * total), maxIter=200).fit(data)
-    patterns = [{"pattern": p, "replacement": r, "case_insensitive": i} for p, r, i in N.EXTENDED]
+    patterns = [{"pattern": p, "replacement": r, "case_insensitive": i} for p, r, i in EXTENDED]
     part = lambda k, low, high: {"vocab": {g: i for i, g in enumerate(vocab[k])}, "idf": weights[k], "ngram_range": [low, high], "sublinear_tf": k == "w"}
     document = {
         "word_tfidf": part("w", 1, 3), "char_tfidf": part("c", 3, 6), "normalize_patterns": patterns,
