@@ -281,7 +281,7 @@ def compare_shared(spark, sf):
     return O.compare_shared(O.compare_patterns(_uneven(spark, sf), LABELS), LABELS, 20)
 
 
-@register("compare_outliers", f"WITH {_PATTERNS} SELECT pattern, level_a AS level, round(CAST(greatest(a, b, c) AS DOUBLE) / least(a, b, c), 1) AS ratio, least(a, b, c) AS low, greatest(a, b, c) AS high, CAST(0 AS DOUBLE) AS p_look FROM k WHERE n_files = 3 AND CAST(greatest(a, b, c) AS DOUBLE) / least(a, b, c) >= 1.1")
+@register("compare_outliers", f"WITH {_PATTERNS} SELECT pattern, level_a AS level, round_even(CAST(greatest(a, b, c) AS DOUBLE) / least(a, b, c), 1) AS ratio, least(a, b, c) AS low, greatest(a, b, c) AS high, CAST(0 AS DOUBLE) AS p_look FROM k WHERE n_files = 3 AND CAST(greatest(a, b, c) AS DOUBLE) / least(a, b, c) >= 1.1")
 def compare_outliers(spark, sf):
     return O.compare_outliers(_patterns(spark, sf), LABELS, 1.1)
 
