@@ -1,8 +1,8 @@
 """Fuzzy line dedup by MinHash, with DataFrame functions only.
 
 Lines are compared lower-cased and without surrounding white space. Their
-similarity is that of their sets of character shingles, each eight characters
-long from a word start on (from any character in scripts without spaces).
+similarity is that of their sets of character shingles: every run of eight
+characters, or the whole line where it is shorter.
 
 1. Each shingle is hashed once; XOR with fixed constants gives the
    permutations, and the minima aggregate on the map side, per distinct line,
@@ -33,6 +33,7 @@ from .graph import components
 
 SHINGLE, THRESHOLD = 8, 0.75
 BANDS, ROWS = 9, 3
+PIECE = 32
 TURNS = 2
 _random = random.Random(1)
 _MASKS = [_random.getrandbits(63) * (1 if i % 2 else -1) for i in range(BANDS * ROWS)]
@@ -42,9 +43,14 @@ def normal(line: Column) -> Column:
     return F.lower(F.btrim(line, F.lit(" \t\r\f\u000b")))
 
 
-def shingles(line: Column, k: int = SHINGLE) -> Column:
-    """The ``k`` characters from each word start on, from each character in scripts without spaces (fewer at the end)."""
-    return F.regexp_extract_all(line, F.lit(rf"(?s)(?=(\S.{{0,{k - 1}}}))(?:[^\s\u2e80-\uffff]++|[\u2e80-\uffff])"), F.lit(1))
+def runs(line: Column, step: int, k: int = SHINGLE) -> Column:
+    """Pieces of the line from every ``step``-th character on, whose shingles are all those of the line; one shorter than ``k`` whole."""
+    return F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{k},{k + step - 1}}}|^.{{1,{k - 1}}}\z)).{{1,{step}}}"), F.lit(1))
+
+
+def shingles(line: Column) -> Column:
+    """The ``SHINGLE`` characters from each character on; a shorter line itself."""
+    return runs(line, 1)
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -56,7 +62,10 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 def signatures(lines: DataFrame) -> DataFrame:
     """node and its bands, one row for each distinct line."""
-    hashed = lines.select("node", F.explode(shingles(F.col("line"))).alias("s")).select("node", F.xxhash64("s").alias("h"))
+    # As shingles(), but cut from short pieces, which takes less time.
+    pieces = lines.select("node", F.explode(runs(F.col("line"), PIECE)).alias("piece"))
+    each = pieces.select("node", "piece", F.explode(F.sequence(F.lit(1), F.greatest(F.length("piece") - SHINGLE + 1, F.lit(1)))).alias("at"))
+    hashed = each.select("node", F.xxhash64(F.substring("piece", F.col("at"), F.lit(SHINGLE))).alias("h"))
     minima = [F.min(F.shiftright(F.col("h").bitwiseXOR(F.lit(m)), 32).cast("int")).alias(f"m{i}") for i, m in enumerate(_MASKS)]
     least = hashed.groupBy("node").agg(*minima)
     bands = [F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)]

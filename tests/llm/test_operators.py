@@ -93,6 +93,28 @@ def test_line_dedup(docs):
         assert r["node"] == 1 and r["n_words"] == "n"
 
 
+def _windows(x):
+    return {x[i : i + 8] for i in range(max(1, len(x) - 7))}
+
+
+def test_line_dedup_reads_long_tokens_and_scripts_without_spaces(spark):
+    """Lines with equal beginnings only stay; copies that differ in their beginning only go."""
+    r = random.Random(5)
+    hexes = "".join(r.choices("0123456789abcdef", k=400))
+    thai = "".join(chr(0xE01 + r.randrange(46)) for _ in range(300))
+    texts = ["https://example.org/one", "https://another.net/x", "2024-01-05T10:00:00Z", "2024-01-17T23:59:41Z", "internationalisation", "internationally", "deadbeef" + hexes[:60], "deadbeef" + hexes[100:160]]
+    texts += ["\u0e01\u0e32\u0e23\u0e17\u0e14\u0e2a\u0e2d\u0e1a" + thai[:40], "\u0e01\u0e32\u0e23\u0e17\u0e14\u0e2a\u0e2d\u0e1a" + thai[60:100]]
+    texts += [hexes[160:], "ffff" + hexes[164:], thai[100:], "\u0e2e\u0e2e" + thai[102:], "\U0001f600\U0001f680" * 9 + "ab", "ab" + "\U0001f600\U0001f680" * 9, "short", "shorts"]
+    want, kept = [], []
+    for x in texts:
+        same = any(len(_windows(x) & _windows(y)) >= 0.75 * len(_windows(x) | _windows(y)) for y in kept)
+        want.append(same)
+        kept += [] if same else [x]
+    assert want == [False] * 11 + [True, False, True, False, False, False, False]
+    got = op1_line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    assert {r["doc_id"]: r["n_removed_lines"] == 1 for r in got} == dict(enumerate(want))
+
+
 def test_sharding(docs):
     got = op2_sharding.assign_shards(docs, 5).collect()
     rows = {r[0]: r[1] for r in _docs()}
