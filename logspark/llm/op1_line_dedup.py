@@ -8,8 +8,10 @@ characters, or the whole line where it is shorter.
    permutations, and the minima aggregate on the map side, per distinct line,
    before anything is shuffled.
 2. Bands of the signature form buckets. Within a bucket each line is paired
-   with the bucket's smallest, never with all others; two more turns pair
-   those still apart with two members each of its largest component.
+   with the bucket's smallest; two more turns pair those still apart with two
+   members each of its largest component. So large groups come together by few
+   pairs. Then all pairs of a bucket that are still apart are tested, but those
+   whose numbers of shingles alone rule the threshold out.
 3. Pairs are verified by the exact Jaccard similarity of all their shingles.
 4. Union-find (alternating stars on edge tables) joins verified pairs. Of each
    component, equal lines included, the first line by (doc_id, line number) stays.
@@ -35,6 +37,7 @@ SHINGLE, THRESHOLD = 8, 0.75
 BANDS, ROWS = 9, 3
 PIECE = 32
 TURNS = 2
+BLOCK = 256
 _random = random.Random(1)
 _MASKS = [_random.getrandbits(63) * (1 if i % 2 else -1) for i in range(BANDS * ROWS)]
 
@@ -94,6 +97,26 @@ def similar(pairs: DataFrame, wording: DataFrame, threshold: float = THRESHOLD)
     return pairs.join(left, "a").join(right, "b").where(common * (1 + threshold) >= threshold * (F.col("p") + F.col("q"))).select("a", "b")
 
 
+def apart_pairs(named: DataFrame, counts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Distinct (a, b) of all nodes of a bucket in different components, whose numbers of shingles allow the threshold.
+
+    ``named``: bucket, node, component; ``counts``: node, n. Nodes meet by size class (of a ratio of the threshold, so similar
+    ones are in the same or in adjacent classes) and, in large buckets, by blocks, so that no task gets all of a bucket.
+    """
+    several = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("all")).where("low <> high").select("bucket", "all")
+    rows = named.join(several, "bucket").join(counts, "node")
+    parts = F.ceil(F.col("all") / BLOCK).cast("int")
+    # Classes are rounded down by a hair: n = 4 and n = 3 are of adjacent ones at 0.75, whatever the logarithm's last digit.
+    rows = rows.select("bucket", "node", "component", "n", F.floor(F.log("n") / -F.log(F.lit(threshold)) * (1 - 1e-9)).cast("int").alias("class"), parts.alias("parts"), F.pmod(F.xxhash64("node", F.lit("part")), parts).cast("int").alias("part"))
+    others = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    one = rows.select("bucket", "class", "part", others.alias("other"), F.col("node").alias("x"), F.col("component").alias("cx"), F.col("n").alias("p"))
+    two = rows.select("bucket", F.explode(F.array(F.col("class"), F.col("class") + 1)).alias("class"), F.col("class").alias("own"), F.col("part").alias("other"), "parts", F.col("node").alias("y"), F.col("component").alias("cy"), F.col("n").alias("q"))
+    two = two.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    met = one.join(two, ["bucket", "class", "part", "other"]).where("cx <> cy and (own < class or x < y)")
+    met = met.where(F.least("p", "q") >= threshold * F.greatest("p", "q"))
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def line_components(lines: DataFrame) -> DataFrame:
     """(node, component) of the distinct lines that have a similar one."""
     spark = lines.sparkSession
@@ -121,6 +144,11 @@ def line_components(lines: DataFrame) -> DataFrame:
         links = links.unionByName(save(similar(again, wording), "links"))
         drop_saved(named)
         release(spark)
+    named = save(shared.join(components(links), "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component")), "named")
+    rest = save(apart_pairs(named, wording.select("node", "n")).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    release(spark)
+    links = links.unionByName(save(similar(rest, wording), "links"))
+    release(spark)
     return components(links)
 
 

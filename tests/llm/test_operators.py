@@ -115,6 +115,22 @@ def test_line_dedup_reads_long_tokens_and_scripts_without_spaces(spark):
     assert {r["doc_id"]: r["n_removed_lines"] == 1 for r in got} == dict(enumerate(want))
 
 
+def test_line_dedup_compares_all_of_a_bucket(spark, monkeypatch):
+    """Many small groups of near copies in one bucket, of which only one holds the smallest and one is the largest."""
+    r = random.Random(6)
+    word = lambda: "".join(r.choices("abcdefghijklmnop", k=6))
+    texts = []
+    for g in range(40):
+        words = [word() for _ in range(r.choice([4, 9, 20]))]
+        texts += [" ".join(words) + end for end in ("", ".", "!")[: 3 if g == 0 else 2]]
+    want = [any(len(_windows(x) & _windows(y)) >= 0.75 * len(_windows(x) | _windows(y)) for y in texts[:i]) for i, x in enumerate(texts)]
+    assert sum(want) == 41
+    monkeypatch.setattr(op1_line_dedup, "signatures", lambda lines: lines.select("node", op1_line_dedup.F.array(op1_line_dedup.F.lit(1).cast("bigint")).alias("bands")).distinct())
+    monkeypatch.setattr(op1_line_dedup, "BLOCK", 16, raising=False)
+    got = op1_line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    assert {r["doc_id"]: r["n_removed_lines"] == 1 for r in got} == dict(enumerate(want))
+
+
 def test_sharding(docs):
     got = op2_sharding.assign_shards(docs, 5).collect()
     rows = {r[0]: r[1] for r in _docs()}
