@@ -251,6 +251,17 @@ def test_licences(spark, docs):
     assert {r["license"] for r in op6_license_scan.scan(docs).collect()} == {"MIT"}
 
 
+def test_licences_over_line_ends():
+    import textwrap
+
+    for name, notices in op6_license_scan.NOTICES.items():
+        for notice in notices:
+            for mark in ("", " * ", "# ", "// "):
+                for width in (70, 80):
+                    text = "\n".join(mark + x for x in ["Some words.", *textwrap.wrap("This file: " + notice + ".", width), "More words."])
+                    assert [(g["license"], g["line"]) for g in op6_license_scan.confirmed(text)] == [(name, 1)], text
+
+
 def test_language_id(spark):
     r = random.Random(4)
     parts = {"en": ["the", "ing", "th", "and", "er"], "de": ["sch", "ung", "ü", "ver", "ein"], "fr": ["eau", "é", "tion", "que", "oi"]}
