@@ -262,6 +262,13 @@ def test_licences_over_line_ends():
                     assert [(g["license"], g["line"]) for g in op6_license_scan.confirmed(text)] == [(name, 1)], text
 
 
+def test_all_licences_of_a_line():
+    every = {name: notices[0] for name, notices in op6_license_scan.NOTICES.items()}
+    found = op6_license_scan.confirmed("; ".join(every.values()))
+    assert sorted(g["license"] for g in found) == sorted(every)
+    assert len(op6_license_scan.confirmed("All rights reserved.\nAll rights reserved.")) == 2
+
+
 def test_language_id(spark):
     r = random.Random(4)
     parts = {"en": ["the", "ing", "th", "and", "er"], "de": ["sch", "ung", "ü", "ver", "ein"], "fr": ["eau", "é", "tion", "que", "oi"]}
