@@ -1,15 +1,15 @@
 """Shared plumbing of the training-data operators.
 
-Tables go to the shared folder named by ``spark.checkpoint.dir`` (a local
-temporary folder only where that setting is absent, as in tests), so a lost
-executor never takes the only copy of an intermediate result with it.
+Tables go to the shared folder named by ``spark.checkpoint.dir``, so a lost
+executor never takes the only copy of an intermediate result with it. Without
+that setting a folder of this machine serves a local session, where driver and
+executor are one process; on a cluster its absence is an error.
 """
 
 from __future__ import annotations
 
 import gc
 import tempfile
-import time
 import uuid
 from collections.abc import Iterator
 
@@ -28,6 +28,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = f"{tempfile.gettempdir()}/logspark-shared"
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -102,11 +104,11 @@ def with_defaults(docs: DataFrame, **kinds: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files of finished steps now rather than at some later collection.
+    """Let Spark's cleaner delete the shuffle files of finished steps soon rather than at some later collection.
 
-    A plan is reachable until the references to it have been queued, which takes a collection of its own.
+    A plan is reachable until the references to it have been queued, which takes a collection of its own. Only the disk
+    that shuffle files take meanwhile depends on this.
     """
     for _ in range(2):
         gc.collect()
         spark._jvm.System.gc()
-        time.sleep(0.3)

@@ -31,7 +31,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         drop_saved(large)
         new = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if new == mark:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            out = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            out._logspark_path = now._logspark_path
+            return out
         mark = new
     raise RuntimeError("components did not settle")
 

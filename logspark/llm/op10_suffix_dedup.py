@@ -10,7 +10,8 @@ starts anywhere else, in the same document or another. Exact up to 64-bit hashes
    the hash is the key. Equal strings thus meet under one key.
 2. Keys that occur at one place only hold no repeats. For the others, each
    place yields its region: all its strings of that class. Equal regions are
-   kept once, with their places.
+   merged before they go to their key's task, however many places they have;
+   the places wait for the verdict on their region.
 3. Under one key, what all regions share becomes one symbol and what no other
    region shares on either side is cut off; what is left is sorted by a suffix
    array (linear grouping, see suffix_array.py), and strings that neighbours in
@@ -19,6 +20,7 @@ starts anywhere else, in the same document or another. Exact up to 64-bit hashes
 
 Documents of equal text are one node until the end: if longer than a string,
 all of it is a repeat. Null counts as empty. Repeated rows are equal texts.
+Texts count whatever their doc_id, a null one or one shared by several texts.
 Texts shorter than a string are kept whole. Empty tables give empty results;
 extra columns are ignored.
 """
@@ -32,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import release, save, slices, small_batches, table, text_bytes, with_defaults
+from .common import drop_saved, release, save, slices, small_batches, table, text_bytes, with_defaults
 from .suffix_array import suffix_array
 from .wordcodes import mix, powers
 
@@ -254,31 +256,25 @@ def regions_of(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "key bigint, region bigint, node bigint, first bigint, n bigint, at bigint, bytes binary")
 
 
-def covered(rows: DataFrame) -> DataFrame:
-    """node, a, b: byte ranges that repeated strings cover, from the regions under each key."""
+def covered(regions: DataFrame) -> DataFrame:
+    """node, a, b: byte ranges that repeated strings cover. ``regions``: a stored table of :func:`regions_of`."""
+    kinds = regions.groupBy("key", "region").agg(F.count("*").alias("places"), F.first("n").alias("n"), F.first("at").alias("at"), F.first("bytes", ignorenulls=True).alias("bytes"))
 
-    def decide(group: list[tuple]) -> list[tuple[int, int, int]]:
-        by_region: dict[int, list] = {}
-        for _, region, node, first, n, at, data in group:
-            r = by_region.setdefault(region, [None, at, n, {}])
-            r[3][(node, first)] = None
-            if data is not None:
-                r[0] = data
-        found = [[] for _ in by_region]
-        if len(by_region) > 1:
-            found = repeated_starts([r[0] for r in by_region.values()], [r[1] for r in by_region.values()])
+    def decide(group: list[tuple]) -> list[tuple[int, int, int, int]]:
+        found = [[] for _ in group]
+        if len(group) > 1:
+            found = repeated_starts([r[5] for r in group], [r[4] for r in group])
         out = []
-        for (_, _, n, where), starts in zip(by_region.values(), found, strict=True):
-            starts = np.arange(n) if len(where) > 1 else np.unique([s for s in starts if 0 <= s < n]).astype(np.int64)
-            merged = spans(starts)
-            out += [(node, first + a, first + b) for node, first in where for a, b in merged]
+        for (key, region, places, n, _, _), starts in zip(group, found, strict=True):
+            starts = np.arange(n) if places > 1 else np.unique([s for s in starts if 0 <= s < n]).astype(np.int64)
+            out += [(key, region, a, b) for a, b in spans(starts)]
         return out
 
     def run(batches):
         group: list[tuple] = []
         for batch in batches:
             out = []
-            for row in zip(*[batch.column(i).to_pylist() for i in range(7)], strict=True):
+            for row in zip(*[batch.column(i).to_pylist() for i in range(6)], strict=True):
                 if group and row[0] != group[0][0]:
                     out += decide(group)
                     group = []
@@ -288,10 +284,14 @@ def covered(rows: DataFrame) -> DataFrame:
             yield ranges(decide(group))
 
     def ranges(out):
-        columns = list(zip(*out, strict=True)) or [[], [], []]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["node", "a", "b"])
+        columns = list(zip(*out, strict=True)) or [[]] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["key", "region", "a", "b"])
 
-    return rows.repartition("key").sortWithinPartitions("key", "region").mapInArrow(run, "node bigint, a bigint, b bigint")
+    kinds = kinds.select("key", "region", "places", "n", "at", "bytes").repartition("key").sortWithinPartitions("key", "region")
+    found = save(kinds.mapInArrow(run, "key bigint, region bigint, a bigint, b bigint"), "decided")
+    release(regions.sparkSession)
+    places = regions.select("key", "region", "node", "first").join(found, ["key", "region"])
+    return places.select("node", (F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("b")).alias("b"))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -305,13 +305,19 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     release(spark)
     wanted = keys.groupBy("node").agg(F.collect_list("key").alias("keys"))
     one = members.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.min("size").alias("size"))
-    chosen = wanted.join(one, "node").select("doc_id", "node", "keys")
-    source = texts.select("doc_id", "node", "text").join(chosen, ["doc_id", "node"]).dropDuplicates(["node"])
-    found = save(covered(regions_of(source.select("node", "text", "keys"))), "ranges")
+    chosen = wanted.join(one, "node").select(F.col("doc_id").alias("_doc"), F.col("node").alias("_node"), "keys")
+    source = texts.select("doc_id", "node", "text").join(chosen, (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_doc"))).dropDuplicates(["node"])
+    regions = save(regions_of(source.select("node", "text", "keys")), "regions")
+    drop_saved(keys)
+    release(spark)
+    found = save(covered(regions), "ranges")
+    drop_saved(regions)
     release(spark)
     per_node = found.groupBy("node").agg(F.collect_set(F.struct("a", "b")).alias("s"))
     copied = one.where((F.col("copies") > 1) & (F.col("size") >= LENGTH)).select("node", F.array(F.struct(F.lit(0).cast("bigint").alias("a"), F.col("size").cast("bigint").alias("b"))).alias("s"))
     spans_ = save(per_node.join(copied.select("node"), "node", "left_anti").unionByName(copied), "spans")
+    for old in (members, found):
+        drop_saved(old)
     release(spark)
     joined = texts.join(spans_, "node", "left").select("doc_id", "text", F.col("s.a").alias("a"), F.col("s.b").alias("b"))
 
@@ -342,4 +348,5 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    kept = F.expr("make_valid_utf8(cast(text as string))").alias("text")  # a cut may go through a character
+    return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", kept)

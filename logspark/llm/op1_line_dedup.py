@@ -2,25 +2,31 @@
 
 Lines are compared lower-cased and without surrounding white space. Their
 similarity is that of their sets of character shingles: every run of eight
-characters, or the whole line where it is shorter.
-
-1. Each shingle is hashed once; XOR with fixed constants gives the
-   permutations, and the minima aggregate on the map side, per distinct line,
-   before anything is shuffled.
-2. Bands of the signature form buckets. Within a bucket each line is paired
-   with the bucket's smallest; two more turns pair those still apart with two
-   members each of its largest component. So large groups come together by few
+characters (UTF-16 units), or the whole line where it is shorter.
+
+1. Equal lines become one node, kept once with its wording, its number and its
+   first place; they are pre-aggregated before the shuffle.
+2. All shingles of a node are hashed once; XOR with fixed constants gives the
+   permutations, whose minima form the signature. The constants differ in their
+   first bits and agree in the rest, so that only hashes with a small rest can
+   be minima: of long lines those with a larger one are not aggregated (an
+   average of ``PER_MINIMUM`` hashes stays for each minimum).
+3. Bands of the signature form buckets. Within a bucket each node is paired
+   with the bucket's smallest; another turn pairs those still apart with two
+   members of its largest component. So large groups come together by few
    pairs. Then all pairs of a bucket that are still apart are tested, but those
    whose numbers of shingles alone rule the threshold out.
-3. Pairs are verified by the exact Jaccard similarity of all their shingles.
-4. Union-find (alternating stars on edge tables) joins verified pairs. Of each
-   component, equal lines included, the first line by (doc_id, line number) stays.
-
-Blank lines always stay. A document all of whose lines go keeps an empty text
-here (the pipeline stage drops it). Null text stays null with no lines. Rows
-with the same doc_id count as one document and get equal results where their
-texts are equal. Empty tables give empty results. Texts are read once for the
-signatures, once for the candidates' wording and once for the rewriting.
+4. Pairs are verified by the exact Jaccard similarity of all their shingles
+   (of their 64-bit hashes).
+5. Union-find (alternating stars on edge tables) joins verified pairs. Of each
+   component, equal lines included, the first line by (doc_id, line number)
+   stays; texts with the same doc_id come by their hash, null doc_ids first.
+
+Blank lines always stay. A document all of whose lines go keeps them only and
+is else empty (the pipeline stage drops it). Null text stays null with no
+lines. A row is known by doc_id and text, so different texts with one doc_id
+are different documents; of rows equal in both, one counts as the first, and
+the others lose all their lines. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -29,48 +35,64 @@ import random
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .common import drop_saved, release, save, table
 from .graph import components
 
 SHINGLE, THRESHOLD = 8, 0.75
 BANDS, ROWS = 9, 3
-PIECE = 32
-TURNS = 2
+PER_MINIMUM, BINS = 4, 32
+TURNS = 1
 BLOCK = 256
-_random = random.Random(1)
-_MASKS = [_random.getrandbits(63) * (1 if i % 2 else -1) for i in range(BANDS * ROWS)]
+BLANKS = " \t\r\f\u000b"
+_REST = random.Random(1).getrandbits(27)
+#: One of 32 five-bit beginnings each (sign included), and one rest.
+_MASKS = [((i << 27) | _REST) - (1 << 32) * (i >= 16) for i in range(BANDS * ROWS)]
 
 
 def normal(line: Column) -> Column:
-    return F.lower(F.btrim(line, F.lit(" \t\r\f\u000b")))
+    return F.lower(F.btrim(line, F.lit(BLANKS)))
 
 
-def runs(line: Column, step: int, k: int = SHINGLE) -> Column:
-    """Pieces of the line from every ``step``-th character on, whose shingles are all those of the line; one shorter than ``k`` whole."""
-    return F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{k},{k + step - 1}}}|^.{{1,{k - 1}}}\z)).{{1,{step}}}"), F.lit(1))
+def row_key(doc_id: str | Column = "doc_id", text: str | Column = "text") -> Column:
+    return F.xxhash64(doc_id, text)
 
 
-def shingles(line: Column) -> Column:
-    """The ``SHINGLE`` characters from each character on; a shorter line itself."""
-    return runs(line, 1)
+def lines_of(docs: DataFrame) -> DataFrame:
+    """row, doc_id, pos and normal form of every line that is not blank, with its identity ``node``, a 64-bit hash."""
+    each = docs.where("text is not null").select(row_key().alias("row"), "doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
+    each = each.select("row", "doc_id", "pos", normal(F.col("raw")).alias("line")).where("line <> ''")
+    return each.select("row", "doc_id", "pos", F.xxhash64("line").alias("node"), "line")
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, pos and normal form of every line that is not blank, with its identity ``node``, a 64-bit hash."""
-    each = docs.where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
-    each = each.where(F.btrim("raw", F.lit(" \t\r\f\u000b")) != "").select("doc_id", "pos", normal(F.col("raw")).alias("line"))
-    return each.select("doc_id", "pos", F.xxhash64("line").alias("node"), "line")
+def units(line: str = "line") -> Column:
+    """The line as two bytes a character, of which any run is cut out without reading those before."""
+    return F.encode(line, "UTF-16BE")
+
+
+def runs(n_bytes: Column) -> Column:
+    """How many shingles begin in a line of that many bytes, repeated ones included."""
+    return F.greatest(F.shiftright(n_bytes, 1) - (SHINGLE - 1), F.lit(1))
+
+
+def hash_at(bin_: str | Column, at: Column) -> Column:
+    return F.xxhash64(F.substring(bin_, at * 2 + 1, F.lit(2 * SHINGLE)))
+
+
+def hashes(bin_: str) -> Column:
+    """The hash of each shingle of a line given by :func:`units`, as an array."""
+    return F.transform(F.sequence(F.lit(0), runs(F.octet_length(bin_)) - 1), lambda i: hash_at(F.col(bin_), i))
 
 
-def signatures(lines: DataFrame) -> DataFrame:
+def signatures(nodes: DataFrame) -> DataFrame:
     """node and its bands, one row for each distinct line."""
-    # As shingles(), but cut from short pieces, which takes less time.
-    pieces = lines.select("node", F.explode(runs(F.col("line"), PIECE)).alias("piece"))
-    each = pieces.select("node", "piece", F.explode(F.sequence(F.lit(1), F.greatest(F.length("piece") - SHINGLE + 1, F.lit(1)))).alias("at"))
-    hashed = each.select("node", F.xxhash64(F.substring("piece", F.col("at"), F.lit(SHINGLE))).alias("h"))
-    minima = [F.min(F.shiftright(F.col("h").bitwiseXOR(F.lit(m)), 32).cast("int")).alias(f"m{i}") for i, m in enumerate(_MASKS)]
-    least = hashed.groupBy("node").agg(*minima)
+    each = nodes.select("node", units().alias("bin")).withColumn("n", runs(F.octet_length("bin")))
+    most = (F.least(F.lit(1.0), F.lit(float(BINS * PER_MINIMUM)) / F.col("n")) * float(1 << 27)).cast("bigint")
+    each = each.select("node", "bin", most.alias("most"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("at"))
+    hashed = each.select("node", "most", F.shiftright(hash_at("bin", F.col("at")), 32).alias("h"))
+    small = hashed.where(F.col("h").bitwiseXOR(F.lit(_REST)).bitwiseAND(F.lit((1 << 27) - 1)) < F.col("most"))
+    least = small.groupBy("node").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(m).cast("bigint"))).alias(f"m{i}") for i, m in enumerate(_MASKS)])
     bands = [F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)]
     return least.select("node", F.array(*bands).alias("bands"))
 
@@ -92,9 +114,11 @@ def similar(pairs: DataFrame, wording: DataFrame, threshold: float = THRESHOLD)
     """The pairs whose exact Jaccard similarity reaches the threshold; ``wording``: node, line, n (its distinct shingles)."""
     left = wording.select(F.col("node").alias("a"), F.col("line").alias("x"), F.col("n").alias("p"))
     right = wording.select(F.col("node").alias("b"), F.col("line").alias("y"), F.col("n").alias("q"))
-    common = F.size(F.array_intersect(shingles(F.col("x")), shingles(F.col("y"))))
+    met = pairs.join(left, "a").join(right, "b").where(F.least("p", "q") >= threshold * F.greatest("p", "q"))
+    met = met.select("a", "b", "p", "q", units("x").alias("x"), units("y").alias("y"))
+    common = F.size(F.array_intersect(hashes("x"), hashes("y")))
     # common / (p + q - common) >= threshold, with each set written once: a filter computes what it names.
-    return pairs.join(left, "a").join(right, "b").where(common * (1 + threshold) >= threshold * (F.col("p") + F.col("q"))).select("a", "b")
+    return met.where(common * (1 + threshold) >= threshold * (F.col("p") + F.col("q"))).select("a", "b")
 
 
 def apart_pairs(named: DataFrame, counts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -117,39 +141,57 @@ def apart_pairs(named: DataFrame, counts: DataFrame, threshold: float = THRESHOL
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def line_components(lines: DataFrame) -> DataFrame:
-    """(node, component) of the distinct lines that have a similar one."""
-    spark = lines.sparkSession
-    signed = save(signatures(lines), "signatures")
+def line_components(nodes: DataFrame) -> DataFrame:
+    """(node, component) of the distinct lines (node, line) that have a similar one."""
+    spark = nodes.sparkSession
+    signed = save(signatures(nodes), "signatures")
     release(spark)
     shared = save(shared_buckets(signed.select("node", F.explode("bands").alias("bucket"))), "shared")
     drop_saved(signed)
-    nodes = shared.select("node").distinct()
-    wording = lines.select("node", "line").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("line").alias("line"))
-    wording = save(wording.select("node", "line", F.size(F.array_distinct(shingles(F.col("line")))).alias("n")), "wording")
-    pairs = save(pairs_with(shared, "node", F.array("low")), "pairs")
+    wording = nodes.select("node", "line").join(shared.select("node").distinct(), "node", "left_semi").withColumn("bin", units())
+    wording = save(wording.select("node", "line", F.size(F.array_distinct(hashes("bin"))).alias("n")), "wording")
+    done = [save(pairs_with(shared, "node", F.array("low")), "pairs")]
     release(spark)
-    links = save(similar(pairs, wording), "links")
+    found = [save(similar(done[0], wording), "links")]
     release(spark)
+
+    def with_components() -> DataFrame:
+        links = found[0]
+        for more in found[1:]:
+            links = links.unionByName(more)
+        joined = components(links)
+        named = save(shared.join(joined, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component")), "named")
+        drop_saved(joined)
+        return named
+
+    def test(pairs: DataFrame) -> None:
+        for old in done:
+            pairs = pairs.join(old, ["a", "b"], "left_anti")
+        done.append(save(pairs, "pairs"))
+        release(spark)
+        found.append(save(similar(done[-1], wording), "links"))
+        release(spark)
+
     for turn in range(TURNS):  # those of a bucket still apart, with other members of its largest component
-        named = shared.join(components(links), "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-        named = save(named, "named")
+        named = with_components()
         way = F.xxhash64("node", F.lit(turn))
         reps = F.array(F.min_by("node", way), F.max_by("node", way))
         sizes = named.groupBy("bucket", "component").agg(F.count("*").alias("n"), reps.alias("reps"))
         lead = sizes.groupBy("bucket").agg(F.count("*").alias("parts"), F.max(F.struct("n", "component", "reps")).alias("lead")).where("parts > 1")
         apart = named.join(lead, "bucket").where(F.col("component") != F.col("lead.component"))
-        again = save(pairs_with(apart, "node", F.col("lead.reps")).join(pairs, ["a", "b"], "left_anti"), "pairs")
-        pairs = pairs.unionByName(again)
-        links = links.unionByName(save(similar(again, wording), "links"))
+        test(pairs_with(apart, "node", F.col("lead.reps")))
         drop_saved(named)
-        release(spark)
-    named = save(shared.join(components(links), "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component")), "named")
-    rest = save(apart_pairs(named, wording.select("node", "n")).join(pairs, ["a", "b"], "left_anti"), "pairs")
-    release(spark)
-    links = links.unionByName(save(similar(rest, wording), "links"))
-    release(spark)
-    return components(links)
+    named = with_components()
+    test(apart_pairs(named, wording.select("node", "n")))
+    for old in (named, shared, wording, *done):
+        drop_saved(old)
+    links = found[0]
+    for more in found[1:]:
+        links = links.unionByName(more)
+    out = components(links)
+    for old in found:
+        drop_saved(old)
+    return out
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -159,21 +201,35 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     lines = lines_of(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    found = line_components(lines)
-    where = save(lines.select("doc_id", "pos", "node"), "lines")
+    place = F.struct("doc_id", "row", "pos")
+    nodes = save(lines.groupBy("node").agg(F.min("line").alias("line"), F.min(place).alias("first"), F.count("*").alias("n")), "nodes")
+    release(spark)
+    linked = line_components(nodes)
+    found = linked.unionByName(linked.select(F.col("component").alias("node"), "component").distinct())  # it has no row for the smallest
+    named = nodes.join(found, "node", "left").where("n > 1 or component is not null").select("node", "first", "n", F.coalesce("component", "node").alias("component"))
+    named = save(named, "named")
+    drop_saved(linked)
+    drop_saved(nodes)
+    firsts = save(named.groupBy("component").agg(F.min("first").alias("kept"), F.sum("n").alias("all")).where("all > 1"), "firsts")
+    repeated = save(named.join(firsts, "component").select("node", "kept"), "repeated")
     release(spark)
-    named = where.join(found, "node", "left").select("doc_id", "pos", F.coalesce("component", "node").alias("component"))
-    first = named.groupBy("component").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    gone = save(named.join(first, "component").where(~F.struct("doc_id", "pos").eqNullSafe(F.col("first"))).select("doc_id", "pos"), "gone")
+    # All places of repeated lines; the one that stays is marked, as another row may be equal to its row.
+    gone = save(lines.select("row", "doc_id", "pos", "node").join(repeated, "node").select("row", "pos", place.eqNullSafe(F.col("kept")).alias("stays")), "gone")
+    for old in (named, firsts, repeated):
+        drop_saved(old)
     release(spark)
-    per_doc = gone.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("pos").alias("_gone"))
+    per_row = gone.groupBy(F.col("row").alias("_row")).agg(F.collect_set("pos").alias("_all"), F.collect_set(F.when(F.col("stays"), F.col("pos"))).alias("_stay"))
     rest = [c for c in docs.columns if c not in ("n_lines", "n_removed_lines")]
-    joined = docs.select(*[docs[f"`{c}`"] for c in rest]).join(per_doc, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_doc")), "left")
+    keyed = docs.select(*[docs[f"`{c}`"] for c in rest], row_key(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).alias("_row"))
+    joined = keyed.join(per_row, "_row", "left")
+    # Equal rows lie together already: the join has dealt and sorted them by the same key.
+    joined = joined.withColumn("_nth", F.row_number().over(W.partitionBy("_row").orderBy(F.lit(1))))
     split = F.split("text", "\n")
-    lookup = F.map_from_arrays("_gone", F.transform("_gone", lambda _: F.lit(True)))
+    joined = joined.withColumn("_gone", F.when(F.col("_nth") > 1, F.col("_all")).otherwise(F.array_except("_all", "_stay")))
+    joined = joined.withColumn("_lookup", F.map_from_arrays("_gone", F.transform("_gone", lambda _: F.lit(True))))
     kept = F.filter(split, lambda _, i: ~F.map_contains_key(F.col("_lookup"), i))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).when(F.size("_gone") == F.size(split), F.lit("")).otherwise(F.array_join(kept, "\n"))
-    joined = joined.withColumn("_lookup", lookup)
+    none = F.col("_gone").isNull() | (F.size("_gone") == 0)
+    text = F.when(none, F.col("text")).when(F.size("_gone") == F.size(split), F.lit("")).otherwise(F.array_join(kept, "\n"))
     return joined.select(
         *[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in rest],
         F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).cast("bigint").alias("n_lines"),

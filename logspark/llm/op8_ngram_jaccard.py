@@ -22,7 +22,9 @@ A document is the set of its distinct 5-word shingles; two link when
 
 A text with fewer than five words is one shingle; without words (or null) it is
 an empty set and links with nothing, not even an equal text. Repeated rows are
-equal texts. Empty tables give empty results; extra columns are ignored.
+equal texts. Rows with a null doc_id link like others; the component_id is null
+where no row of the component has an id. Different texts under one doc_id are
+nodes of their own. Empty tables give empty results; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -269,14 +271,18 @@ def shared_keys(keys: DataFrame) -> DataFrame:
 def full_sets(docs: DataFrame, members: DataFrame, pairs: DataFrame) -> DataFrame:
     """node and sorted shingles of the nodes in ``pairs``, from the text of one document of each."""
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    chosen = members.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(nodes, "node", "left_semi").select("doc_id").distinct()
+    chosen = members.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(nodes, "node", "left_semi").select("doc_id").where("doc_id is not null").distinct()
 
     def run(batches):
         for part in slices(batches):
             found = [(node, s) for node, s in shingle_sets(part.column(1)) if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array(np.array([n for n, _ in found], np.uint64).view(np.int64)), pa.array([s.astype("<u8").tobytes() for _, s in found], pa.binary())], ["node", "shingles"])
 
-    sets = save(docs.join(chosen, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "node bigint, shingles binary"), "sets")
+    schema = "node bigint, shingles binary"
+    sets = docs.join(chosen, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, schema)
+    # A node may have rows without an id only: those rows all come, each node once.
+    nameless = docs.where("doc_id is null").select("doc_id", "text").mapInArrow(run, schema).dropDuplicates(["node"])
+    sets = save(sets.unionByName(nameless), "sets")
     release(docs.sparkSession)
     return sets
 
@@ -330,8 +336,13 @@ def as_pairs(found: DataFrame) -> DataFrame:
     return found.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
-def compare(pairs: DataFrame, sets: DataFrame, kind: str, slack: int) -> DataFrame:
-    """a, b and the verdict: 0 no link, 1 a link even if ``slack`` common values were chance, 2 otherwise."""
+def by_chance(p: int, q: int) -> int:
+    """More common values than chance gives two sets of that many 32-bit hashes: far beyond the expected number."""
+    return 16 + (4 * p * q >> 32)
+
+
+def compare(pairs: DataFrame, sets: DataFrame, kind: str) -> DataFrame:
+    """a, b and the verdict: 0 no link, 1 a link even if some common values of half hashes were chance, 2 otherwise."""
 
     def run(batches):
         for batch in batches:
@@ -341,7 +352,7 @@ def compare(pairs: DataFrame, sets: DataFrame, kind: str, slack: int) -> DataFra
                 both = np.concatenate([p, q])
                 both.sort()
                 common = int((both[1:] == both[:-1]).sum())
-                links = [100 * c >= 75 * (len(p) + len(q) - c) for c in (common, common - slack)]
+                links = [100 * c >= 75 * (len(p) + len(q) - c) for c in (common, common - (by_chance(len(p), len(q)) if kind == "<u4" else 0))]
                 verdict.append(1 if links[1] else 2 if links[0] else 0)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(verdict, pa.int32())], ["a", "b", "verdict"])
 
@@ -362,9 +373,9 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             half = [(np.frombuffer(x.as_buffer(), "<u8") >> np.uint64(32)).astype("<u4").tobytes() for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(half, pa.binary())], ["node", "shingles"])
 
-    first = save(compare(pairs, sets.select("node", "shingles").mapInArrow(halve, "node bigint, shingles binary"), "<u4", 16), "compared")
+    first = save(compare(pairs, sets.select("node", "shingles").mapInArrow(halve, "node bigint, shingles binary"), "<u4"), "compared")
     release(pairs.sparkSession)
-    second = compare(first.where("verdict = 2").select("a", "b"), sets, "<u8", 0)
+    second = compare(first.where("verdict = 2").select("a", "b"), sets, "<u8")
     return first.where("verdict <> 2").unionByName(second).select("a", "b", (F.col("verdict") == 1).alias("linked"))
 
 

@@ -61,36 +61,54 @@ def test_empty_tables(spark, empty):
     assert op10_suffix_dedup.remove_repeats(empty).count() == 0
 
 
-def test_line_dedup(docs):
-    rows = {r[0]: r[1] for r in _docs()}
+def _brute_line_dedup(rows):
+    """Sorted (doc_id, text) that are left of (doc_id, text) rows with distinct (doc_id, text) or equal ones next to each other."""
     normal = lambda x: x.strip(" \t\r\f\v").lower()
-    shingles = lambda x: {m.group(1) for m in re.finditer(r"(?s)(?=(\S.{0,7}))\S+", x)}
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is not None, rows[i][0] or 0, i))
     first = {}
-    for k in sorted(rows):
-        for i, x in enumerate((rows[k] or "").split("\n")):
+    for at in order:
+        for i, x in enumerate((rows[at][1] or "").split("\n")):
             if normal(x):
-                first.setdefault(normal(x), (k, i))
-    lines = list(first)
-    parent = {x: x for x in lines}
+                first.setdefault(normal(x), (order.index(at), at, i))
+    lines, root = list(first), {x: x for x in first}
+    sets = [_windows(x) for x in lines]
 
-    def root(x):
-        while parent[x] != x:
-            x = parent[x]
+    def top(x):
+        while root[x] != x:
+            x = root[x]
         return x
 
     for i, x in enumerate(lines):
-        for y in lines[:i]:
-            a, b = shingles(x), shingles(y)
-            if len(a & b) >= 0.75 * len(a | b):
-                parent[root(x)] = root(y)
+        for j, y in enumerate(lines[:i]):
+            if len(sets[i] & sets[j]) >= 0.75 * len(sets[i] | sets[j]):
+                root[top(x)] = top(y)
     keep = {}
     for x in lines:
-        keep[root(x)] = min(keep.get(root(x), first[x]), first[x])
-    for r in op1_line_dedup.dedup_lines(docs).collect():
-        text = rows[r["doc_id"]]
-        want = None if text is None else "\n".join(x for i, x in enumerate(text.split("\n")) if not normal(x) or keep[root(normal(x))] == (r["doc_id"], i))
-        assert r["text"] == want
-        assert r["node"] == 1 and r["n_words"] == "n"
+        keep[top(x)] = min(keep.get(top(x), first[x]), first[x])
+    left = lambda at, t: None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if not normal(x) or keep[top(normal(x))][1:] == (at, i))
+    return sorted(((d, left(at, t)) for at, (d, t) in enumerate(rows)), key=str)
+
+
+def test_line_dedup(docs):
+    got = op1_line_dedup.dedup_lines(docs).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == _brute_line_dedup([r[:2] for r in _docs()])
+    assert all(r["node"] == 1 and r["n_words"] == "n" for r in got)
+
+
+def test_line_dedup_of_shared_and_null_ids(spark):
+    """Texts under one doc_id, or under none, are documents of their own; rows equal in both keep their lines once."""
+    rows = [(5, "a common line of some length\nunique alpha beta gamma"), (5, "quite another line altogether\na common line of some length"), (7, "repeated row's only line"), (7, "repeated row's only line"), (7, "repeated row's only line"), (None, "a line of no document\nshort"), (None, "a line of no document\n\nnext"), (9, "A Line of no document ")]
+    got = op1_line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    lines = Counter(x for r in got for x in r["text"].split("\n") if x)
+    assert lines == Counter(["a common line of some length", "unique alpha beta gamma", "quite another line altogether", "repeated row's only line", "a line of no document", "short", "next"])
+    assert [r["text"] for r in got if r["doc_id"] == 9] == [""] and sum(r["n_removed_lines"] for r in got) == 5
+
+
+def test_line_dedup_on_the_documents(spark):
+    """Every line of the smallest table, by brute force over all shingles."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    got = sorted(((r["doc_id"], r["text"]) for r in op1_line_dedup.dedup_lines(docs).collect()), key=str)
+    assert got == _brute_line_dedup([tuple(r) for r in docs.collect()])
 
 
 def _windows(x):
@@ -308,6 +326,22 @@ def test_ngram_jaccard(docs):
     assert len({label[k] for k in range(12)}) == 12 and label[12] == label[13] == 0 and label[14] == 1
 
 
+def test_ngram_jaccard_without_ids(spark):
+    """Rows without an id link, and link others; an id may have several texts."""
+    base = [f"w{i}" for i in range(100)]
+    texts = [" ".join(base), " ".join(base[3:]), " ".join(base[6:]), "another text of no great length at all", " ".join(base[:3] + base)]
+    rows = [(None, texts[0]), (None, texts[1]), (4, texts[2]), (4, texts[3]), (None, texts[3]), (9, texts[4]), (None, None), (None, "alone with five words here"), (None, "alone with five words here")]
+    got = op8_ngram_jaccard.link_components(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == Counter([(None, 96, 4), (None, 93, 4), (4, 90, 4), (4, 4, 4), (None, 4, 4), (9, 99, 4), (None, 0, None), (None, 1, None), (None, 1, None)])
+
+
+def test_half_hashes_of_large_sets():
+    r = np.random.default_rng(1)
+    for n in (1000, 200_000, 1_000_000):
+        a, b = (np.unique(r.integers(0, 1 << 32, n)) for _ in range(2))
+        assert len(np.intersect1d(a, b)) < op8_ngram_jaccard.by_chance(n, n)
+
+
 def test_ngram_jaccard_large_group(spark):
     """Near copies by the hundred, where pairs of copies need not link but the original joins them."""
     r = random.Random(9)
@@ -385,3 +419,18 @@ def test_suffix_dedup(docs):
         kept = bytes(x for x, c in zip(b, covered, strict=False) if not c)
         n_spans = int((covered[1:] & ~covered[:-1]).sum() + (covered[0] if len(b) else 0))
         assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == (len(b), int(covered.sum()), n_spans, hashlib.sha256(kept).hexdigest())
+
+
+def test_suffix_dedup_without_ids(spark):
+    r = random.Random(8)
+    shared, other = ("".join(r.choices("abcdefgh ", k=n)) for n in (890, 450))
+    rows = [(None, "one_" + shared), (3, "two: _x" + shared + "|end"), (3, other + "x"), (None, "y" + other), (None, shared[:399])]
+    got = op10_suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert Counter((g["doc_id"], g["n_removed"], g["text"].decode()) for g in got) == Counter([(None, 890, "one_"), (3, 890, "two: _x|end"), (3, 450, "x"), (None, 450, "y"), (None, 0, shared[:399])])
+
+
+def test_suffix_dedup_of_periodic_texts(spark):
+    """One region at very many places of a text."""
+    rows = [(1, "spam " * 3000), (2, "x" + "spam " * 100), (3, "none of it")]
+    got = {g["doc_id"]: g["n_removed"] for g in op10_suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {1: 15000, 2: 500, 3: 0}
