@@ -14,10 +14,9 @@ characters (UTF-16 units), or the whole line where it is shorter.
 3. Bands of the signature form buckets. Within a bucket each node is paired
    with the bucket's smallest; another turn pairs those still apart with two
    members of its largest component. So large groups come together by few
-   pairs. Then all pairs of a bucket that are still apart are tested, but those
-   whose numbers of shingles alone rule the threshold out.
-4. Pairs are verified by the exact Jaccard similarity of all their shingles
-   (of their 64-bit hashes).
+   pairs. Then all pairs of a bucket that are still apart are tested.
+4. Pairs of which at least ``AGREEING`` of the 27 minima are equal are verified
+   by the exact Jaccard similarity of all their shingles (64-bit hashes).
 5. Union-find (alternating stars on edge tables) joins verified pairs. Of each
    component, equal lines included, the first line by (doc_id, line number)
    stays; texts with the same doc_id come by their hash, null doc_ids first.
@@ -43,6 +42,8 @@ from .graph import components
 SHINGLE, THRESHOLD = 8, 0.75
 BANDS, ROWS = 9, 3
 PER_MINIMUM, BINS = 4, 32
+#: Of the 27 minima, so many must be equal in a pair that is verified: at the threshold all but one pair in 700 have them, at 0.8 all but one in 20,000.
+AGREEING = 13
 TURNS = 1
 BLOCK = 256
 BLANKS = " \t\r\f\u000b"
@@ -80,21 +81,24 @@ def hash_at(bin_: str | Column, at: Column) -> Column:
     return F.xxhash64(F.substring(bin_, at * 2 + 1, F.lit(2 * SHINGLE)))
 
 
-def hashes(bin_: str) -> Column:
-    """The hash of each shingle of a line given by :func:`units`, as an array."""
-    return F.transform(F.sequence(F.lit(0), runs(F.octet_length(bin_)) - 1), lambda i: hash_at(F.col(bin_), i))
-
-
 def signatures(nodes: DataFrame) -> DataFrame:
-    """node and its bands, one row for each distinct line."""
-    each = nodes.select("node", units().alias("bin")).withColumn("n", runs(F.octet_length("bin")))
+    """node and its minima ``sig``, one row for each distinct line."""
+    each = nodes.select("node", "bin", runs(F.octet_length("bin")).alias("n"))
     most = (F.least(F.lit(1.0), F.lit(float(BINS * PER_MINIMUM)) / F.col("n")) * float(1 << 27)).cast("bigint")
     each = each.select("node", "bin", most.alias("most"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("at"))
     hashed = each.select("node", "most", F.shiftright(hash_at("bin", F.col("at")), 32).alias("h"))
     small = hashed.where(F.col("h").bitwiseXOR(F.lit(_REST)).bitwiseAND(F.lit((1 << 27) - 1)) < F.col("most"))
     least = small.groupBy("node").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(m).cast("bigint"))).alias(f"m{i}") for i, m in enumerate(_MASKS)])
-    bands = [F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)]
-    return least.select("node", F.array(*bands).alias("bands"))
+    return least.select("node", F.array(*[F.col(f"m{i}").cast("int") for i in range(len(_MASKS))]).alias("sig"))
+
+
+def bands() -> Column:
+    return F.array(*[F.xxhash64(F.lit(b), *[F.col("sig")[b * ROWS + r] for r in range(ROWS)]) for b in range(BANDS)])
+
+
+def agreeing(x: Column, y: Column) -> Column:
+    """How many minima two signatures share."""
+    return sum((F.when(x[i] == y[i], 1).otherwise(0) for i in range(1, len(_MASKS))), F.when(x[0] == y[0], 1).otherwise(0))
 
 
 def shared_buckets(buckets: DataFrame) -> DataFrame:
@@ -111,45 +115,43 @@ def pairs_with(rows: DataFrame, member: str, others: Column) -> DataFrame:
 
 
 def similar(pairs: DataFrame, wording: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The pairs whose exact Jaccard similarity reaches the threshold; ``wording``: node, line, n (its distinct shingles)."""
-    left = wording.select(F.col("node").alias("a"), F.col("line").alias("x"), F.col("n").alias("p"))
-    right = wording.select(F.col("node").alias("b"), F.col("line").alias("y"), F.col("n").alias("q"))
-    met = pairs.join(left, "a").join(right, "b").where(F.least("p", "q") >= threshold * F.greatest("p", "q"))
-    met = met.select("a", "b", "p", "q", units("x").alias("x"), units("y").alias("y"))
-    common = F.size(F.array_intersect(hashes("x"), hashes("y")))
-    # common / (p + q - common) >= threshold, with each set written once: a filter computes what it names.
-    return met.where(common * (1 + threshold) >= threshold * (F.col("p") + F.col("q"))).select("a", "b")
-
-
-def apart_pairs(named: DataFrame, counts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Distinct (a, b) of all nodes of a bucket in different components, whose numbers of shingles allow the threshold.
-
-    ``named``: bucket, node, component; ``counts``: node, n. Nodes meet by size class (of a ratio of the threshold, so similar
-    ones are in the same or in adjacent classes) and, in large buckets, by blocks, so that no task gets all of a bucket.
+    """The pairs whose exact Jaccard similarity reaches the threshold; ``wording``: node, bin, sig."""
+    left = wording.select(F.col("node").alias("a"), F.col("bin").alias("x"), F.col("sig").alias("p"))
+    right = wording.select(F.col("node").alias("b"), F.col("bin").alias("y"), F.col("sig").alias("q"))
+    met = pairs.join(left, "a").join(right, "b").where(agreeing(F.col("p"), F.col("q")) >= AGREEING)
+    # Dealt by pair, however many pairs a node has; all shingles of a pair then meet where its texts are.
+    sides = met.select("a", "b", "x", "y").repartition("a", "b").select("a", "b", F.posexplode(F.array("x", "y")).alias("side", "bin"))
+    each = sides.select("a", "b", "side", "bin", F.explode(F.sequence(F.lit(0), runs(F.octet_length("bin")) - 1)).alias("at"))
+    found = each.select("a", "b", "side", hash_at("bin", F.col("at")).alias("h")).groupBy("a", "b", "h").agg(F.min("side").alias("low"), F.max("side").alias("high"))
+    counts = found.groupBy("a", "b").agg(F.count("*").alias("all"), F.sum(F.col("high") - F.col("low")).alias("common"))
+    return counts.where(F.col("common") >= threshold * F.col("all")).select("a", "b")
+
+
+def apart_pairs(named: DataFrame, signed: DataFrame) -> DataFrame:
+    """Distinct (a, b) of all nodes of a bucket in different components, whose signatures agree enough.
+
+    ``named``: bucket, node, component; ``signed``: node, sig. One of two nodes is outside the bucket's leading component,
+    so those meet all others: by blocks, so that no task gets all of a large bucket.
     """
-    several = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("all")).where("low <> high").select("bucket", "all")
-    rows = named.join(several, "bucket").join(counts, "node")
-    parts = F.ceil(F.col("all") / BLOCK).cast("int")
-    # Classes are rounded down by a hair: n = 4 and n = 3 are of adjacent ones at 0.75, whatever the logarithm's last digit.
-    rows = rows.select("bucket", "node", "component", "n", F.floor(F.log("n") / -F.log(F.lit(threshold)) * (1 - 1e-9)).cast("int").alias("class"), parts.alias("parts"), F.pmod(F.xxhash64("node", F.lit("part")), parts).cast("int").alias("part"))
-    others = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    one = rows.select("bucket", "class", "part", others.alias("other"), F.col("node").alias("x"), F.col("component").alias("cx"), F.col("n").alias("p"))
-    two = rows.select("bucket", F.explode(F.array(F.col("class"), F.col("class") + 1)).alias("class"), F.col("class").alias("own"), F.col("part").alias("other"), "parts", F.col("node").alias("y"), F.col("component").alias("cy"), F.col("n").alias("q"))
-    two = two.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    met = one.join(two, ["bucket", "class", "part", "other"]).where("cx <> cy and (own < class or x < y)")
-    met = met.where(F.least("p", "q") >= threshold * F.greatest("p", "q"))
+    sizes = named.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    lead = sizes.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("lead"))
+    lead = lead.where("parts > 1").select("bucket", F.col("lead.component").alias("lead"), F.ceil(F.col("all") / BLOCK).cast("int").alias("parts"))
+    rows = named.join(lead, "bucket").join(signed, "node").withColumn("part", F.pmod(F.xxhash64("node", F.lit("part")), F.col("parts")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    one = rows.where("component <> lead").select("bucket", "part", every.alias("other"), F.col("node").alias("x"), F.col("component").alias("cx"), F.col("lead").alias("lx"), F.col("sig").alias("p"))
+    two = rows.select("bucket", every.alias("part"), F.col("part").alias("other"), F.col("node").alias("y"), F.col("component").alias("cy"), F.col("sig").alias("q"))
+    met = one.join(two, ["bucket", "part", "other"]).where("cx <> cy and (cy = lx or x < y)").where(agreeing(F.col("p"), F.col("q")) >= AGREEING)
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def line_components(nodes: DataFrame) -> DataFrame:
-    """(node, component) of the distinct lines (node, line) that have a similar one."""
+    """(node, component) of the distinct lines (node, bin) that have a similar one."""
     spark = nodes.sparkSession
     signed = save(signatures(nodes), "signatures")
     release(spark)
-    shared = save(shared_buckets(signed.select("node", F.explode("bands").alias("bucket"))), "shared")
+    shared = save(shared_buckets(signed.select("node", F.explode(bands()).alias("bucket"))), "shared")
+    wording = save(nodes.select("node", "bin").join(signed.join(shared.select("node").distinct(), "node", "left_semi"), "node"), "wording")
     drop_saved(signed)
-    wording = nodes.select("node", "line").join(shared.select("node").distinct(), "node", "left_semi").withColumn("bin", units())
-    wording = save(wording.select("node", "line", F.size(F.array_distinct(hashes("bin"))).alias("n")), "wording")
     done = [save(pairs_with(shared, "node", F.array("low")), "pairs")]
     release(spark)
     found = [save(similar(done[0], wording), "links")]
@@ -182,7 +184,7 @@ def line_components(nodes: DataFrame) -> DataFrame:
         test(pairs_with(apart, "node", F.col("lead.reps")))
         drop_saved(named)
     named = with_components()
-    test(apart_pairs(named, wording.select("node", "n")))
+    test(apart_pairs(named, wording.select("node", "sig")))
     for old in (named, shared, wording, *done):
         drop_saved(old)
     links = found[0]
@@ -202,7 +204,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     lines = lines_of(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")))
     place = F.struct("doc_id", "row", "pos")
-    nodes = save(lines.groupBy("node").agg(F.min("line").alias("line"), F.min(place).alias("first"), F.count("*").alias("n")), "nodes")
+    nodes = lines.groupBy("node").agg(F.min("line").alias("line"), F.min(place).alias("first"), F.count("*").alias("n"))
+    nodes = save(nodes.select("node", units().alias("bin"), "first", "n"), "nodes")
     release(spark)
     linked = line_components(nodes)
     found = linked.unionByName(linked.select(F.col("component").alias("node"), "component").distinct())  # it has no row for the smallest
