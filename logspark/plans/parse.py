@@ -19,7 +19,7 @@ MESSAGE_KEYS = ("message", "msg", "text", "log")
 CHUNK = 100_000
 
 
-def _entry(stamp: Column, level: Column, message: Column, prefix: Column | None = None, extra: Column | None = None, epoch: Column | None = None) -> Column:
+def entry(stamp: Column, level: Column, message: Column, prefix: Column | None = None, extra: Column | None = None, epoch: Column | None = None) -> Column:
     """What a line says, its time stamp still as text: that is parsed once, whatever the layout, when entries have merged."""
     none = F.lit(None).cast("string")
     return F.struct(
@@ -34,7 +34,7 @@ def text_entry(raw: Column, i: int) -> Column:
     names = [n for _, n in sorted((LAYOUTS[i].index(f"(?<{n}>"), n) for n in ("ts", "level", "message") if f"(?<{n}>" in LAYOUTS[i])]
     part = {n: F.regexp_extract(raw, pattern, k) for k, n in enumerate(names, 1)}
     level = F.when(part["level"].isin(*levels.KNOWN), part["level"]) if "level" in part else F.lit(None).cast("string")
-    return F.when(raw.rlike(pattern), _entry(part["ts"], level, part["message"]))
+    return F.when(raw.rlike(pattern), entry(part["ts"], level, part["message"]))
 
 
 def _get(fields: Column, keys: tuple[str, ...]) -> Column:
@@ -58,7 +58,7 @@ def json_entry(raw: Column) -> Column:
     known = [*TS_KEYS, *LEVEL_KEYS, *MESSAGE_KEYS]
     rest = F.transform_values(F.map_filter(fields, lambda k, v: ~F.lower(k).isin(*known)), lambda k, v: as_text(v))
     message = F.coalesce(as_text(_get(fields, MESSAGE_KEYS)), F.lit(""))
-    return F.when(fields.isNotNull(), _entry(as_text(stamp), F.upper(level), message, extra=F.when(F.size(rest) > 0, rest), epoch=epoch))
+    return F.when(fields.isNotNull(), entry(as_text(stamp), F.upper(level), message, extra=F.when(F.size(rest) > 0, rest), epoch=epoch))
 
 
 def _after(rest: Column, flag: Column) -> tuple[Column, Column]:
@@ -77,7 +77,7 @@ def delimited_entry(raw: Column, delimiter: Column, column: Column, flag: Column
     rest = strip(F.concat_ws(" ", F.when(tail != "", tail), F.when(others != "", others)))
     level, message = _after(rest, flag)
     prefix = F.when(column > 0, F.call_function("array_join", F.slice(parts, F.lit(1), F.greatest(column, F.lit(0))), delimiter))
-    return F.when(stamp != "", _entry(stamp, level, message, prefix))
+    return F.when(stamp != "", entry(stamp, level, message, prefix))
 
 
 def offset_entry(raw: Column, flag: Column) -> Column:
@@ -85,7 +85,7 @@ def offset_entry(raw: Column, flag: Column) -> Column:
     at = F.instr(raw, stamp)
     level, message = _after(strip(F.substr(raw, at + F.char_length(stamp), F.char_length(raw))), flag)
     before = strip(F.substr(raw, F.lit(1), at - 1))
-    return F.when(stamp != "", _entry(stamp, level, message, F.when(before != "", before)))
+    return F.when(stamp != "", entry(stamp, level, message, F.when(before != "", before)))
 
 
 def layout_of(raw: Column) -> Column:

@@ -10,21 +10,23 @@ from pyspark.sql import functions as F
 from . import operators as O
 from .functions import features, normalize, normalize_extended
 from .functions.levels import light_level
-from .functions.predicates import WIDE_ERROR_WORDS, matches
+from .functions.predicates import CONTENT_ERROR, ERROR_WORDS, WARN_WORDS, WIDE_ERROR_WORDS, matches
 from .model import LineModel, confusion, keyword_capture, label_windows, new_datasets, remap_labels, score_lines
 from .model.labeling import WINDOW
 from .model.tokens import char_ngrams, word_ngrams
 from .operators.errors import error_candidates
 from .operators.search import scanned
 from .plans import detect_formats, to_entries
-from .plans.parse import island_numbers
+from .plans.parse import entry, merge_entries
 from .sources import adapters as A
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 LABELS = ("A", "B", "C")
-ASCII = r"^[\x00-\x7F]*$"
+#: DuckDB's word boundaries know ASCII letters only: an underscore on both sides makes other characters part of a word.
+MARKED = "regexp_replace({}, '([^\\x00-\\x7F])', '_\\1_', 'g')"
+WORD_SQL = r"[\p{L}\p{M}\p{N}_]"
 
 # --- Relations in SQL -------------------------------------------------------------------------------------------
 EVENTS = """e AS (
@@ -47,7 +49,8 @@ def norm_sql(c: str, extended: bool = False) -> str:
     rules += [(ID_SQL, "<ID>", "gi"), (r"\b\d+", "<N>", "g")]
     if extended:
         rules += [('"[^"]*"', '"<STR>"', "g"), ("''[^'']*''", "''<STR>''", "g")]
-    for pattern, to, flags in [*rules, (r"\s+", " ", "g")]:
+    c = MARKED.format(c)
+    for pattern, to, flags in [*rules, (r"\s+", " ", "g"), (r"_([^\x00-\x7F])_", r"\1", "g")]:
         c = f"regexp_replace({c}, '{pattern}', '{to}', '{flags}')"
     return f"trim({c})"
 
@@ -139,13 +142,13 @@ def segment_time(spark, sf):
 
 # --- Normalisers ------------------------------------------------------------------------------------------------
 def _normalised(lines: DataFrame, f) -> DataFrame:
-    return lines.where(F.col("raw").rlike(ASCII)).select("file_path", "line_number", f(F.col("raw")).alias("pattern"))
+    return lines.select("file_path", "line_number", f(F.col("raw")).alias("pattern"))
 
 
 PAGES = "s AS (SELECT page_id, string_split(html, chr(10)) AS parts FROM pages), l AS (SELECT CAST(page_id AS VARCHAR) AS file_path, unnest(range(1, len(parts) + 1)) AS line_number, unnest(parts) AS raw FROM s)"
 for _name, _rel, _lines in (("docs", LINES, A.doc_lines), ("pages", PAGES, A.page_lines)):
     for _kind, _f in (("base", normalize), ("ext", normalize_extended)):
-        register(f"normalize_{_kind}_{_name}", f"WITH {_rel} SELECT file_path, line_number, {norm_sql('raw', _kind == 'ext')} AS pattern FROM l WHERE regexp_matches(raw, '^[\\x00-\\x7F]*$')")(lambda spark, sf, f=_f, lines=_lines: _normalised(lines(spark, sf), f))
+        register(f"normalize_{_kind}_{_name}", f"WITH {_rel} SELECT file_path, line_number, {norm_sql('raw', _kind == 'ext')} AS pattern FROM l")(lambda spark, sf, f=_f, lines=_lines: _normalised(lines(spark, sf), f))
 
 
 # --- Errors -----------------------------------------------------------------------------------------------------
@@ -171,7 +174,7 @@ def errors_summary(spark, sf):
     return O.error_summary(error_candidates(A.events_entries(spark, sf)))
 
 
-_CONTENT_SQL = r"(?i)##\[error\]|(?:^|\s)error[:\s]|(?:^|\s)fatal[:\s]|\bfailed\b|\bPermission denied\b|\bcommand not found\b|\bNo such file or directory\b|\bunable to\b|\bExited with code [1-9]|\bsegmentation fault\b|\bcannot find\b|\bCould not\b|\bnot found\b"
+_CONTENT_SQL = "(?i)" + CONTENT_ERROR
 
 
 def _content_entries(spark, sf):
@@ -186,28 +189,30 @@ def errors_content_groups(spark, sf):
     return O.error_groups(error_candidates(_content_entries(spark, sf)), None).drop("stack_trace")
 
 
-def _doc_blocks(spark, sf):
-    """Lines of documents with entries beginning at capital letters."""
-    lines = A.doc_lines(spark, sf)
-    return island_numbers(lines, F.col("raw").rlike("^[A-M]")).where("entry_id > 0")
+def _doc_entries(spark, sf):
+    """Lines of documents merged to entries that begin at capital letters."""
+    raw = F.col("raw")
+    none = F.lit(None).cast("string")
+    parsed = A.doc_lines(spark, sf).withColumns({"fmt": F.lit("text"), "e": F.when(raw.rlike("^[A-M]"), entry(none, F.lit("ERROR"), raw))})
+    return merge_entries(parsed)
 
 
 _BLOCKS = f"{LINES}, b AS (SELECT *, sum(CASE WHEN regexp_matches(raw, '^[A-M]') THEN 1 ELSE 0 END) OVER (PARTITION BY file_path ORDER BY line_number) AS entry_id FROM l)"
 
 
-@register("multiline_merge", f"WITH {_BLOCKS} SELECT file_path, CAST(entry_id AS BIGINT) AS entry_id, min(line_number) AS line_number, max(line_number) AS end_line, string_agg(raw, chr(10) ORDER BY line_number) AS raw FROM b WHERE entry_id > 0 GROUP BY file_path, entry_id")
+@register("multiline_merge", f"WITH {_BLOCKS} SELECT file_path, min(line_number) AS line_number, max(line_number) AS end_line, string_agg(raw, chr(10) ORDER BY line_number) AS raw FROM b WHERE entry_id > 0 GROUP BY file_path, entry_id")
 def multiline_merge(spark, sf):
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_number", "raw"))), lambda x: x["raw"]), "\n")
-    return _doc_blocks(spark, sf).groupBy("file_path", "entry_id").agg(F.min("line_number").alias("line_number"), F.max("line_number").alias("end_line"), text.alias("raw"))
+    return _doc_entries(spark, sf).select("file_path", "line_number", "end_line", "raw")
+
 
+_MERGED = f"{_BLOCKS}, m AS (SELECT min(line_number) + CAST(file_path AS BIGINT) * 1000000 AS first, string_agg(raw, chr(10) ORDER BY line_number) AS raw FROM b WHERE entry_id > 0 GROUP BY file_path, entry_id)"
 
-@register("errors_stack_trace", f"WITH {_BLOCKS}, m AS (SELECT entry_id, file_path, min(line_number) AS line_number, count(*) - 1 AS n, string_agg(CASE WHEN k BETWEEN 2 AND 11 THEN raw END, chr(10) ORDER BY line_number) AS trace FROM (SELECT *, row_number() OVER (PARTITION BY file_path, entry_id ORDER BY line_number) AS k FROM b WHERE entry_id > 0) GROUP BY file_path, entry_id) SELECT file_path, line_number, CASE WHEN n > 10 THEN trace || chr(10) || '... (' || (n - 10) || ' more lines)' WHEN n > 0 THEN trace END AS stack_trace FROM m")
+
+@register("errors_stack_trace", f"WITH {_MERGED}, g AS (SELECT {norm_sql('raw')} AS fingerprint, count(*) AS count, min(first) AS first_line, max(first) AS last_line, string_split(arg_min(raw, first), chr(10))[2:] AS r FROM m GROUP BY 1) SELECT fingerprint, count, first_line, last_line, CASE WHEN len(r) > 10 THEN array_to_string(r[1:10], chr(10)) || chr(10) || '... (' || (len(r) - 10) || ' more lines)' WHEN len(r) > 0 THEN array_to_string(r, chr(10)) END AS stack_trace FROM g")
 def errors_stack_trace(spark, sf):
-    entries = multiline_merge(spark, sf).select("file_path", "line_number", "raw")
-    lines = F.split("raw", "\n")
-    rest = F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))
-    shown = F.when(F.size(rest) > 10, F.concat(F.slice(rest, 1, 10), F.array(F.format_string("... (%d more lines)", F.size(rest) - 10)))).otherwise(rest)
-    return entries.select("file_path", "line_number", F.when(F.size(rest) > 0, F.array_join(shown, "\n")).alias("stack_trace"))
+    """All documents as one log, so that first entries are definite."""
+    entries = _doc_entries(spark, sf).withColumn("line_number", F.col("line_number") + F.col("file_path").cast("bigint") * 1_000_000)
+    return O.error_groups(error_candidates(entries), None).select("fingerprint", "count", "first_line", "last_line", "stack_trace")
 
 
 # --- Statistics -------------------------------------------------------------------------------------------------
@@ -314,58 +319,55 @@ def detect_format(spark, sf):
     return detect_formats(every).select(F.col("file_path").alias("layout"), "fmt")
 
 
-@register("light_levels", f"WITH {LINES} SELECT file_path, line_number, CASE upper(x) WHEN 'WARNING' THEN 'WARN' ELSE upper(x) END AS level FROM (SELECT *, regexp_extract(raw, '(?i)\\b(EMERGENCY|FATAL|CRITICAL|ERROR|WARN(?:ING)?|INFO|DEBUG|TRACE|NOTICE)\\b', 1) AS x FROM l WHERE regexp_matches(raw, '^[\\x00-\\x7F]*$')) WHERE x <> ''")
+@register("light_levels", f"WITH {EVENTS} SELECT line_number, CASE WHEN line_number % 5 = 0 THEN 'WARN' ELSE level END AS level FROM e")
 def light_levels(spark, sf):
-    lines = A.doc_lines(spark, sf).where(F.col("raw").rlike(ASCII)).select("file_path", "line_number", light_level(F.col("raw")).alias("level"))
-    return lines.where("level is not null")
+    raw = F.when(F.col("line_number") % 5 == 0, F.concat(F.lit("Warning: "), "raw")).otherwise(F.col("raw"))
+    return A.events_raw(spark, sf).select("line_number", light_level(raw).alias("level"))
 
 
 # --- Features, n-grams, classifier ------------------------------------------------------------------------------
 _NEG = features.NEGATIVE.replace("'", "''")
-_COUNT = "CAST(len(regexp_extract_all(raw, '{}')) AS DOUBLE)"
+_COUNT = "CAST(len(regexp_extract_all({}, '{}')) AS DOUBLE)"
 _W = "list_filter(regexp_split_to_array(raw, '\\s+'), lambda x: x <> '')"
-_FEATURES_SQL = f"""WITH {LINES}, a AS (SELECT *, {_W} AS w FROM l WHERE regexp_matches(raw, '^[\\x00-\\x7F]*$'))
-SELECT file_path, line_number, CAST(length(raw) AS DOUBLE) AS length, {_COUNT.format('[A-Z]')} / greatest(length(raw), 1) AS uppercase_ratio,
-  CAST(regexp_matches(raw, '(?i){features.LEVEL}') AS DOUBLE) AS has_level, {_COUNT.format('[0-9]')} / greatest(length(raw), 1) AS digit_ratio,
-  CAST(regexp_matches(raw, '(?i){features.STACK}') AS DOUBLE) AS has_stack, {_COUNT.format('[:;=()\\[\\]{{}}]')} / greatest(length(raw), 1) AS struct_punct,
-  CAST(regexp_matches(raw, '(?i){_NEG}') AS DOUBLE) AS has_negative, {_COUNT.format('(?i)' + _NEG)} AS n_negative, CAST(len(w) AS DOUBLE) AS word_count,
-  CAST(len(list_filter(w, lambda x: regexp_matches(x, '^[A-Z]{{3,}}$'))) AS DOUBLE) AS n_allcaps, CAST(length(regexp_extract(raw, '^\\s*')) AS DOUBLE) AS leading_ws,
-  CAST(regexp_matches(raw, '{features.PATH}') AS DOUBLE) AS has_path, {_COUNT.format(features.HEX)} AS n_hex, {_COUNT.format(features.KEY_VALUE)} AS n_kv,
-  CAST(len(list_distinct(list_transform(w, lambda x: lower(x)))) AS DOUBLE) / greatest(len(w), 1) AS unique_ratio, {_COUNT.format('[!?]')} AS n_emphasis FROM a"""
+_FEATURES_SQL = f"""WITH {LINES}, a AS (SELECT *, {_W} AS w, {MARKED.format('raw')} AS m, string_split(raw, '') AS c FROM l)
+SELECT file_path, line_number, CAST(length(raw) AS DOUBLE) AS length, {_COUNT.format('raw', '\\p{Lu}')} / greatest(length(raw), 1) AS uppercase_ratio,
+  CAST(regexp_matches(raw, '(?i){features.LEVEL}') AS DOUBLE) AS has_level, {_COUNT.format('raw', '\\p{Nd}')} / greatest(length(raw), 1) AS digit_ratio,
+  CAST(regexp_matches(raw, '(?i){features.STACK}') AS DOUBLE) AS has_stack, {_COUNT.format('raw', '[:;=()\\[\\]{}]')} / greatest(length(raw), 1) AS struct_punct,
+  CAST(regexp_matches(m, '(?i){_NEG}') AS DOUBLE) AS has_negative, {_COUNT.format('m', '(?i)' + _NEG)} AS n_negative, CAST(len(w) AS DOUBLE) AS word_count,
+  CAST(len(list_filter(w, lambda x: regexp_matches(x, '^\\p{{Lu}}{{3,}}$'))) AS DOUBLE) AS n_allcaps, CAST(length(regexp_extract(raw, '^\\s*')) AS DOUBLE) AS leading_ws,
+  CAST(regexp_matches(raw, '/[\\p{{L}}\\p{{M}}\\p{{N}}_./-]{{3,}}') AS DOUBLE) AS has_path, {_COUNT.format('m', features.HEX)} AS n_hex,
+  CAST(len(list_filter(range(1, len(c) - 1), lambda i: c[i] = c[i + 1] AND c[i] = c[i + 2])) > 0 AS DOUBLE) AS has_repeated_punct, {_COUNT.format('m', features.KEY_VALUE)} AS n_kv,
+  CAST(len(list_distinct(list_transform(w, lambda x: lower(x)))) AS DOUBLE) / greatest(len(w), 1) AS unique_ratio, {_COUNT.format('raw', '[!?]')} AS n_emphasis FROM a"""
 
 
 @register("features_17", _FEATURES_SQL)
 def features_17(spark, sf):
-    """All but the back-reference feature, which SQL has no pattern for."""
-    lines = A.doc_lines(spark, sf).where(F.col("raw").rlike(ASCII))
-    return lines.select("file_path", "line_number", *features.line_features(F.col("raw"))).drop("has_repeated_punct")
-
+    return A.doc_lines(spark, sf).select("file_path", "line_number", *features.line_features(F.col("raw")))
 
-@register("feature_repeated_punct")
-def feature_repeated_punct(spark, sf):
-    return A.doc_lines(spark, sf).select("file_path", "line_number", features.line_features(F.col("raw"))[13])
 
+_WORDS = f"w AS (SELECT doc_id, regexp_extract_all(lower(text), '{WORD_SQL}{{2,}}') AS w FROM documents)"
 
-_ASCII_DOCS = "d AS (SELECT doc_id, text FROM documents WHERE regexp_matches(text, '^[\\x00-\\x7F]*$'))"
 
-
-@register("word_ngrams_df", f"WITH {_ASCII_DOCS}, w AS (SELECT doc_id, regexp_extract_all(lower(text), '\\b\\w\\w+\\b') AS w FROM d), g AS (SELECT doc_id, unnest(w) AS gram FROM w UNION SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM w) SELECT gram, count(*) AS df FROM g GROUP BY gram HAVING count(*) >= 10")
+@register("word_ngrams_df", f"WITH {_WORDS}, g AS (SELECT doc_id, unnest(w) AS gram FROM w UNION SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM w UNION SELECT doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM w) SELECT gram, count(*) AS df FROM g GROUP BY gram HAVING count(*) >= 10")
 def word_ngrams_df(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet").where(F.col("text").rlike(r"(?s)^[\x00-\x7F]*$"))
-    grams = docs.select("doc_id", F.explode(F.array_distinct(word_ngrams(F.col("text"), 1, 2))).alias("gram"))
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    grams = docs.select("doc_id", F.explode(F.array_distinct(word_ngrams(F.col("text")))).alias("gram"))
     return grams.groupBy("gram").agg(F.count("*").alias("df")).where("df >= 10")
 
 
-@register("charwb_ngrams_df", f"WITH {LINES}, a AS (SELECT file_path, line_number, ' ' || x || ' ' AS p FROM (SELECT file_path, line_number, unnest({_W.replace('raw', 'lower(raw)')}) AS x FROM l WHERE regexp_matches(raw, '^[\\x00-\\x7F]*$') AND line_number <= 2)), g AS (SELECT file_path, line_number, unnest(list_transform(range(1, length(p) - 1), lambda i: substr(p, i, 3))) AS gram FROM a) SELECT gram, count(DISTINCT file_path || ':' || line_number) AS df FROM g GROUP BY gram")
+_CHARWB = " UNION ".join(f"SELECT file_path, line_number, unnest(list_transform(range(1, length(p) - {n - 2}), lambda i: substr(p, i, {n}))) AS gram FROM a" for n in (3, 4, 5, 6))
+
+
+@register("charwb_ngrams_df", f"WITH {LINES}, a AS (SELECT DISTINCT file_path, line_number, ' ' || x || ' ' AS p FROM (SELECT file_path, line_number, unnest({_W.replace('raw', 'lower(raw)')}) AS x FROM l)), g AS ({_CHARWB}) SELECT gram, count(*) AS df FROM g GROUP BY gram")
 def charwb_ngrams_df(spark, sf):
-    lines = A.doc_lines(spark, sf).where(F.col("raw").rlike(ASCII) & (F.col("line_number") <= 2))
-    grams = lines.select("file_path", "line_number", F.explode(F.array_distinct(char_ngrams(F.col("raw"), 3, 3))).alias("gram"))
+    lines = A.doc_lines(spark, sf)
+    grams = lines.select("file_path", "line_number", F.explode(F.array_distinct(char_ngrams(F.col("raw")))).alias("gram"))
     return grams.groupBy("gram").agg(F.count("*").alias("df"))
 
 
-@register("tfidf_weights", f"WITH {_ASCII_DOCS}, w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\\b\\w\\w+\\b')) AS gram FROM d), c AS (SELECT doc_id, gram, count(*) AS n FROM w GROUP BY ALL), f AS (SELECT gram, count(*) AS df FROM c GROUP BY gram), t AS (SELECT count(*) AS n_docs FROM d) SELECT doc_id, gram, round((1 + ln(n)) * (ln((1.0 + n_docs) / (1 + df)) + 1), 6) AS weight FROM c JOIN f USING (gram), t WHERE df >= 20")
+@register("tfidf_weights", f"WITH {_WORDS}, u AS (SELECT doc_id, unnest(w) AS gram FROM w), c AS (SELECT doc_id, gram, count(*) AS n FROM u GROUP BY ALL), f AS (SELECT gram, count(*) AS df FROM c GROUP BY gram), t AS (SELECT count(*) AS n_docs FROM documents) SELECT doc_id, gram, round((1 + ln(n)) * (ln((1.0 + n_docs) / (1 + df)) + 1), 6) AS weight FROM c JOIN f USING (gram), t WHERE df >= 20")
 def tfidf_weights(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet").where(F.col("text").rlike(r"(?s)^[\x00-\x7F]*$"))
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
     counted = docs.select("doc_id", F.explode(word_ngrams(F.col("text"), 1, 1)).alias("gram")).groupBy("doc_id", "gram").agg(F.count("*").alias("n"))
     df = counted.groupBy("gram").agg(F.count("*").alias("df")).where("df >= 20")
     total = docs.agg(F.count("*").alias("t"))
@@ -382,7 +384,7 @@ SMALL_MODEL = LineModel({
     "classifier": {"coef": list(WEIGHTS.values()), "intercept": INTERCEPT, "classes": ["LOOK", "SKIP"], "n_word_features": 0, "n_char_features": 0, "n_handcrafted_features": 17},
 })
 _SCORE = f"1 / (1 + exp({INTERCEPT} + " + " + ".join(f"{w} * {n}" for n, w in WEIGHTS.items() if w) + "))"
-_SCORED = _FEATURES_SQL.removeprefix("WITH ").replace(")\nSELECT file_path, line_number,", "),\nx AS (SELECT file_path, source, raw, line_number,", 1) + f"), p AS (SELECT *, {_SCORE} AS p_look FROM x)"
+_SCORED = _FEATURES_SQL.removeprefix("WITH ").replace(")\nSELECT file_path, line_number,", "),\nx AS (SELECT file_path, source, raw, m, line_number,", 1) + f"), p AS (SELECT *, {_SCORE} AS p_look FROM x)"
 
 
 def _scored(spark, sf, by_source: bool = False):
@@ -391,7 +393,7 @@ def _scored(spark, sf, by_source: bool = False):
         lines = docs.select(F.col("source").alias("file_path"), "doc", (F.col("pos") + 1).cast("bigint").alias("line_number"), "raw")
     else:
         lines = A.doc_lines(spark, sf)
-    return score_lines(lines.where(F.col("raw").rlike(ASCII)), SMALL_MODEL)
+    return score_lines(lines, SMALL_MODEL)
 
 
 @register("classify_scores", f"WITH {_SCORED} SELECT file_path, line_number, round(p_look, 6) AS p_look, CASE WHEN p_look >= 0.5 THEN 'LOOK' ELSE 'SKIP' END AS label FROM p")
@@ -401,11 +403,10 @@ def classify_scores(spark, sf):
     return label_lines(_scored(spark, sf)).select("file_path", "line_number", F.round("p_look", 6).alias("p_look"), "label")
 
 
-_ERR = r"(?i)\bERROR\b|\bFATAL\b|\bCRITICAL\b|\bSEVERE\b|\bFAILURE\b|\bFAILED\b|\bException\b"
-_WARN = r"(?i)\bWARN\b|\bWARNING\b"
+_ERR, _WARN = "(?i)" + ERROR_WORDS, "(?i)" + WARN_WORDS
 
 
-@register("classify_counts", f"WITH {_SCORED}, q AS (SELECT p_look >= 0.5 AS look, regexp_matches(raw, '{_ERR}') AS e, regexp_matches(raw, '{_WARN}') AND NOT regexp_matches(raw, '{_ERR}') AS w FROM p) SELECT count(*) AS total, count(*) FILTER (WHERE look) AS look, count(*) FILTER (WHERE NOT look) AS skip, count(*) FILTER (WHERE e) AS error_total, count(*) FILTER (WHERE e AND look) AS error_captured, count(*) FILTER (WHERE w) AS warn_total, count(*) FILTER (WHERE w AND look) AS warn_captured FROM q")
+@register("classify_counts", f"WITH {_SCORED}, q AS (SELECT p_look >= 0.5 AS look, regexp_matches(m, '{_ERR}') AS e, regexp_matches(m, '{_WARN}') AND NOT regexp_matches(m, '{_ERR}') AS w FROM p) SELECT count(*) AS total, count(*) FILTER (WHERE look) AS look, count(*) FILTER (WHERE NOT look) AS skip, count(*) FILTER (WHERE e) AS error_total, count(*) FILTER (WHERE e AND look) AS error_captured, count(*) FILTER (WHERE w) AS warn_total, count(*) FILTER (WHERE w AND look) AS warn_captured FROM q")
 def classify_counts(spark, sf):
     return O.classify_counts(_scored(spark, sf))
 
@@ -416,7 +417,7 @@ def confidence_buckets(spark, sf):
 
 
 _WIDE = "(?i)" + WIDE_ERROR_WORDS
-_CAPTURE = f"count(*) AS lines, count(*) FILTER (WHERE p_look >= 0.5) AS look, count(*) FILTER (WHERE regexp_matches(raw, '{_WIDE}')) AS errors, count(*) FILTER (WHERE regexp_matches(raw, '{_WIDE}') AND p_look >= 0.5) AS errors_captured, count(*) FILTER (WHERE regexp_matches(raw, '{_WARN}')) AS warns, count(*) FILTER (WHERE regexp_matches(raw, '{_WARN}') AND p_look >= 0.5) AS warns_captured"
+_CAPTURE = f"count(*) AS lines, count(*) FILTER (WHERE p_look >= 0.5) AS look, count(*) FILTER (WHERE regexp_matches(m, '{_WIDE}')) AS errors, count(*) FILTER (WHERE regexp_matches(m, '{_WIDE}') AND p_look >= 0.5) AS errors_captured, count(*) FILTER (WHERE regexp_matches(m, '{_WARN}')) AS warns, count(*) FILTER (WHERE regexp_matches(m, '{_WARN}') AND p_look >= 0.5) AS warns_captured"
 _RATES = "CASE WHEN errors > 0 THEN CAST(errors_captured AS DOUBLE) / errors * 100 ELSE 100 END AS error_rate, CASE WHEN warns > 0 THEN CAST(warns_captured AS DOUBLE) / warns * 100 ELSE 100 END AS warn_rate"
 
 
