@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Fixed values.
 ISO = r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:[.,]\d+)?(?:Z|[+-]\d{2}:?\d{2})?"
 SLASHED = r"\d{2}/\d{2}/\d{2} \d{2}:\d{2}:\d{2}"
 COMMON_LOG = r"\d{2}/[A-Z][a-z]{2}/\d{4}:\d{2}:\d{2}:\d{2}(?:\s[+-]\d{4})?"
@@ -33,11 +36,14 @@ def _month_number(name: Column) -> Column:
     return F.when((at > 0) & (F.pmod(at, F.lit(3)) == 1), F.lpad(F.floor((at + 2) / 3).cast("string"), 2, "0"))
 
 
-def parse_timestamp(text: Column, strict: bool = False) -> Column:
+FORMS = ("iso", "slashed", "common", "syslog")
+
+
+def parse_timestamp(text: Column, strict: bool = False, forms: Collection[str] = FORMS) -> Column:
     """STRUCT<ts TIMESTAMP_NTZ, tz_offset_s INT> of a time stamp in any known layout, null fields if it is none.
 
     Layouts without a year get 1900, two-digit years pivot at 69. Fractions are cut to microseconds, and may follow a
-    comma; ``strict`` takes ISO layouts only, with at most six digits after a point.
+    comma; ``strict`` takes ISO layouts only, with at most six digits after a point; ``forms`` are those that can occur.
     """
     pattern = _STRICT_ISO_PARTS if strict else _ISO_PARTS
     part = lambda i: F.regexp_extract(text, pattern, i)
@@ -45,15 +51,19 @@ def parse_timestamp(text: Column, strict: bool = False) -> Column:
     iso = text.rlike(pattern)
     ts = F.when(iso, _ntz(F.concat(part(1), F.lit(" "), part(2), fraction)))
     offset = F.when(iso, _offset(part(4)))
-    if not strict:
+    if strict:
+        forms = ("iso",)
+    if "slashed" in forms:
         slash = r"^(\d{2})/(\d{2})/(\d{2}) (\d{2}:\d{2}:\d{2})$"
         s = lambda i: F.regexp_extract(text, slash, i)
         century = F.when(s(1).try_cast("int") >= 69, "19").otherwise("20")
         ts = ts.when(text.rlike(slash), _ntz(F.concat(century, s(1), F.lit("-"), s(2), F.lit("-"), s(3), F.lit(" "), s(4))))
+    if "common" in forms:
         common = r"^(\d{2})/([A-Z][a-z]{2})/(\d{4}):(\d{2}:\d{2}:\d{2})(?:\s([+-]\d{4}))?$"
         c = lambda i: F.regexp_extract(text, common, i)
         ts = ts.when(text.rlike(common), _ntz(F.concat(c(3), F.lit("-"), _month_number(c(2)), F.lit("-"), c(1), F.lit(" "), c(4))))
         offset = offset.when(text.rlike(common), _offset(c(5)))
+    if "syslog" in forms:
         syslog = r"^([A-Z][a-z]{2})\s+(\d{1,2})\s+(\d{2}:\d{2}:\d{2})$"
         y = lambda i: F.regexp_extract(text, syslog, i)
         ts = ts.when(text.rlike(syslog), _ntz(F.concat(F.lit("1900-"), _month_number(y(1)), F.lit("-"), F.lpad(y(2), 2, "0"), F.lit(" "), y(3))))

@@ -25,7 +25,12 @@ LAYOUTS = (
     rf"^(?<ts>{T.ISO})\s+(?<message>.*)$",
 )
 DELIMITERS = ("\t", "|")
-SCHEMA = "file_path string, fmt string, delimiter string, ts_column int, level_after_ts boolean"
+SCHEMA = "file_path string, fmt string, delimiter string, ts_column int, level_after_ts boolean, first_layout int"
+#: Rows of a table with a row for each file that go to the driver, and from there to every task; larger ones are joined.
+FILES = 50_000
+
+
+# The layouts and delimiters above are fixed values.
 
 
 def python_layout(i: int) -> str:
@@ -90,12 +95,27 @@ def detect_sample(lines: Sequence[str]) -> tuple[str, str | None, int | None, bo
     return "text", None, None, False
 
 
+def first_layout(lines: Sequence[str]) -> int | None:
+    """The first layout that the first line with any matches."""
+    return next((i for x in lines for i in range(len(LAYOUTS)) if re.match(python_layout(i), x)), None)
+
+
 def detect_formats(lines: DataFrame) -> DataFrame:
     """One row per file, see ``SCHEMA``; only the first lines of a file leave the scan."""
     ship(lines.sparkSession)
 
     def detect(pdf: pd.DataFrame) -> pd.DataFrame:
-        fmt, delimiter, column, flag = detect_sample(pdf.sort_values("line_number")["raw"].tolist())
-        return pd.DataFrame([[pdf["file_path"].iloc[0], fmt, delimiter, column, flag]], columns=["file_path", "fmt", "delimiter", "ts_column", "level_after_ts"])
+        sample = pdf.sort_values("line_number")["raw"].tolist()
+        fmt, delimiter, column, flag = detect_sample(sample)
+        row = pd.DataFrame([[pdf["file_path"].iloc[0], fmt, delimiter, column, flag, first_layout(sample)]], columns=["file_path", "fmt", "delimiter", "ts_column", "level_after_ts", "first_layout"])
+        return row.astype({"ts_column": "Int32", "first_layout": "Int32"})
 
     return lines.where(F.col("line_number") <= SAMPLE).groupBy("file_path").applyInPandas(detect, SCHEMA)
+
+
+def held(table: DataFrame) -> tuple[DataFrame, list | None]:
+    """A table with a row for each file, computed once and made a broadcast side if it has at most ``FILES`` rows, and those rows."""
+    rows = table.limit(FILES + 1).collect()
+    if len(rows) > FILES:
+        return table, None
+    return F.broadcast(table.sparkSession.createDataFrame(rows, table.schema)), rows

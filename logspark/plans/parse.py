@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from ..functions import levels
 from ..functions import timestamps as T
 from ..functions.normalize import strip
-from .formats import LAYOUTS, detect_formats
+from .formats import LAYOUTS, detect_formats, held
 
 # Keys of JSON lines, in the order in which they are looked for.
 TS_KEYS = ("timestamp", "time", "ts", "@timestamp", "datetime", "date")
@@ -28,6 +28,12 @@ def entry(stamp: Column, level: Column, message: Column, prefix: Column | None =
     )
 
 
+def nothing() -> Column:
+    """No entry, with the type of one."""
+    none = F.lit(None).cast("string")
+    return F.when(F.lit(False), entry(none, none, none))
+
+
 def text_entry(raw: Column, i: int) -> Column:
     """Entry of a line in layout ``i``; null if the line has another. A word in level position that is no level is lost."""
     pattern = "(?dU)" + LAYOUTS[i]
@@ -47,9 +53,12 @@ def _get(fields: Column, keys: tuple[str, ...]) -> Column:
     return F.coalesce(*exact, *map(folded, keys))
 
 
-def json_entry(raw: Column) -> Column:
+def json_fields(raw: Column) -> Column:
+    return F.when(strip(raw).startswith("{"), F.from_json(strip(raw), "map<string,variant>"))
+
+
+def json_entry(fields: Column) -> Column:
     """Entry of a JSON object on a line; null for anything else. Numbers as time stamps are epoch seconds, or milliseconds above 1e12."""
-    fields = F.when(strip(raw).startswith("{"), F.from_json(strip(raw), "map<string,variant>"))
     as_text = lambda v: F.try_variant_get(v, "$", "string")
     stamp, level = _get(fields, TS_KEYS), as_text(_get(fields, LEVEL_KEYS))
     number = F.when(~F.schema_of_variant(stamp).isin("STRING", "BOOLEAN", "VOID"), F.try_variant_get(stamp, "$", "double"))
@@ -68,24 +77,37 @@ def _after(rest: Column, flag: Column) -> tuple[Column, Column]:
     return F.when(has, levels.canonical_level(word)), F.when(has, F.regexp_replace(rest, r"(?sU)^\S+\s*", "")).otherwise(rest)
 
 
-def delimited_entry(raw: Column, delimiter: Column, column: Column, flag: Column) -> Column:
-    parts = F.split(raw, F.concat(F.lit(r"\Q"), delimiter, F.lit(r"\E")), -1)
-    cell = F.regexp_replace(strip(F.get(parts, column)), "^﻿", "")
-    stamp = F.regexp_extract(cell, T.ANYWHERE, 1)
-    tail = strip(F.substr(cell, F.instr(cell, stamp) + F.char_length(stamp), F.char_length(cell)))
-    others = strip(F.call_function("array_join", F.slice(parts, column + 2, F.greatest(F.size(parts) - column - 1, F.lit(0))), delimiter))
-    rest = strip(F.concat_ws(" ", F.when(tail != "", tail), F.when(others != "", others)))
-    level, message = _after(rest, flag)
-    prefix = F.when(column > 0, F.call_function("array_join", F.slice(parts, F.lit(1), F.greatest(column, F.lit(0))), delimiter))
-    return F.when(stamp != "", entry(stamp, level, message, prefix))
+def delimited_columns(typed: DataFrame) -> DataFrame:
+    """With _parts, _cell, _stamp and _rest: each is named in several places, and a plan would else repeat all of it there."""
+    delimiter, column = F.col("delimiter"), F.col("ts_column")
+    typed = typed.withColumn("_parts", F.split("raw", F.concat(F.lit(r"\Q"), delimiter, F.lit(r"\E")), -1))
+    typed = typed.withColumn("_cell", F.regexp_replace(strip(F.get("_parts", column)), "^\ufeff", ""))
+    typed = typed.withColumn("_stamp", F.regexp_extract("_cell", T.ANYWHERE, 1))
+    tail = strip(F.substr("_cell", F.instr("_cell", F.col("_stamp")) + F.char_length("_stamp"), F.char_length("_cell")))
+    others = strip(F.call_function("array_join", F.slice("_parts", column + 2, F.greatest(F.size("_parts") - column - 1, F.lit(0))), delimiter))
+    typed = typed.withColumn("_tail", tail).withColumn("_others", others)
+    return typed.withColumn("_rest", strip(F.concat_ws(" ", F.when(F.col("_tail") != "", F.col("_tail")), F.when(F.col("_others") != "", F.col("_others")))))
+
 
+def delimited_entry() -> Column:
+    """Of the columns of :func:`delimited_columns`."""
+    column = F.col("ts_column")
+    level, message = _after(F.col("_rest"), F.col("level_after_ts"))
+    prefix = F.when(column > 0, F.call_function("array_join", F.slice("_parts", F.lit(1), F.greatest(column, F.lit(0))), F.col("delimiter")))
+    return F.when(F.col("_stamp") != "", entry(F.col("_stamp"), level, message, prefix))
 
-def offset_entry(raw: Column, flag: Column) -> Column:
-    stamp = F.regexp_extract(raw, T.ANYWHERE, 1)
-    at = F.instr(raw, stamp)
-    level, message = _after(strip(F.substr(raw, at + F.char_length(stamp), F.char_length(raw))), flag)
-    before = strip(F.substr(raw, F.lit(1), at - 1))
-    return F.when(stamp != "", entry(stamp, level, message, F.when(before != "", before)))
+
+def offset_columns(typed: DataFrame) -> DataFrame:
+    """With _found, _at and _behind, see :func:`delimited_columns`."""
+    typed = typed.withColumn("_found", F.regexp_extract("raw", T.ANYWHERE, 1)).withColumn("_at", F.instr("raw", F.col("_found")))
+    return typed.withColumn("_behind", strip(F.substr("raw", F.col("_at") + F.char_length("_found"), F.char_length("raw"))))
+
+
+def offset_entry() -> Column:
+    """Of the columns of :func:`offset_columns`."""
+    level, message = _after(F.col("_behind"), F.col("level_after_ts"))
+    before = strip(F.substr("raw", F.lit(1), F.col("_at") - 1))
+    return F.when(F.col("_found") != "", entry(F.col("_found"), level, message, F.when(before != "", before)))
 
 
 def layout_of(raw: Column) -> Column:
@@ -96,18 +118,39 @@ def layout_of(raw: Column) -> Column:
     return out
 
 
-def parse_lines(lines: DataFrame, formats: DataFrame) -> DataFrame:
-    """``lines`` with ``e``, the entry that begins there or null; a text file keeps to the layout of its first match."""
-    typed = lines.join(formats, "file_path")
-    locks = typed.where((F.col("fmt") == "text") & layout_of(F.col("raw")).isNotNull()).groupBy("file_path").agg(F.min_by(layout_of(F.col("raw")), "line_number").alias("layout"))
-    typed = typed.join(locks, "file_path", "left")
-    blank = strip(F.col("raw")) == ""
-    e = F.when(blank, F.lit(None)).when(F.col("fmt") == "json", json_entry(F.col("raw")))
+def parse_lines(lines: DataFrame, formats: DataFrame, whole: bool = True) -> DataFrame:
+    """``lines`` with ``e``, the entry that begins there or null; a text file keeps to the layout of its first match.
+
+    That match is among the sampled lines as a rule (``whole``: if they belong to the range); only files without one
+    there are searched for it.
+    """
+    formats, known = held(formats)
+    kinds = None if known is None else {(r["fmt"], r["first_layout"] if r["fmt"] == "text" and whole else None) for r in known}
+    typed = lines.join(formats, "file_path").withColumn("layout", F.col("first_layout") if whole else F.lit(None).cast("int"))
+    if kinds is None or ("text", None) in kinds:
+        unlocked = typed.where((F.col("fmt") == "text") & F.col("layout").isNull()).withColumn("layout", layout_of(F.col("raw")))
+        locks, found = held(unlocked.where("layout is not null").groupBy("file_path").agg(F.min_by("layout", "line_number").alias("_lock")))
+        typed = typed.join(locks, "file_path", "left").withColumn("layout", F.coalesce("layout", "_lock"))
+        kinds = None if kinds is None or found is None else kinds | {("text", r["_lock"]) for r in found}
+    # Only what can occur is in the plan: a branch for every layout would cost more to plan than many logs to parse.
+    occurs = lambda fmt, layout=None: kinds is None or (fmt, layout) in kinds
+    raw = F.col("raw")
+    e = F.when(strip(raw) == "", nothing())
+    if occurs("json"):
+        typed = typed.withColumn("_fields", F.when(F.col("fmt") == "json", json_fields(raw)))
+        e = e.when(F.col("fmt") == "json", json_entry(F.col("_fields")))
     for i in range(len(LAYOUTS)):
-        e = e.when((F.col("fmt") == "text") & (F.col("layout") == i), text_entry(F.col("raw"), i))
-    e = e.when(F.col("fmt") == "delim", delimited_entry(F.col("raw"), F.col("delimiter"), F.col("ts_column"), F.col("level_after_ts")))
-    e = e.when(F.col("fmt") == "offset", offset_entry(F.col("raw"), F.col("level_after_ts")))
-    return typed.select("file_path", "line_number", "raw", "fmt", e.alias("e"))
+        if occurs("text", i):
+            e = e.when((F.col("fmt") == "text") & (F.col("layout") == i), text_entry(raw, i))
+    if occurs("delim"):
+        typed = delimited_columns(typed)
+        e = e.when(F.col("fmt") == "delim", delimited_entry())
+    if occurs("offset"):
+        typed = offset_columns(typed)
+        e = e.when(F.col("fmt") == "offset", offset_entry())
+    parsed = typed.select("file_path", "line_number", "raw", "fmt", e.alias("e"))
+    parsed._logspark_kinds = kinds
+    return parsed
 
 
 def island_numbers(lines: DataFrame, starts: Column) -> DataFrame:
@@ -120,6 +163,19 @@ def island_numbers(lines: DataFrame, starts: Column) -> DataFrame:
     return marked.withColumn("_within", within).join(sums, ["file_path", "_chunk"]).withColumn("entry_id", F.col("_before") + F.col("_within")).drop("_before", "_within", "_chunk", "_start")
 
 
+def stamp_of(kinds: set | None) -> Column:
+    """The time stamp of an entry of those (format, layout) kinds, or of any."""
+    strict = T.parse_timestamp(F.col("e.stamp"), strict=True)
+    others = None if kinds is None else {k for k in kinds if k[0] != "json"}
+    if others is not None and not others:
+        return strict
+    forms = T.FORMS
+    if others is not None and all(fmt == "text" for fmt, _ in others):
+        forms = [f for f in T.FORMS if f == ("syslog" if others <= {("text", 3), ("text", None)} else "iso") or (f == "syslog" and ("text", 3) in others)]
+    loose = T.parse_timestamp(F.col("e.stamp"), forms=forms)
+    return loose if kinds is not None and others == kinds else F.when(F.col("fmt") == "json", strict).otherwise(loose)
+
+
 def merge_entries(parsed: DataFrame) -> DataFrame:
     """Entries out of :func:`parse_lines`; lines before a file's first entry are dropped."""
     numbered = island_numbers(parsed, F.col("e").isNotNull()).where("entry_id > 0")
@@ -132,9 +188,7 @@ def merge_entries(parsed: DataFrame) -> DataFrame:
     rest = F.transform(F.slice("all", 2, F.greatest(F.size("all") - 1, F.lit(0))), lambda x: x["raw"])
     tail = F.when(F.size(rest) > 0, F.concat(F.lit("\n"), F.array_join(rest, "\n"))).otherwise("")
     raw = F.when(F.col("fmt") == "json", strip(first)).otherwise(first)
-    loose, strict = T.parse_timestamp(F.col("e.stamp")), T.parse_timestamp(F.col("e.stamp"), strict=True)
-    is_json = F.col("fmt") == "json"
-    stamped = grouped.select("*", F.when(is_json, strict).otherwise(loose).alias("t"), F.concat(raw, tail).alias("raw"), F.concat(F.col("e.message"), tail).alias("message"))
+    stamped = grouped.select("*", stamp_of(getattr(parsed, "_logspark_kinds", None)).alias("t"), F.concat(raw, tail).alias("raw"), F.concat(F.col("e.message"), tail).alias("message"))
     ts, offset = F.coalesce("e.epoch", "t.ts"), F.when(F.col("e.epoch").isNull(), F.col("t.tz_offset_s"))
     return stamped.select(
         "file_path", "line_number", "end_line", "raw", ts.alias("ts"), offset.alias("tz_offset_s"), T.to_utc(ts, offset).alias("ts_utc"),
@@ -149,4 +203,4 @@ def to_entries(lines: DataFrame, formats: DataFrame | None = None, start_line: i
         lines = lines.where(F.col("line_number") >= start_line)
     if end_line is not None:
         lines = lines.where(F.col("line_number") <= end_line)
-    return merge_entries(parse_lines(lines, formats))
+    return merge_entries(parse_lines(lines, formats, not start_line or start_line == 1))
