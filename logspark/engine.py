@@ -36,11 +36,12 @@ class Report:
 class LogEngine:
     """Queries on log files. ``prefilter`` lets a model narrow searches and error grouping to lines it marks; off by default."""
 
-    def __init__(self, spark: SparkSession, model: LineModel | None = None, rescore: Callable[[DataFrame], DataFrame] | None = None):
-        self.spark, self.model, self.rescore = spark, model, rescore
+    def __init__(self, spark: SparkSession, model: LineModel | None = None, rescore: Callable[[DataFrame], DataFrame] | None = None, recursive: bool = False):
+        self.spark, self.model, self.rescore, self.recursive = spark, model, rescore, recursive
 
-    def lines(self, path: str) -> DataFrame:
-        return read_lines(self.spark, path)
+    def lines(self, path: str | Sequence[str]) -> DataFrame:
+        """Of a file, several, or (``recursive``) all *.log files below directories; lines are numbered file by file."""
+        return read_lines(self.spark, path, self.recursive)
 
     def entries(self, path: str, start_line: int | None = None, end_line: int | None = None) -> DataFrame:
         return to_entries(self.lines(path), None, start_line, end_line)
@@ -52,7 +53,7 @@ class LogEngine:
 
     def overview(self, path: str, sample_lines: int = 10) -> Report:
         lines, entries = self.lines(path), self.entries(path)
-        tables = {"summary": O.overview_summary(lines, entries), "levels": O.overview_levels(entries), "ends": O.overview_ends(lines, sample_lines).orderBy("line_number"), "size": file_sizes(self.spark, [path]).agg(F.sum("bytes").alias("bytes"))}
+        tables = {"summary": O.overview_summary(lines, entries), "levels": O.overview_levels(entries), "ends": O.overview_ends(lines, sample_lines).orderBy("line_number"), "size": file_sizes(self.spark, [path] if isinstance(path, str) else path, self.recursive).agg(F.sum("bytes").alias("bytes"))}
         return Report(tables, lambda t: render.overview(path, t["size"][0]["bytes"] or 0, t["summary"][0], t["levels"], t["ends"]))
 
     def search(self, path: str, pattern: str | None = None, log_level: str | None = None, start_time: str | None = None, end_time: str | None = None, max_results: int = 50, prefilter: bool = False) -> Report:

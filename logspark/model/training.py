@@ -62,12 +62,16 @@ def _joined(*columns: str):
 def train_model(labelled: DataFrame, word_features: int = 5000, char_features: int = 5000, grid: dict[str, Sequence] | None = None, folds: int = 5, seed: int = 1) -> tuple[LineModel, DataFrame]:
     """A model from rows (system, raw_line, label) and the grid's scores (F1 of LOOK by parameters).
 
-    Systems, not rows, are dealt to folds, so no system is in training and validation at once.
+    Systems, not rows, are dealt to folds, so no system is in training and validation at once. The grid searches C; the
+    vocabulary sizes are parameters of their own.
     """
+    if grid and set(grid) != {"C"}:
+        raise ValueError("the grid searches C only")
     rows = labelled.select("system", F.col("raw_line").alias("raw"), (F.col("label") == "SKIP").cast("double").alias("y"))
     rows = rows.withColumn("w", word_ngrams(normalize_extended(F.col("raw")))).withColumn("c", char_ngrams(F.col("raw")))
     rows = rows.withColumn("h", array_to_vector(F.array(*features.line_features(F.col("raw")))))
-    rows = rows.withColumn("fold", (F.dense_rank().over(W.orderBy("system")) - 1) % folds).cache()
+    systems = rows.select("system").distinct().withColumn("fold", (F.row_number().over(W.orderBy("system")) - 1) % folds)  # a row a system
+    rows = rows.join(systems, F.col("system").eqNullSafe(systems["system"])).drop(systems["system"]).cache()
     vocab = {k: CountVectorizer(inputCol=k, outputCol=k + "v", vocabSize=n).fit(rows).vocabulary for k, n in (("w", word_features), ("c", char_features))}
     weights = {k: idf(rows, k, v) for k, v in vocab.items()}
     data = rows

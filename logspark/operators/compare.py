@@ -29,10 +29,6 @@ def compare_patterns(entries: DataFrame, labels: Sequence[str], score: Callable[
     return score(out) if score else out.withColumn("p_look", F.lit(0.0))
 
 
-def _rank(*order: Column) -> Column:
-    return F.row_number().over(W.orderBy(*order))
-
-
 def compare_unique(patterns: DataFrame, limit: int | None = 50) -> DataFrame:
     """file_label, pattern, level, count, p_look: patterns of one file only, the most telling of each."""
     alone = patterns.where("n_files = 1").select(F.map_keys("counts")[0].alias("file_label"), "pattern", F.map_values("levels")[0].alias("level"), F.col("total").alias("count"), "p_look")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions import is_content_error, is_error_level, normalize
 
@@ -30,7 +29,7 @@ def error_groups(candidates: DataFrame, max_unique_errors: int | None = 30, incl
         F.max("line_number").alias("last_line"), F.max_by("ts", "line_number").alias("last_ts"), F.min_by("raw", "line_number").alias("_raw"),
     )
     if max_unique_errors is not None:
-        grouped = grouped.withColumn("_r", F.row_number().over(W.orderBy("first_line"))).where(F.col("_r") <= max_unique_errors).drop("_r")
+        grouped = grouped.orderBy("first_line").limit(max_unique_errors)
     lines = F.split("_raw", "\n")
     rest = F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))
     more = F.size(rest) - TRACE_LINES

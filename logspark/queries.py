@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +13,7 @@ from . import operators as O
 from .functions import features, normalize, normalize_extended
 from .functions.levels import light_level
 from .functions.predicates import CONTENT_ERROR, ERROR_WORDS, WARN_WORDS, WIDE_ERROR_WORDS, matches
-from .model import LineModel, confusion, keyword_capture, label_windows, new_datasets, remap_labels, score_lines
+from .model import LineModel, confusion, keyword_capture, label_windows, new_datasets, remap_labels, sample_evenly, score_lines, split_bgl, validate_labels, with_previous
 from .model.labeling import WINDOW
 from .model.tokens import char_ngrams, word_ngrams
 from .operators.errors import error_candidates
@@ -19,6 +21,7 @@ from .operators.search import scanned
 from .plans import detect_formats, to_entries
 from .plans.parse import entry, merge_entries
 from .sources import adapters as A
+from .sources.files import read_csv_truth, read_jsonl, read_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -438,6 +441,69 @@ def confusion_matrix(spark, sf):
     return got.withColumns({c: F.round(c, 9) for c in ("accuracy", "precision", "recall", "f1")})
 
 
+@register("label_validation", f"WITH {EVENTS}, j AS (SELECT level = 'ERROR' AS t, level = 'ERROR' AND line_number % 4 > 0 OR line_number % 50 = 0 AS p FROM e WHERE line_number % 3 > 0), c AS (SELECT count(*) FILTER (WHERE t AND p) AS tp, count(*) FILTER (WHERE NOT t AND p) AS fp, count(*) FILTER (WHERE t AND NOT p) AS fn, count(*) FILTER (WHERE NOT t AND NOT p) AS tn FROM j) SELECT *, round((tp + tn) / CAST(tp + fp + fn + tn AS DOUBLE), 9) AS accuracy, round(tp / CAST(tp + fp AS DOUBLE), 9) AS \"precision\", round(tp / CAST(tp + fn AS DOUBLE), 9) AS recall, round(2 * tp / CAST(2 * tp + fp + fn AS DOUBLE), 9) AS f1 FROM c")
+def label_validation(spark, sf):
+    """Labels with errors, of two lines in three, against the levels."""
+    e = A.events_entries(spark, sf)
+    label = lambda c: F.when(c, "LOOK").otherwise("SKIP").alias("label")
+    error, n = F.col("level") == "ERROR", F.col("line_number")
+    got = validate_labels(e.where(n % 3 > 0).select("line_number", label((error & (n % 4 > 0)) | (n % 50 == 0))), e.select("line_number", label(error)))
+    return got.withColumns({c: F.round(c, 9) for c in ("accuracy", "precision", "recall", "f1")})
+
+
+@register("evenly_spaced_sample", f"WITH {EVENTS}, r AS (SELECT file_path, line_number, row_number() OVER (PARTITION BY file_path ORDER BY line_number) - 1 AS k, count(*) OVER (PARTITION BY file_path) AS n FROM e WHERE level = 'ERROR') SELECT file_path, line_number FROM r WHERE n <= 8 OR k IN (SELECT CAST(floor(i * (n - 1) / 7.0) AS BIGINT) FROM range(8) t(i))")
+def evenly_spaced_sample(spark, sf):
+    e = A.events_entries(spark, sf)
+    return sample_evenly(e.withColumn("p_look", F.when(F.col("level") == "ERROR", 1.0).otherwise(0.0))).select("file_path", "line_number")
+
+
+@register("bgl_label_split", f"WITH {EVENTS} SELECT line_number, CASE WHEN level = 'DEBUG' THEN 'SKIP' ELSE 'LOOK' END AS label, message AS rest FROM e")
+def bgl_label_split(spark, sf):
+    e = A.events_entries(spark, sf)
+    label, rest = split_bgl(F.concat(F.when(F.col("level") == "DEBUG", "-").otherwise(F.col("level")), F.lit(" "), "message"))
+    return e.select("line_number", label.alias("label"), rest.alias("rest"))
+
+
+@register("previous_run", f"WITH {EVENTS}, a AS (SELECT file_path, count(*) AS look FROM e WHERE level = 'ERROR' AND file_path < 'C' GROUP BY 1), b AS (SELECT file_path, count(*) AS look FROM e WHERE level <> 'DEBUG' AND file_path > 'A' GROUP BY 1) SELECT coalesce(a.file_path, b.file_path) AS file_path, a.look AS look, b.look AS previous_look, a.look - b.look AS look_change FROM a FULL JOIN b ON a.file_path = b.file_path")
+def previous_run(spark, sf):
+    e = A.events_entries(spark, sf)
+    runs = [e.where(c).groupBy("file_path").agg(F.count("*").alias("look")) for c in ("level = 'ERROR' and file_path < 'C'", "level <> 'DEBUG' and file_path > 'A'")]
+    return with_previous(runs[0], runs[1], "look")
+
+
+# --- Files --------------------------------------------------------------------------------------------------------
+def _written(spark, df: DataFrame, name: str, kind: str, **options) -> str:
+    """A folder with ``df`` as one file, in the shared folder if the session names one."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
+    path = f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.coalesce(1).write.options(**options).format(kind).save(path)
+    return path
+
+
+_FILE_SQL = f"WITH {EVENTS} SELECT line_number, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') || ' ' || level || ' ' || message AS raw FROM e"
+for _name, _options in (("text", {}), ("gzip", {"compression": "gzip"})):
+    register(f"source_{_name}_file", _FILE_SQL)(lambda spark, sf, name=_name, options=_options: read_lines(spark, _written(spark, A.events_raw(spark, sf).coalesce(1).sortWithinPartitions("line_number").select("raw"), name, "text", **options)).select("line_number", "raw"))
+
+
+@register("source_file_entries", f"WITH {EVENTS} SELECT line_number, ts, level, message FROM e")
+def source_file_entries(spark, sf):
+    """A file, read, numbered, detected, parsed and merged."""
+    path = _written(spark, A.events_raw(spark, sf).coalesce(1).sortWithinPartitions("line_number").select("raw"), "entries", "text")
+    return to_entries(read_lines(spark, path)).select("line_number", "ts", "level", "message")
+
+
+@register("source_csv_truth", f"WITH {EVENTS} SELECT line_number, CASE WHEN level = 'DEBUG' THEN 'SKIP' ELSE 'LOOK' END AS label FROM e")
+def source_csv_truth(spark, sf):
+    rows = A.events_entries(spark, sf).coalesce(1).sortWithinPartitions("line_number").select(F.when(F.col("level") == "DEBUG", "-").otherwise(F.col("level")).alias("Label"), "message")
+    return read_csv_truth(spark, _written(spark, rows, "truth", "csv", header="true"))
+
+
+@register("source_jsonl", f"WITH {EVENTS} SELECT 'events' AS system, line_number, message AS raw_line, level AS label FROM e")
+def source_jsonl(spark, sf):
+    rows = A.events_entries(spark, sf).select(F.lit("events").alias("system"), "line_number", F.col("message").alias("raw_line"), F.col("level").alias("label"), F.lit("").alias("reason"))
+    return read_jsonl(spark, _written(spark, rows, "labels", "json")).drop("reason")
+
+
 # --- Labelling --------------------------------------------------------------------------------------------------
 @register("label_windows_50", f"WITH {LINES} SELECT file_path || '_' || start_line AS custom_id, file_path AS dataset, start_line, count(*) AS n_lines FROM (SELECT *, CAST(floor((line_number - 1) / 50.0) * 50 + 1 AS BIGINT) AS start_line FROM l) GROUP BY file_path, start_line")
 def label_windows_50(spark, sf):

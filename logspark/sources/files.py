@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -14,11 +15,17 @@ LABEL_SCHEMA = "system string, line_number bigint, raw_line string, label string
 
 
 def validate_paths(spark: SparkSession, paths: Sequence[str]) -> None:
-    """Raises LogQueryError for a path that is missing."""
+    """Raises LogQueryError for a path that is missing or may not be read."""
+    read = spark._jvm.org.apache.hadoop.fs.permission.FsAction.READ
     for path in paths:
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        files = p.getFileSystem(spark._jsc.hadoopConfiguration())
+        if not files.exists(p):
             raise LogQueryError(f"File not found: {path}")
+        try:
+            files.access(p, read)
+        except Py4JJavaError as e:
+            raise LogQueryError(f"File not readable: {path}") from e
 
 
 def read_lines(spark: SparkSession, paths: str | Sequence[str], recursive: bool = False) -> DataFrame:
@@ -47,9 +54,12 @@ def count_lines(lines: DataFrame) -> DataFrame:
     return lines.groupBy("file_path").agg(F.count("*").alias("lines"))
 
 
-def file_sizes(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+def file_sizes(spark: SparkSession, paths: Sequence[str], recursive: bool = False) -> DataFrame:
     """file_path, bytes."""
-    files = spark.read.format("binaryFile").load(list(paths))
+    reader = spark.read.format("binaryFile")
+    if recursive:
+        reader = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.log")
+    files = reader.load(list(paths))
     return files.select(F.regexp_replace("path", "^file:(//)?", "").alias("file_path"), F.col("length").alias("bytes"))
 
 
@@ -68,8 +78,14 @@ def read_jsonl(spark: SparkSession, path: str, schema: str = LABEL_SCHEMA) -> Da
 def read_csv_truth(spark: SparkSession, path: str) -> DataFrame:
     """line_number and label of a structured CSV whose column Label holds "-" for lines to skip."""
     rows = spark.read.option("header", "true").csv(path)
-    number = F.col("LineId").try_cast("bigint") if "LineId" in rows.columns else F.monotonically_increasing_id() + 1
-    return rows.select(number.alias("line_number"), F.when(F.col("Label") == "-", "SKIP").otherwise("LOOK").alias("label"))
+    if "LineId" in rows.columns:
+        rows = rows.withColumn("_number", F.col("LineId").try_cast("bigint"))
+    else:  # the row's place in its partition, after the rows of those before it
+        rows = rows.withColumn("_id", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_id", 33))
+        sizes = rows.groupBy("_part").agg(F.count("*").alias("n"), F.min("_id").alias("_first"))
+        sizes = sizes.select("_part", "_first", F.coalesce(F.sum("n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+        rows = rows.join(sizes, "_part").withColumn("_number", F.col("_before") + F.col("_id") - F.col("_first") + 1)
+    return rows.select(F.col("_number").alias("line_number"), F.when(F.col("Label") == "-", "SKIP").otherwise("LOOK").alias("label"))
 
 
 def write_jsonl(df: DataFrame, path: str, by: str | None = None, append: bool = False) -> None:
