@@ -70,8 +70,8 @@ def train_model(labelled: DataFrame, word_features: int = 5000, char_features: i
     rows = labelled.select("system", F.col("raw_line").alias("raw"), (F.col("label") == "SKIP").cast("double").alias("y"))
     rows = rows.withColumn("w", word_ngrams(normalize_extended(F.col("raw")))).withColumn("c", char_ngrams(F.col("raw")))
     rows = rows.withColumn("h", array_to_vector(F.array(*features.line_features(F.col("raw")))))
-    systems = rows.select("system").distinct().withColumn("fold", (F.row_number().over(W.orderBy("system")) - 1) % folds)  # a row a system
-    rows = rows.join(systems, F.col("system").eqNullSafe(systems["system"])).drop(systems["system"]).cache()
+    systems = rows.select(F.col("system").alias("_s")).distinct().withColumn("fold", (F.row_number().over(W.orderBy("_s")) - 1) % folds)  # a row a system
+    rows = rows.join(systems, F.col("system").eqNullSafe(F.col("_s"))).drop("_s").cache()
     vocab = {k: CountVectorizer(inputCol=k, outputCol=k + "v", vocabSize=n).fit(rows).vocabulary for k, n in (("w", word_features), ("c", char_features))}
     weights = {k: idf(rows, k, v) for k, v in vocab.items()}
     data = rows
