@@ -75,7 +75,11 @@ def allocate(capacity: Tree, budget: int, weights: Mapping[tuple, float]) -> Tre
                     given[c] = room[c]
                     left -= room[c]
                 open_ = [c for c in open_ if c not in short]
-            given |= {c: int(share[c]) for c in open_}
+            whole = {c: int(share[c]) for c in open_}
+            # Rounding leaves less than a token a sibling: it goes to those with the largest fractions, all of which have room.
+            for c in sorted(open_, key=lambda c: whole[c] - share[c])[: max(0, left - sum(whole.values())) if open_ else 0]:
+                whole[c] += 1
+            given |= whole
     return {p: given[p] for p in capacity}
 
 

@@ -217,6 +217,25 @@ def test_budgets():
     assert got == {("a", "en", "x"): 50, ("b", "de", "z"): 350}
 
 
+def test_budgets_are_spent_and_follow_the_weights():
+    """Against filling the tree token by token, each to the neediest child that has room."""
+    r = random.Random(2)
+    for _ in range(60):
+        have = {(d, x, s): r.randint(1, 40) for d in "ab" for x in "xy"[: r.randint(1, 2)] for s in "12"[: r.randint(1, 2)]}
+        weights = {("a",): 2.0, ("*", "x"): 3.0}
+        budget = r.randint(0, sum(have.values()) + 5)
+        got = op4_mixing.allocate(have, budget, weights)
+        assert sum(got.values()) == min(budget, sum(have.values())) and all(0 <= got[p] <= have[p] for p in have)
+        want = dict.fromkeys(have, 0)
+        for _ in range(min(budget, sum(have.values()))):
+            node = ()
+            for depth in range(3):
+                below = {p[: depth + 1] for p in have if p[:depth] == node and any(want[q] < have[q] for q in have if q[: depth + 1] == p[: depth + 1])}
+                node = min(below, key=lambda c: (sum(v for p, v in want.items() if p[: depth + 1] == c) + 0.5) / op4_mixing.weight_of(c, weights))
+            want[node] += 1
+        assert max(abs(want[p] - got[p]) for p in have) <= 3
+
+
 def test_mixing_is_a_seeded_prefix(spark, docs):
     got = op4_mixing.mix_sources(docs, weights={}, max_epochs=3).collect()
     tokens = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
