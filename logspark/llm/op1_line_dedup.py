@@ -12,9 +12,11 @@ characters (UTF-16 units), or the whole line where it is shorter.
    be minima: of long lines those with a larger one are not aggregated (an
    average of ``PER_MINIMUM`` hashes stays for each minimum).
 3. Bands of the signature form buckets. Within a bucket each node is paired
-   with the bucket's smallest; another turn pairs those still apart with two
-   members of its largest component. So large groups come together by few
-   pairs. Then all pairs of a bucket that are still apart are tested.
+   with the line that occurs most often; further turns pair those still apart
+   with two members of its largest component. So large groups come together
+   by few pairs. Then all pairs still apart are tested, but in buckets with
+   more than ``PAIRS`` of them, where that would be all pairs of a hot group:
+   there a pair needs a lead, or another of its buckets, to be found.
 4. Pairs of which at least ``AGREEING`` of the 27 minima are equal are verified
    by the exact Jaccard similarity of all their shingles (64-bit hashes).
 5. Union-find (alternating stars on edge tables) joins verified pairs. Of each
@@ -44,7 +46,9 @@ BANDS, ROWS = 9, 3
 PER_MINIMUM, BINS = 4, 32
 #: Of the 27 minima, so many must be equal in a pair that is verified: at the threshold all but one pair in 700 have them, at 0.8 all but one in 20,000.
 AGREEING = 13
-TURNS = 1
+TURNS = 3
+#: Buckets in which all nodes outside the largest component meet all others; in those with more pairs only the leads do.
+PAIRS = 2048
 BLOCK = 256
 BLANKS = " \t\r\f\u000b"
 _REST = random.Random(1).getrandbits(27)
@@ -82,14 +86,14 @@ def hash_at(bin_: str | Column, at: Column) -> Column:
 
 
 def signatures(nodes: DataFrame) -> DataFrame:
-    """node and its minima ``sig``, one row for each distinct line."""
-    each = nodes.select("node", "bin", runs(F.octet_length("bin")).alias("n"))
+    """node, n and the minima ``sig``, one row for each distinct line (node, bin, n: how often it occurs)."""
+    each = nodes.withColumnRenamed("n", "copies").select("node", "copies", "bin", runs(F.octet_length("bin")).alias("n"))
     most = (F.least(F.lit(1.0), F.lit(float(BINS * PER_MINIMUM)) / F.col("n")) * float(1 << 27)).cast("bigint")
-    each = each.select("node", "bin", most.alias("most"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("at"))
-    hashed = each.select("node", "most", F.shiftright(hash_at("bin", F.col("at")), 32).alias("h"))
+    each = each.select("node", "copies", "bin", most.alias("most"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("at"))
+    hashed = each.select("node", "copies", "most", F.shiftright(hash_at("bin", F.col("at")), 32).alias("h"))
     small = hashed.where(F.col("h").bitwiseXOR(F.lit(_REST)).bitwiseAND(F.lit((1 << 27) - 1)) < F.col("most"))
-    least = small.groupBy("node").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(m).cast("bigint"))).alias(f"m{i}") for i, m in enumerate(_MASKS)])
-    return least.select("node", F.array(*[F.col(f"m{i}").cast("int") for i in range(len(_MASKS))]).alias("sig"))
+    least = small.groupBy("node", "copies").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(m).cast("bigint"))).alias(f"m{i}") for i, m in enumerate(_MASKS)])
+    return least.select("node", F.col("copies").alias("n"), F.array(*[F.col(f"m{i}").cast("int") for i in range(len(_MASKS))]).alias("sig"))
 
 
 def bands() -> Column:
@@ -102,10 +106,16 @@ def agreeing(x: Column, y: Column) -> Column:
 
 
 def shared_buckets(buckets: DataFrame) -> DataFrame:
-    """(bucket, node, low) of the buckets with two nodes or more; low is the smallest of them."""
-    ends = save(buckets.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("bucket", "low"), "ends")
+    """(bucket, node, n, lead) of the buckets with two nodes or more; lead is the one of them that occurs most often.
+
+    Near copies differ less from their original than from each other, and lines that nobody changed repeat it.
+    """
+    ends = buckets.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.max("n").alias("top")).where("low <> high").select("bucket", "top")
+    ends = save(ends, "ends")
     release(buckets.sparkSession)
-    return buckets.join(ends, "bucket")
+    shared = save(buckets.join(ends, "bucket"), "shared")
+    leads = shared.where("n = top").groupBy("bucket").agg(F.min("node").alias("lead"))
+    return shared.join(leads, "bucket").select("bucket", "node", "n", "lead")
 
 
 def pairs_with(rows: DataFrame, member: str, others: Column) -> DataFrame:
@@ -135,8 +145,8 @@ def apart_pairs(named: DataFrame, signed: DataFrame) -> DataFrame:
     """
     sizes = named.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     lead = sizes.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("lead"))
-    lead = lead.where("parts > 1").select("bucket", F.col("lead.component").alias("lead"), F.ceil(F.col("all") / BLOCK).cast("int").alias("parts"))
-    rows = named.join(lead, "bucket").join(signed, "node").withColumn("part", F.pmod(F.xxhash64("node", F.lit("part")), F.col("parts")).cast("int"))
+    lead = lead.where((F.col("parts") > 1) & ((F.col("all") - F.col("lead.n")) * F.col("all") <= PAIRS)).select("bucket", F.col("lead.component").alias("lead"), F.ceil(F.col("all") / BLOCK).cast("int").alias("parts"))
+    rows = named.drop("n").join(lead, "bucket").join(signed, "node").withColumn("part", F.pmod(F.xxhash64("node", F.lit("part")), F.col("parts")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     one = rows.where("component <> lead").select("bucket", "part", every.alias("other"), F.col("node").alias("x"), F.col("component").alias("cx"), F.col("lead").alias("lx"), F.col("sig").alias("p"))
     two = rows.select("bucket", every.alias("part"), F.col("part").alias("other"), F.col("node").alias("y"), F.col("component").alias("cy"), F.col("sig").alias("q"))
@@ -149,10 +159,10 @@ def line_components(nodes: DataFrame) -> DataFrame:
     spark = nodes.sparkSession
     signed = save(signatures(nodes), "signatures")
     release(spark)
-    shared = save(shared_buckets(signed.select("node", F.explode(bands()).alias("bucket"))), "shared")
-    wording = save(nodes.select("node", "bin").join(signed.join(shared.select("node").distinct(), "node", "left_semi"), "node"), "wording")
+    shared = save(shared_buckets(signed.select("node", "n", F.explode(bands()).alias("bucket"))), "shared")
+    wording = save(nodes.select("node", "bin").join(signed.select("node", "sig").join(shared.select("node").distinct(), "node", "left_semi"), "node"), "wording")
     drop_saved(signed)
-    done = [save(pairs_with(shared, "node", F.array("low")), "pairs")]
+    done = [save(pairs_with(shared, "node", F.array("lead")), "pairs")]
     release(spark)
     found = [save(similar(done[0], wording), "links")]
     release(spark)
@@ -162,7 +172,7 @@ def line_components(nodes: DataFrame) -> DataFrame:
         for more in found[1:]:
             links = links.unionByName(more)
         joined = components(links)
-        named = save(shared.join(joined, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component")), "named")
+        named = save(shared.join(joined, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("component")), "named")
         drop_saved(joined)
         return named
 
@@ -177,9 +187,9 @@ def line_components(nodes: DataFrame) -> DataFrame:
     for turn in range(TURNS):  # those of a bucket still apart, with other members of its largest component
         named = with_components()
         way = F.xxhash64("node", F.lit(turn))
-        reps = F.array(F.min_by("node", way), F.max_by("node", way))
-        sizes = named.groupBy("bucket", "component").agg(F.count("*").alias("n"), reps.alias("reps"))
-        lead = sizes.groupBy("bucket").agg(F.count("*").alias("parts"), F.max(F.struct("n", "component", "reps")).alias("lead")).where("parts > 1")
+        reps = F.array(F.max_by("node", F.struct("n", way)), F.min_by("node", way))
+        sizes = named.groupBy("bucket", "component").agg(F.count("*").alias("all"), reps.alias("reps"))
+        lead = sizes.groupBy("bucket").agg(F.count("*").alias("parts"), F.max(F.struct("all", "component", "reps")).alias("lead")).where("parts > 1")
         apart = named.join(lead, "bucket").where(F.col("component") != F.col("lead.component"))
         test(pairs_with(apart, "node", F.col("lead.reps")))
         drop_saved(named)
