@@ -60,5 +60,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: Hashing, similarity links and tokenisation are beyond SQL; the tests compare each stage with a brute-force version.
+#: Hashing, similarity links and tokenisation are beyond SQL; operators are tested one by one, the stages together only for shape and size.
 ORACLE_SQL = None
