@@ -14,11 +14,12 @@ characters (UTF-16 units), or the whole line where it is shorter.
 3. Bands of the signature form buckets. Within a bucket each node is paired
    with the line that occurs most often; further turns pair those still apart
    with two members of its largest component. So large groups come together
-   by few pairs. Then all pairs still apart are tested, but in buckets with
-   more than ``PAIRS`` of them, where that would be all pairs of a hot group:
-   there a pair needs a lead, or another of its buckets, to be found.
-4. Pairs of which at least ``AGREEING`` of the 27 minima are equal are verified
-   by the exact Jaccard similarity of all their shingles (64-bit hashes).
+   by few pairs. Then all pairs still apart are tested, in buckets of any size.
+4. Pairs are screened by bitmaps of 1024 bits, one for each shingle's hash: two
+   bitmaps differ in no more bits than the sets do in shingles, and similar sets
+   differ in at most a seventh of both sizes, so the screen loses no pair. What
+   passes is verified by the exact Jaccard similarity of all shingles (64-bit
+   hashes). Screening happens inside joins of blocks; other pairs are never rows.
 5. Union-find (alternating stars on edge tables) joins verified pairs. Of each
    component, equal lines included, the first line by (doc_id, line number)
    stays; texts with the same doc_id come by their hash, null doc_ids first.
@@ -44,11 +45,9 @@ from .graph import components
 SHINGLE, THRESHOLD = 8, 0.75
 BANDS, ROWS = 9, 3
 PER_MINIMUM, BINS = 4, 32
-#: Of the 27 minima, so many must be equal in a pair that is verified: at the threshold all but one pair in 700 have them, at 0.8 all but one in 20,000.
-AGREEING = 13
+#: 64-bit words of a node's bitmap.
+WORDS = 16
 TURNS = 3
-#: Buckets in which all nodes outside the largest component meet all others; in those with more pairs only the leads do.
-PAIRS = 2048
 BLOCK = 256
 BLANKS = " \t\r\f\u000b"
 _REST = random.Random(1).getrandbits(27)
@@ -100,9 +99,20 @@ def bands() -> Column:
     return F.array(*[F.xxhash64(F.lit(b), *[F.col("sig")[b * ROWS + r] for r in range(ROWS)]) for b in range(BANDS)])
 
 
-def agreeing(x: Column, y: Column) -> Column:
-    """How many minima two signatures share."""
-    return sum((F.when(x[i] == y[i], 1).otherwise(0) for i in range(1, len(_MASKS))), F.when(x[0] == y[0], 1).otherwise(0))
+def bitmaps(wording: DataFrame) -> DataFrame:
+    """node, n (at least the size of its set of shingles) and ``bits`` of the nodes (node, bin)."""
+    n = runs(F.octet_length("bin"))
+    each = wording.select("node", "bin", n.alias("n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("at"))
+    hashed = each.select("node", "n", hash_at("bin", F.col("at")).alias("h"))
+    word, bit = F.col("h").bitwiseAND(F.lit(WORDS - 1)), F.expr("shiftleft(1L, cast(shiftright(h, 8) & 63 as int))")
+    found = hashed.groupBy("node").agg(F.max("n").alias("n"), *[F.bit_or(F.when(word == i, bit).otherwise(F.lit(0).cast("bigint"))).alias(f"w{i}") for i in range(WORDS)])
+    return found.select("node", "n", F.array(*[f"w{i}" for i in range(WORDS)]).alias("bits"))
+
+
+def near(n: Column, x: Column, y: Column, threshold: float = THRESHOLD) -> Column:
+    """False only for bitmaps of sets, of n shingles together at most, whose similarity is below the threshold."""
+    differing = sum((F.bit_count(x[i].bitwiseXOR(y[i])) for i in range(1, WORDS)), F.bit_count(x[0].bitwiseXOR(y[0])))
+    return differing * (1 + threshold) <= n * (1 - threshold)
 
 
 def shared_buckets(buckets: DataFrame) -> DataFrame:
@@ -125,10 +135,10 @@ def pairs_with(rows: DataFrame, member: str, others: Column) -> DataFrame:
 
 
 def similar(pairs: DataFrame, wording: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The pairs whose exact Jaccard similarity reaches the threshold; ``wording``: node, bin, sig."""
-    left = wording.select(F.col("node").alias("a"), F.col("bin").alias("x"), F.col("sig").alias("p"))
-    right = wording.select(F.col("node").alias("b"), F.col("bin").alias("y"), F.col("sig").alias("q"))
-    met = pairs.join(left, "a").join(right, "b").where(agreeing(F.col("p"), F.col("q")) >= AGREEING)
+    """The pairs whose exact Jaccard similarity reaches the threshold; ``wording``: node, bin, n, bits."""
+    left = wording.select(F.col("node").alias("a"), F.col("bin").alias("x"), F.col("n").alias("m"), F.col("bits").alias("p"))
+    right = wording.select(F.col("node").alias("b"), F.col("bin").alias("y"), F.col("n").alias("n"), F.col("bits").alias("q"))
+    met = pairs.join(left, "a").join(right, "b").where(near(F.col("m") + F.col("n"), F.col("p"), F.col("q"), threshold))
     # Dealt by pair, however many pairs a node has; all shingles of a pair then meet where its texts are.
     sides = met.select("a", "b", "x", "y").repartition("a", "b").select("a", "b", F.posexplode(F.array("x", "y")).alias("side", "bin"))
     each = sides.select("a", "b", "side", "bin", F.explode(F.sequence(F.lit(0), runs(F.octet_length("bin")) - 1)).alias("at"))
@@ -137,20 +147,20 @@ def similar(pairs: DataFrame, wording: DataFrame, threshold: float = THRESHOLD)
     return counts.where(F.col("common") >= threshold * F.col("all")).select("a", "b")
 
 
-def apart_pairs(named: DataFrame, signed: DataFrame) -> DataFrame:
-    """Distinct (a, b) of all nodes of a bucket in different components, whose signatures agree enough.
+def apart_pairs(named: DataFrame, wording: DataFrame) -> DataFrame:
+    """Distinct (a, b) of all nodes of a bucket in different components, whose bitmaps are near enough.
 
-    ``named``: bucket, node, component; ``signed``: node, sig. One of two nodes is outside the bucket's leading component,
+    ``named``: bucket, node, component; ``wording``: node, n, bits. One of two nodes is outside the bucket's leading component,
     so those meet all others: by blocks, so that no task gets all of a large bucket.
     """
     sizes = named.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     lead = sizes.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("lead"))
-    lead = lead.where((F.col("parts") > 1) & ((F.col("all") - F.col("lead.n")) * F.col("all") <= PAIRS)).select("bucket", F.col("lead.component").alias("lead"), F.ceil(F.col("all") / BLOCK).cast("int").alias("parts"))
-    rows = named.drop("n").join(lead, "bucket").join(signed, "node").withColumn("part", F.pmod(F.xxhash64("node", F.lit("part")), F.col("parts")).cast("int"))
+    lead = lead.where("parts > 1").select("bucket", F.col("lead.component").alias("lead"), F.ceil(F.col("all") / BLOCK).cast("int").alias("parts"))
+    rows = named.drop("n").join(lead, "bucket").join(wording.select("node", "n", "bits"), "node").withColumn("part", F.pmod(F.xxhash64("node", F.lit("part")), F.col("parts")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    one = rows.where("component <> lead").select("bucket", "part", every.alias("other"), F.col("node").alias("x"), F.col("component").alias("cx"), F.col("lead").alias("lx"), F.col("sig").alias("p"))
-    two = rows.select("bucket", every.alias("part"), F.col("part").alias("other"), F.col("node").alias("y"), F.col("component").alias("cy"), F.col("sig").alias("q"))
-    met = one.join(two, ["bucket", "part", "other"]).where("cx <> cy and (cy = lx or x < y)").where(agreeing(F.col("p"), F.col("q")) >= AGREEING)
+    one = rows.where("component <> lead").select("bucket", "part", every.alias("other"), F.col("node").alias("x"), F.col("component").alias("cx"), F.col("lead").alias("lx"), F.col("n").alias("m"), F.col("bits").alias("p"))
+    two = rows.select("bucket", every.alias("part"), F.col("part").alias("other"), F.col("node").alias("y"), F.col("component").alias("cy"), F.col("n"), F.col("bits").alias("q"))
+    met = one.join(two, ["bucket", "part", "other"]).where("cx <> cy and (cy = lx or x < y)").where(near(F.col("m") + F.col("n"), F.col("p"), F.col("q")))
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
@@ -160,8 +170,10 @@ def line_components(nodes: DataFrame) -> DataFrame:
     signed = save(signatures(nodes), "signatures")
     release(spark)
     shared = save(shared_buckets(signed.select("node", "n", F.explode(bands()).alias("bucket"))), "shared")
-    wording = save(nodes.select("node", "bin").join(signed.select("node", "sig").join(shared.select("node").distinct(), "node", "left_semi"), "node"), "wording")
     drop_saved(signed)
+    texts = save(nodes.select("node", "bin").join(shared.select("node").distinct(), "node", "left_semi"), "texts")
+    wording = save(texts.join(bitmaps(texts), "node"), "wording")
+    drop_saved(texts)
     done = [save(pairs_with(shared, "node", F.array("lead")), "pairs")]
     release(spark)
     found = [save(similar(done[0], wording), "links")]
@@ -194,7 +206,7 @@ def line_components(nodes: DataFrame) -> DataFrame:
         test(pairs_with(apart, "node", F.col("lead.reps")))
         drop_saved(named)
     named = with_components()
-    test(apart_pairs(named, wording.select("node", "sig")))
+    test(apart_pairs(named, wording))
     for old in (named, shared, wording, *done):
         drop_saved(old)
     links = found[0]

@@ -146,11 +146,29 @@ def test_line_dedup_compares_all_of_a_bucket(spark, monkeypatch):
     F = op1_line_dedup.F
     monkeypatch.setattr(op1_line_dedup, "bands", lambda: F.array(F.lit(1).cast("bigint")))
     monkeypatch.setattr(op1_line_dedup, "BLOCK", 16, raising=False)
-    monkeypatch.setattr(op1_line_dedup, "PAIRS", 8192)  # this one bucket has 6,318 pairs outside its largest component
     got = op1_line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
     assert {r["doc_id"]: r["n_removed_lines"] == 1 for r in got} == dict(enumerate(want))
 
 
+def test_line_screen_loses_no_pair(spark):
+    """Whatever the lengths, short ones and some far beyond the bitmap's, similar lines pass the screen."""
+    r = random.Random(8)
+    lines = []
+    for n in (3, 8, 9, 12, 40, 200, 900, 5000):
+        base = "".join(r.choices("abcdefgh ", k=n))
+        for cut in (0, 1, 2, 5, n // 9, n // 7, n // 5, n // 3):
+            lines.append(base[cut:] + "".join(r.choices("xyz", k=r.choice([0, cut, cut // 2]))))
+    lines = sorted(set(lines))
+    nodes = spark.createDataFrame(list(enumerate(lines)), "node bigint, line string").select("node", op1_line_dedup.units().alias("bin"))
+    bits = op1_line_dedup.bitmaps(nodes)
+    F = op1_line_dedup.F
+    both = bits.alias("l").join(bits.alias("r"), F.col("l.node") < F.col("r.node"))
+    passed = {tuple(x) for x in both.where(op1_line_dedup.near(F.col("l.n") + F.col("r.n"), F.col("l.bits"), F.col("r.bits"))).select("l.node", "r.node").collect()}
+    pairs = [(a, b) for a in range(len(lines)) for b in range(a + 1, len(lines))]
+    alike = {(a, b) for a, b in pairs if len(_windows(lines[a]) & _windows(lines[b])) >= 0.75 * len(_windows(lines[a]) | _windows(lines[b]))}
+    assert len(alike) > 30 and alike <= passed and len(passed) < len(pairs) // 2
+
+
 def test_sharding(docs):
     got = op2_sharding.assign_shards(docs, 5).collect()
     rows = {r[0]: r[1] for r in _docs()}
