@@ -15,11 +15,13 @@ characters (UTF-16 units), or the whole line where it is shorter.
    with the line that occurs most often; further turns pair those still apart
    with two members of its largest component. So large groups come together
    by few pairs. Then all pairs still apart are tested, in buckets of any size.
-4. Pairs are screened by bitmaps of 1024 bits, one for each shingle's hash: two
-   bitmaps differ in no more bits than the sets do in shingles, and similar sets
-   differ in at most a seventh of both sizes, so the screen loses no pair. What
-   passes is verified by the exact Jaccard similarity of all shingles (64-bit
-   hashes). Screening happens inside joins of blocks; other pairs are never rows.
+4. Pairs are screened by sketches of 2048 bits, each telling whether an odd
+   number of a set's shingles hash to it: two sketches differ in no more bits
+   than the sets do in shingles, and similar sets differ in at most a seventh of
+   both sizes, so the screen loses no pair. What passes is verified by the exact
+   Jaccard similarity of all shingles (64-bit hashes); of those still apart after
+   the turns, each node's likeliest pair first, then all that it leaves apart.
+   Screening happens inside joins of blocks; other pairs are never rows.
 5. Union-find (alternating stars on edge tables) joins verified pairs. Of each
    component, equal lines included, the first line by (doc_id, line number)
    stays; texts with the same doc_id come by their hash, null doc_ids first.
@@ -45,8 +47,8 @@ from .graph import components
 SHINGLE, THRESHOLD = 8, 0.75
 BANDS, ROWS = 9, 3
 PER_MINIMUM, BINS = 4, 32
-#: 64-bit words of a node's bitmap.
-WORDS = 16
+#: 64-bit words of a node's sketch.
+WORDS = 32
 TURNS = 3
 BLOCK = 256
 BLANKS = " \t\r\f\u000b"
@@ -99,20 +101,23 @@ def bands() -> Column:
     return F.array(*[F.xxhash64(F.lit(b), *[F.col("sig")[b * ROWS + r] for r in range(ROWS)]) for b in range(BANDS)])
 
 
-def bitmaps(wording: DataFrame) -> DataFrame:
-    """node, n (at least the size of its set of shingles) and ``bits`` of the nodes (node, bin)."""
-    n = runs(F.octet_length("bin"))
-    each = wording.select("node", "bin", n.alias("n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("at"))
-    hashed = each.select("node", "n", hash_at("bin", F.col("at")).alias("h"))
+def sketches(wording: DataFrame) -> DataFrame:
+    """node, n (the size of its set of shingles) and ``bits`` of the nodes (node, bin)."""
+    each = wording.select("node", "bin", F.explode(F.sequence(F.lit(0), runs(F.octet_length("bin")) - 1)).alias("at"))
+    hashed = each.select("node", hash_at("bin", F.col("at")).alias("h")).groupBy("node", "h").agg(F.lit(1).alias("one"))
     word, bit = F.col("h").bitwiseAND(F.lit(WORDS - 1)), F.expr("shiftleft(1L, cast(shiftright(h, 8) & 63 as int))")
-    found = hashed.groupBy("node").agg(F.max("n").alias("n"), *[F.bit_or(F.when(word == i, bit).otherwise(F.lit(0).cast("bigint"))).alias(f"w{i}") for i in range(WORDS)])
+    found = hashed.groupBy("node").agg(F.count("*").alias("n"), *[F.bit_xor(F.when(word == i, bit).otherwise(F.lit(0).cast("bigint"))).alias(f"w{i}") for i in range(WORDS)])
     return found.select("node", "n", F.array(*[f"w{i}" for i in range(WORDS)]).alias("bits"))
 
 
+def differing(x: Column, y: Column) -> Column:
+    """Bits in which two sketches differ."""
+    return sum((F.bit_count(x[i].bitwiseXOR(y[i])) for i in range(1, WORDS)), F.bit_count(x[0].bitwiseXOR(y[0])))
+
+
 def near(n: Column, x: Column, y: Column, threshold: float = THRESHOLD) -> Column:
-    """False only for bitmaps of sets, of n shingles together at most, whose similarity is below the threshold."""
-    differing = sum((F.bit_count(x[i].bitwiseXOR(y[i])) for i in range(1, WORDS)), F.bit_count(x[0].bitwiseXOR(y[0])))
-    return differing * (1 + threshold) <= n * (1 - threshold)
+    """False only for sketches of sets, of n shingles together, whose similarity is below the threshold."""
+    return differing(x, y) * (1 + threshold) <= n * (1 - threshold)
 
 
 def shared_buckets(buckets: DataFrame) -> DataFrame:
@@ -148,7 +153,7 @@ def similar(pairs: DataFrame, wording: DataFrame, threshold: float = THRESHOLD)
 
 
 def apart_pairs(named: DataFrame, wording: DataFrame) -> DataFrame:
-    """Distinct (a, b) of all nodes of a bucket in different components, whose bitmaps are near enough.
+    """x, y and ``gap`` (smaller: likelier) of all nodes of a bucket in different components, whose sketches are near enough.
 
     ``named``: bucket, node, component; ``wording``: node, n, bits. One of two nodes is outside the bucket's leading component,
     so those meet all others: by blocks, so that no task gets all of a large bucket.
@@ -161,7 +166,7 @@ def apart_pairs(named: DataFrame, wording: DataFrame) -> DataFrame:
     one = rows.where("component <> lead").select("bucket", "part", every.alias("other"), F.col("node").alias("x"), F.col("component").alias("cx"), F.col("lead").alias("lx"), F.col("n").alias("m"), F.col("bits").alias("p"))
     two = rows.select("bucket", every.alias("part"), F.col("part").alias("other"), F.col("node").alias("y"), F.col("component").alias("cy"), F.col("n"), F.col("bits").alias("q"))
     met = one.join(two, ["bucket", "part", "other"]).where("cx <> cy and (cy = lx or x < y)").where(near(F.col("m") + F.col("n"), F.col("p"), F.col("q")))
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return met.select("x", "y", (differing(F.col("p"), F.col("q")) / (F.col("m") + F.col("n"))).alias("gap")).distinct()
 
 
 def line_components(nodes: DataFrame) -> DataFrame:
@@ -172,18 +177,21 @@ def line_components(nodes: DataFrame) -> DataFrame:
     shared = save(shared_buckets(signed.select("node", "n", F.explode(bands()).alias("bucket"))), "shared")
     drop_saved(signed)
     texts = save(nodes.select("node", "bin").join(shared.select("node").distinct(), "node", "left_semi"), "texts")
-    wording = save(texts.join(bitmaps(texts), "node"), "wording")
+    wording = save(texts.join(sketches(texts), "node"), "wording")
     drop_saved(texts)
     done = [save(pairs_with(shared, "node", F.array("lead")), "pairs")]
     release(spark)
     found = [save(similar(done[0], wording), "links")]
     release(spark)
 
-    def with_components() -> DataFrame:
+    def joined_so_far() -> DataFrame:
         links = found[0]
         for more in found[1:]:
             links = links.unionByName(more)
-        joined = components(links)
+        return components(links)
+
+    def with_components() -> DataFrame:
+        joined = joined_so_far()
         named = save(shared.join(joined, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("component")), "named")
         drop_saved(joined)
         return named
@@ -206,13 +214,15 @@ def line_components(nodes: DataFrame) -> DataFrame:
         test(pairs_with(apart, "node", F.col("lead.reps")))
         drop_saved(named)
     named = with_components()
-    test(apart_pairs(named, wording))
-    for old in (named, shared, wording, *done):
+    apart = save(apart_pairs(named, wording), "apart")
+    pair = F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")
+    test(apart.groupBy("x").agg(F.min_by("y", F.struct("gap", "y")).alias("y")).select(*pair).distinct())
+    joined = joined_so_far()
+    cx, cy = joined.toDF("x", "cx"), joined.toDF("y", "cy")
+    test(apart.join(cx, "x", "left").join(cy, "y", "left").where(F.coalesce("cx", "x") != F.coalesce("cy", "y")).select(*pair).distinct())
+    for old in (named, shared, wording, apart, joined, *done):
         drop_saved(old)
-    links = found[0]
-    for more in found[1:]:
-        links = links.unionByName(more)
-    out = components(links)
+    out = joined_so_far()
     for old in found:
         drop_saved(old)
     return out

@@ -151,7 +151,7 @@ def test_line_dedup_compares_all_of_a_bucket(spark, monkeypatch):
 
 
 def test_line_screen_loses_no_pair(spark):
-    """Whatever the lengths, short ones and some far beyond the bitmap's, similar lines pass the screen."""
+    """Whatever the lengths, short ones and some far beyond the sketch's, similar lines pass the screen."""
     r = random.Random(8)
     lines = []
     for n in (3, 8, 9, 12, 40, 200, 900, 5000):
@@ -160,7 +160,7 @@ def test_line_screen_loses_no_pair(spark):
             lines.append(base[cut:] + "".join(r.choices("xyz", k=r.choice([0, cut, cut // 2]))))
     lines = sorted(set(lines))
     nodes = spark.createDataFrame(list(enumerate(lines)), "node bigint, line string").select("node", op1_line_dedup.units().alias("bin"))
-    bits = op1_line_dedup.bitmaps(nodes)
+    bits = op1_line_dedup.sketches(nodes)
     F = op1_line_dedup.F
     both = bits.alias("l").join(bits.alias("r"), F.col("l.node") < F.col("r.node"))
     passed = {tuple(x) for x in both.where(op1_line_dedup.near(F.col("l.n") + F.col("r.n"), F.col("l.bits"), F.col("r.bits"))).select("l.node", "r.node").collect()}
