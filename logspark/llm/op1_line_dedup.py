@@ -15,7 +15,7 @@ characters (UTF-16 units), or the whole line where it is shorter.
    with the line that occurs most often; further turns pair those still apart
    with two members of its largest component. So large groups come together
    by few pairs. Then all pairs still apart are tested, in buckets of any size.
-4. Pairs are screened by sketches of 2048 bits, each telling whether an odd
+4. Pairs are screened by sketches of 1792 bits, each telling whether an odd
    number of a set's shingles hash to it: two sketches differ in no more bits
    than the sets do in shingles, and similar sets differ in at most a seventh of
    both sizes, so the screen loses no pair. What passes is verified by the exact
@@ -47,8 +47,8 @@ from .graph import components
 SHINGLE, THRESHOLD = 8, 0.75
 BANDS, ROWS = 9, 3
 PER_MINIMUM, BINS = 4, 32
-#: 64-bit words of a node's sketch.
-WORDS = 32
+#: 64-bit words of a node's sketch; with some more, the screen's method is too long (8000 bytes of code) for the JVM to compile.
+WORDS = 28
 TURNS = 3
 BLOCK = 256
 BLANKS = " \t\r\f\u000b"
@@ -103,16 +103,20 @@ def bands() -> Column:
 
 def sketches(wording: DataFrame) -> DataFrame:
     """node, n (the size of its set of shingles) and ``bits`` of the nodes (node, bin)."""
-    each = wording.select("node", "bin", F.explode(F.sequence(F.lit(0), runs(F.octet_length("bin")) - 1)).alias("at"))
+    # Dealt by node before shingles are rows: both aggregations below then stay within their task.
+    dealt = wording.select("node", "bin").repartition("node")
+    each = dealt.select("node", "bin", F.explode(F.sequence(F.lit(0), runs(F.octet_length("bin")) - 1)).alias("at"))
     hashed = each.select("node", hash_at("bin", F.col("at")).alias("h")).groupBy("node", "h").agg(F.lit(1).alias("one"))
-    word, bit = F.col("h").bitwiseAND(F.lit(WORDS - 1)), F.expr("shiftleft(1L, cast(shiftright(h, 8) & 63 as int))")
+    word, bit = F.pmod("h", F.lit(WORDS)), F.expr("shiftleft(1L, cast(shiftright(h, 8) & 63 as int))")
     found = hashed.groupBy("node").agg(F.count("*").alias("n"), *[F.bit_xor(F.when(word == i, bit).otherwise(F.lit(0).cast("bigint"))).alias(f"w{i}") for i in range(WORDS)])
     return found.select("node", "n", F.array(*[f"w{i}" for i in range(WORDS)]).alias("bits"))
 
 
 def differing(x: Column, y: Column) -> Column:
     """Bits in which two sketches differ."""
-    return sum((F.bit_count(x[i].bitwiseXOR(y[i])) for i in range(1, WORDS)), F.bit_count(x[0].bitwiseXOR(y[0])))
+    # F.get, as the code that raises errors for x[i] is longer still.
+    word = lambda i: F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i))))
+    return sum((word(i) for i in range(1, WORDS)), word(0))
 
 
 def near(n: Column, x: Column, y: Column, threshold: float = THRESHOLD) -> Column:
