@@ -103,12 +103,14 @@ def bands() -> Column:
 
 def sketches(wording: DataFrame) -> DataFrame:
     """node, n (the size of its set of shingles) and ``bits`` of the nodes (node, bin)."""
-    # Dealt by node before shingles are rows: both aggregations below then stay within their task.
+    # Dealt by node before shingles are rows: all aggregations below then stay within their task.
     dealt = wording.select("node", "bin").repartition("node")
     each = dealt.select("node", "bin", F.explode(F.sequence(F.lit(0), runs(F.octet_length("bin")) - 1)).alias("at"))
     hashed = each.select("node", hash_at("bin", F.col("at")).alias("h")).groupBy("node", "h").agg(F.lit(1).alias("one"))
-    word, bit = F.pmod("h", F.lit(WORDS)), F.expr("shiftleft(1L, cast(shiftright(h, 8) & 63 as int))")
-    found = hashed.groupBy("node").agg(F.count("*").alias("n"), *[F.bit_xor(F.when(word == i, bit).otherwise(F.lit(0).cast("bigint"))).alias(f"w{i}") for i in range(WORDS)])
+    bit = F.expr("shiftleft(1L, cast(shiftright(h, 8) & 63 as int))")
+    # One row a word first: few rows then meet the columns of all words.
+    words = hashed.groupBy("node", F.pmod("h", F.lit(WORDS)).alias("word")).agg(F.count("*").alias("n"), F.bit_xor(bit).alias("bits"))
+    found = words.groupBy("node").agg(F.sum("n").alias("n"), *[F.bit_xor(F.when(F.col("word") == i, F.col("bits")).otherwise(F.lit(0).cast("bigint"))).alias(f"w{i}") for i in range(WORDS)])
     return found.select("node", "n", F.array(*[f"w{i}" for i in range(WORDS)]).alias("bits"))
 
 
