@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from itertools import product
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
@@ -59,48 +60,67 @@ def _joined(*columns: str):
     return f(*columns)
 
 
-def train_model(labelled: DataFrame, word_features: int = 5000, char_features: int = 5000, grid: dict[str, Sequence] | None = None, folds: int = 5, seed: int = 1) -> tuple[LineModel, DataFrame]:
+def train_model(labelled: DataFrame, word_features: int = 5000, char_features: int = 5000, grid: dict[str, Sequence] | None = None, folds: int = 5, hold_out: Sequence[str] = ()) -> tuple[LineModel, DataFrame]:
     """A model from rows (system, raw_line, label) and the grid's scores (F1 of LOOK by parameters).
 
-    Systems, not rows, are dealt to folds, so no system is in training and validation at once. The grid searches C; the
-    vocabulary sizes are parameters of their own.
+    Systems, not rows, are dealt to folds, so no system is in training and validation at once. The grid may name C,
+    class_weight (balanced or none), word_features and char_features; what it leaves out keeps its default. Rows of the
+    systems in ``hold_out`` take no part at all, so that the model can be evaluated on them.
     """
-    if grid and set(grid) != {"C"}:
-        raise ValueError("the grid searches C only")
+    if grid and not set(grid) <= {"C", "class_weight", "word_features", "char_features"}:
+        raise ValueError("the grid searches C, class_weight, word_features and char_features")
+    axes = {"C": (1.0,), "class_weight": ("balanced",), "word_features": (word_features,), "char_features": (char_features,)} | (grid or {})
+    if not set(axes["class_weight"]) <= {"balanced", "none"}:
+        raise ValueError("class_weight is balanced or none")
+    if hold_out:
+        labelled = labelled.where(F.col("system").isNull() | ~F.col("system").isin(*hold_out))
     rows = labelled.select("system", F.col("raw_line").alias("raw"), (F.col("label") == "SKIP").cast("double").alias("y"))
     rows = rows.withColumn("w", word_ngrams(normalize_extended(F.col("raw")))).withColumn("c", char_ngrams(F.col("raw")))
     rows = rows.withColumn("h", array_to_vector(F.array(*features.line_features(F.col("raw")))))
     systems = rows.select(F.col("system").alias("_s")).distinct().withColumn("fold", (F.row_number().over(W.orderBy("_s")) - 1) % folds)  # a row a system
     rows = rows.join(systems, F.col("system").eqNullSafe(F.col("_s"))).drop("_s").cache()
-    vocab = {k: CountVectorizer(inputCol=k, outputCol=k + "v", vocabSize=n).fit(rows).vocabulary for k, n in (("w", word_features), ("c", char_features))}
+    # Vocabularies go by frequency, so a smaller one is the beginning of a larger one.
+    most = {"w": max(axes["word_features"]), "c": max(axes["char_features"])}
+    vocab = {k: CountVectorizer(inputCol=k, outputCol=k + "v", vocabSize=n).fit(rows).vocabulary for k, n in most.items()}
     weights = {k: idf(rows, k, v) for k, v in vocab.items()}
-    data = rows
-    for k in ("w", "c"):
-        data = CountVectorizerModel.from_vocabulary(vocab[k], inputCol=k, outputCol=k + "n").transform(data)
-        data = data.withColumn(k + "x", _weighted(k + "n", weights[k], k == "w"))
-    data = data.withColumn("x", _joined("wx", "cx", "h"))
-    size = {r["y"]: r["count"] for r in data.groupBy("y").count().collect()}
+    size = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
     total = sum(size.values())
     balance = F.lit(1.0)
     for y, n in size.items():
         balance = F.when(F.col("y") == y, total / (len(size) * n)).otherwise(balance)
-    data = data.select("x", "y", "fold", balance.alias("weight")).cache()
+
+    def vectors(words: int, chars: int) -> DataFrame:
+        data = rows
+        for k, n in (("w", words), ("c", chars)):
+            data = CountVectorizerModel.from_vocabulary(vocab[k][:n], inputCol=k, outputCol=k + "n").transform(data)
+            data = data.withColumn(k + "x", _weighted(k + "n", weights[k][:n], k == "w"))
+        return data.select(_joined("wx", "cx", "h").alias("x"), "y", "fold", balance.alias("balanced"), F.lit(1.0).alias("none")).cache()
+
+    def regression(c: float, weight: str) -> LogisticRegression:
+        return LogisticRegression(featuresCol="x", labelCol="y", weightCol=weight, standardization=False, regParam=1 / (c * total), maxIter=200)
+
     scores = []
-    for c in grid["C"] if grid else (1.0,):
-        lr = LogisticRegression(featuresCol="x", labelCol="y", weightCol="weight", standardization=False, regParam=1 / (c * total), maxIter=200)
-        if grid:
-            for k in range(folds):
-                part = data.where(F.col("fold") == k)
-                if part.isEmpty() or data.where(F.col("fold") != k).select("y").distinct().count() < 2:
-                    continue
-                got = lr.fit(data.where(F.col("fold") != k)).transform(part)
+    for words, chars in product(axes["word_features"], axes["char_features"]) if grid else ():
+        data = vectors(words, chars)
+        for k in range(folds):
+            train, part = data.where(F.col("fold") != k), data.where(F.col("fold") == k)
+            if part.isEmpty() or train.select("y").distinct().count() < 2:
+                continue
+            for c, weight in product(axes["C"], axes["class_weight"]):
+                got = regression(c, weight).fit(train).transform(part)
                 f1 = confusion(got.select((F.col("y") == 0).alias("truth"), (F.col("prediction") == 0).alias("predicted"))).first()["f1"]
-                scores.append((float(c), k, float(f1)))
+                scores.append((float(c), weight, words, chars, k, float(f1)))
+        data.unpersist()
     spark = labelled.sparkSession
-    table = spark.createDataFrame(scores, "C double, fold int, f1 double")
-    mean = {c: sum(s for x, _, s in scores if x == c) for c, _, _ in scores}
-    best = max(mean, key=mean.get) if mean else 1.0
-    fitted = LogisticRegression(featuresCol="x", labelCol="y", weightCol="weight", standardization=False, regParam=1 / (best * total), maxIter=200).fit(data)
+    table = spark.createDataFrame(scores, "C double, class_weight string, word_features int, char_features int, fold int, f1 double")
+    means: dict[tuple, float] = {}
+    for *point, _, f1 in scores:
+        means[tuple(point)] = means.get(tuple(point), 0.0) + f1
+    c, weight, words, chars = max(means, key=means.get) if means else tuple(v[0] for v in axes.values())
+    vocab = {"w": vocab["w"][:words], "c": vocab["c"][:chars]}
+    weights = {k: weights[k][: len(v)] for k, v in vocab.items()}
+    data = vectors(words, chars)
+    fitted = regression(c, weight).fit(data)
     patterns = [{"pattern": p, "replacement": r, "case_insensitive": i} for p, r, i in EXTENDED]
     part = lambda k, low, high: {"vocab": {g: i for i, g in enumerate(vocab[k])}, "idf": weights[k], "ngram_range": [low, high], "sublinear_tf": k == "w"}
     document = {

@@ -1,5 +1,6 @@
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from logspark.functions.features import line_features
@@ -29,6 +30,21 @@ def test_train_score_roundtrip(spark, tmp_path):
     assert all(abs(r["p_look"] - model.probability(r["raw"], list(r[3:]))) < 1e-9 for r in got)
 
 
+def test_train_grid_and_hold_out(spark):
+    rows = [(f"s{i % 2}", i, f"request {i} served", "SKIP", "") for i in range(12)] + [(f"s{i % 2}", 100 + i, f"ERROR disk {i} failed", "LOOK", "") for i in range(6)]
+    rows += [("other", 200 + i, f"zebra {i}", "LOOK", "") for i in range(4)]
+    labelled = spark.createDataFrame(rows, "system string, line_number bigint, raw_line string, label string, reason string")
+    model, scores = train_model(labelled, 20, 20, {"class_weight": ["balanced", "none"], "word_features": [5, 20]}, folds=2, hold_out=["other"])
+    got = scores.collect()
+    assert Counter((r["class_weight"], r["word_features"]) for r in got) == {(w, n): 2 for w in ("balanced", "none") for n in (5, 20)}
+    words = model.document["word_tfidf"]
+    assert len(words["vocab"]) == len(words["idf"]) == model.document["classifier"]["n_word_features"] and "zebra" not in words["vocab"]
+    assert len(words["vocab"]) in (5, 20)
+    for wrong in ({"depth": [1]}, {"class_weight": ["even"]}):
+        with pytest.raises(ValueError):
+            train_model(labelled, grid=wrong)
+
+
 def test_confusion_and_sample(spark):
     df = spark.createDataFrame([(True, True), (True, False), (False, False), (False, True)], "truth boolean, predicted boolean")
     assert confusion(df).first()[:] == (1, 1, 1, 1, 0.5, 0.5, 0.5, 0.5)
