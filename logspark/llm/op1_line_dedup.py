@@ -18,11 +18,14 @@ characters (UTF-16 units), or the whole line where it is shorter.
 4. Pairs are screened by sketches of 1792 bits, each telling whether an odd
    number of a set's shingles hash to it: two sketches differ in no more bits
    than the sets do in shingles, and similar sets differ in at most a seventh of
-   both sizes, so the screen loses no pair. What passes is verified by the exact
+   both sizes, so the screen loses no pair. Up to 1500 shingles repeated ones are
+   not taken out first; the screen allows a bit for each there can be.
+   What passes fetches its lines and is verified by the exact
    Jaccard similarity of all shingles (64-bit hashes); of those still apart after
    the turns, each node's likeliest pair first, then all that it leaves apart.
    Screening happens inside joins of blocks; other pairs are never rows.
-5. Union-find (alternating stars on edge tables) joins verified pairs. Of each
+5. Union-find (alternating stars on edge tables) joins verified pairs; links of
+   later turns only join the components so far. Of each
    component, equal lines included, the first line by (doc_id, line number)
    stays; texts with the same doc_id come by their hash, null doc_ids first.
 
@@ -49,6 +52,8 @@ BANDS, ROWS = 9, 3
 PER_MINIMUM, BINS = 4, 32
 #: 64-bit words of a node's sketch; with some more, the screen's method is too long (8000 bytes of code) for the JVM to compile.
 WORDS = 28
+#: Shingles, repeated ones included, up to which they are sketched as they come, and the bitmaps that tell how many may be repeated.
+SHORT, WIDE = 1500, 4
 TURNS = 3
 BLOCK = 256
 BLANKS = " \t\r\f\u000b"
@@ -102,15 +107,30 @@ def bands() -> Column:
 
 
 def sketches(wording: DataFrame) -> DataFrame:
-    """node, n (the size of its set of shingles) and ``bits`` of the nodes (node, bin)."""
-    # Dealt by node before shingles are rows: all aggregations below then stay within their task.
-    dealt = wording.select("node", "bin").repartition("node")
-    each = dealt.select("node", "bin", F.explode(F.sequence(F.lit(0), runs(F.octet_length("bin")) - 1)).alias("at"))
-    hashed = each.select("node", hash_at("bin", F.col("at")).alias("h")).groupBy("node", "h").agg(F.lit(1).alias("one"))
+    """node, ``bits`` and n (what its set of shingles counts for in :func:`near`) of the nodes (node, bin).
+
+    The caller deals them by node, so that all aggregations stay within their task. Where few shingles can share a bit, repeated ones
+    are not taken out first: each may change a bit, so it adds to n as much as allows one bit more. Their number is at most
+    that of all shingles less the bits they reach in ``WIDE`` bitmaps. Of longer lines the distinct shingles are taken.
+    """
     bit = F.expr("shiftleft(1L, cast(shiftright(h, 8) & 63 as int))")
+    word = F.pmod("h", F.lit(WORDS)).alias("word")
+    size = runs(F.octet_length("bin"))
+
+    def hashed(rows: DataFrame) -> DataFrame:
+        each = rows.select("node", "bin", F.explode(F.sequence(F.lit(0), size - 1)).alias("at"))
+        return each.select("node", hash_at("bin", F.col("at")).alias("h"))
+
     # One row a word first: few rows then meet the columns of all words.
-    words = hashed.groupBy("node", F.pmod("h", F.lit(WORDS)).alias("word")).agg(F.count("*").alias("n"), F.bit_xor(bit).alias("bits"))
-    found = words.groupBy("node").agg(F.sum("n").alias("n"), *[F.bit_xor(F.when(F.col("word") == i, F.col("bits")).otherwise(F.lit(0).cast("bigint"))).alias(f"w{i}") for i in range(WORDS)])
+    wide = [F.bit_or(F.when(F.expr(f"(shiftright(h, 14) & {WIDE - 1}) = {i}"), bit).otherwise(F.lit(0).cast("bigint"))) for i in range(WIDE)]
+    reached = sum((F.bit_count(x) for x in wide[1:]), F.bit_count(wide[0])).cast("bigint")
+    short = hashed(wording.where(size <= SHORT)).groupBy("node", word).agg(F.count("*").alias("n"), reached.alias("reached"), F.bit_xor(bit).alias("bits"))
+    long = hashed(wording.where(size > SHORT)).groupBy("node", "h").agg(F.lit(1).alias("one"))
+    long = long.groupBy("node", word).agg(F.count("*").alias("n"), F.bit_xor(bit).alias("bits"))
+    columns = [F.bit_xor(F.when(F.col("word") == i, F.col("bits")).otherwise(F.lit(0).cast("bigint"))).alias(f"w{i}") for i in range(WORDS)]
+    # The bound in near() allows (1 - threshold) / (1 + threshold) bits for each of n.
+    allowed = F.sum("reached") + F.ceil(F.sum(F.col("n") - F.col("reached")) * ((1 + THRESHOLD) / (1 - THRESHOLD)))
+    found = short.groupBy("node").agg(allowed.alias("n"), *columns).unionByName(long.groupBy("node").agg(F.sum("n").alias("n"), *columns))
     return found.select("node", "n", F.array(*[f"w{i}" for i in range(WORDS)]).alias("bits"))
 
 
@@ -136,7 +156,10 @@ def shared_buckets(buckets: DataFrame) -> DataFrame:
     release(buckets.sparkSession)
     shared = save(buckets.join(ends, "bucket"), "shared")
     leads = shared.where("n = top").groupBy("bucket").agg(F.min("node").alias("lead"))
-    return shared.join(leads, "bucket").select("bucket", "node", "n", "lead")
+    out = save(shared.join(leads, "bucket").select("bucket", "node", "n", "lead"), "shared")
+    for old in (ends, shared):
+        drop_saved(old)
+    return out
 
 
 def pairs_with(rows: DataFrame, member: str, others: Column) -> DataFrame:
@@ -145,29 +168,32 @@ def pairs_with(rows: DataFrame, member: str, others: Column) -> DataFrame:
     return paired.select(F.least(member, "other").alias("a"), F.greatest(member, "other").alias("b")).distinct()
 
 
-def similar(pairs: DataFrame, wording: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The pairs whose exact Jaccard similarity reaches the threshold; ``wording``: node, bin, n, bits."""
-    left = wording.select(F.col("node").alias("a"), F.col("bin").alias("x"), F.col("n").alias("m"), F.col("bits").alias("p"))
-    right = wording.select(F.col("node").alias("b"), F.col("bin").alias("y"), F.col("n").alias("n"), F.col("bits").alias("q"))
+def similar(pairs: DataFrame, texts: DataFrame, sketched: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The pairs whose exact Jaccard similarity reaches the threshold; ``texts``: node, line; ``sketched``: node, n, bits."""
+    left, right = sketched.toDF("a", "m", "p"), sketched.toDF("b", "n", "q")
     met = pairs.join(left, "a").join(right, "b").where(near(F.col("m") + F.col("n"), F.col("p"), F.col("q"), threshold))
-    # Dealt by pair, however many pairs a node has; all shingles of a pair then meet where its texts are.
-    sides = met.select("a", "b", "x", "y").repartition("a", "b").select("a", "b", F.posexplode(F.array("x", "y")).alias("side", "bin"))
-    each = sides.select("a", "b", "side", "bin", F.explode(F.sequence(F.lit(0), runs(F.octet_length("bin")) - 1)).alias("at"))
+    # Only what passes fetches its lines.
+    sides = met.select("a", "b", F.posexplode(F.array("a", "b")).alias("side", "node")).join(texts, "node")
+    # Dealt by pair, however many pairs a node has; all shingles of a pair then meet where its lines are. As each byte
+    # becomes a row, the tasks are not joined to fewer.
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = sides.select("a", "b", "side", "line").repartition(tasks, "a", "b").select("a", "b", "side", units().alias("bin"))
+    each = dealt.select("a", "b", "side", "bin", F.explode(F.sequence(F.lit(0), runs(F.octet_length("bin")) - 1)).alias("at"))
     found = each.select("a", "b", "side", hash_at("bin", F.col("at")).alias("h")).groupBy("a", "b", "h").agg(F.min("side").alias("low"), F.max("side").alias("high"))
     counts = found.groupBy("a", "b").agg(F.count("*").alias("all"), F.sum(F.col("high") - F.col("low")).alias("common"))
     return counts.where(F.col("common") >= threshold * F.col("all")).select("a", "b")
 
 
-def apart_pairs(named: DataFrame, wording: DataFrame) -> DataFrame:
+def apart_pairs(named: DataFrame, sketched: DataFrame) -> DataFrame:
     """x, y and ``gap`` (smaller: likelier) of all nodes of a bucket in different components, whose sketches are near enough.
 
-    ``named``: bucket, node, component; ``wording``: node, n, bits. One of two nodes is outside the bucket's leading component,
+    ``named``: bucket, node, component; ``sketched``: node, n, bits. One of two nodes is outside the bucket's leading component,
     so those meet all others: by blocks, so that no task gets all of a large bucket.
     """
     sizes = named.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     lead = sizes.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("lead"))
     lead = lead.where("parts > 1").select("bucket", F.col("lead.component").alias("lead"), F.ceil(F.col("all") / BLOCK).cast("int").alias("parts"))
-    rows = named.drop("n").join(lead, "bucket").join(wording.select("node", "n", "bits"), "node").withColumn("part", F.pmod(F.xxhash64("node", F.lit("part")), F.col("parts")).cast("int"))
+    rows = named.drop("n").join(lead, "bucket").join(sketched, "node").withColumn("part", F.pmod(F.xxhash64("node", F.lit("part")), F.col("parts")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     one = rows.where("component <> lead").select("bucket", "part", every.alias("other"), F.col("node").alias("x"), F.col("component").alias("cx"), F.col("lead").alias("lx"), F.col("n").alias("m"), F.col("bits").alias("p"))
     two = rows.select("bucket", every.alias("part"), F.col("part").alias("other"), F.col("node").alias("y"), F.col("component").alias("cy"), F.col("n"), F.col("bits").alias("q"))
@@ -175,40 +201,55 @@ def apart_pairs(named: DataFrame, wording: DataFrame) -> DataFrame:
     return met.select("x", "y", (differing(F.col("p"), F.col("q")) / (F.col("m") + F.col("n"))).alias("gap")).distinct()
 
 
+def joined_further(joined: DataFrame, links: DataFrame) -> DataFrame:
+    """``joined`` (node, component), a stored table, with the components that links (a, b) connect joined."""
+    ca, cb = joined.toDF("a", "ca"), joined.toDF("b", "cb")
+    between = links.join(ca, "a", "left").join(cb, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    between = save(between.where("a <> b").distinct(), "between")
+    if between.isEmpty():
+        drop_saved(between)
+        return joined
+    more = components(between)
+    drop_saved(between)
+    now = joined.join(more.toDF("component", "top"), "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+    out = save(now.unionByName(more), "joined")
+    for old in (joined, more):
+        drop_saved(old)
+    return out
+
+
 def line_components(nodes: DataFrame) -> DataFrame:
-    """(node, component) of the distinct lines (node, bin) that have a similar one."""
+    """(node, component) of the distinct lines (node, line, n: how often it occurs) that have a similar one."""
     spark = nodes.sparkSession
-    signed = save(signatures(nodes), "signatures")
+    signed = save(signatures(nodes.select("node", "n", units().alias("bin"))), "signatures")
     release(spark)
-    shared = save(shared_buckets(signed.select("node", "n", F.explode(bands()).alias("bucket"))), "shared")
+    shared = shared_buckets(signed.select("node", "n", F.explode(bands()).alias("bucket")))
     drop_saved(signed)
-    texts = save(nodes.select("node", "bin").join(shared.select("node").distinct(), "node", "left_semi"), "texts")
-    wording = save(texts.join(sketches(texts), "node"), "wording")
-    drop_saved(texts)
+    release(spark)
+    texts = save(nodes.select("node", "line").join(shared.select("node").distinct(), "node", "left_semi"), "texts")
+    release(spark)
+    sketched = save(sketches(texts.repartition("node").select("node", units().alias("bin"))), "sketches")
+    release(spark)
     done = [save(pairs_with(shared, "node", F.array("lead")), "pairs")]
     release(spark)
-    found = [save(similar(done[0], wording), "links")]
+    links = save(similar(done[0], texts, sketched), "links")
     release(spark)
-
-    def joined_so_far() -> DataFrame:
-        links = found[0]
-        for more in found[1:]:
-            links = links.unionByName(more)
-        return components(links)
+    joined = components(links)
+    drop_saved(links)
 
     def with_components() -> DataFrame:
-        joined = joined_so_far()
-        named = save(shared.join(joined, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("component")), "named")
-        drop_saved(joined)
-        return named
+        return save(shared.join(joined, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("component")), "named")
 
     def test(pairs: DataFrame) -> None:
+        nonlocal joined
         for old in done:
             pairs = pairs.join(old, ["a", "b"], "left_anti")
         done.append(save(pairs, "pairs"))
         release(spark)
-        found.append(save(similar(done[-1], wording), "links"))
+        links = save(similar(done[-1], texts, sketched), "links")
         release(spark)
+        joined = joined_further(joined, links)
+        drop_saved(links)
 
     for turn in range(TURNS):  # those of a bucket still apart, with other members of its largest component
         named = with_components()
@@ -220,18 +261,14 @@ def line_components(nodes: DataFrame) -> DataFrame:
         test(pairs_with(apart, "node", F.col("lead.reps")))
         drop_saved(named)
     named = with_components()
-    apart = save(apart_pairs(named, wording), "apart")
+    apart = save(apart_pairs(named, sketched), "apart")
     pair = F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")
     test(apart.groupBy("x").agg(F.min_by("y", F.struct("gap", "y")).alias("y")).select(*pair).distinct())
-    joined = joined_so_far()
     cx, cy = joined.toDF("x", "cx"), joined.toDF("y", "cy")
     test(apart.join(cx, "x", "left").join(cy, "y", "left").where(F.coalesce("cx", "x") != F.coalesce("cy", "y")).select(*pair).distinct())
-    for old in (named, shared, wording, apart, joined, *done):
+    for old in (named, shared, texts, sketched, apart, *done):
         drop_saved(old)
-    out = joined_so_far()
-    for old in found:
-        drop_saved(old)
-    return out
+    return joined
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -243,7 +280,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     lines = lines_of(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")))
     place = F.struct("doc_id", "row", "pos")
     nodes = lines.groupBy("node").agg(F.min("line").alias("line"), F.min(place).alias("first"), F.count("*").alias("n"))
-    nodes = save(nodes.select("node", units().alias("bin"), "first", "n"), "nodes")
+    nodes = save(nodes, "nodes")
     release(spark)
     linked = line_components(nodes)
     found = linked.unionByName(linked.select(F.col("component").alias("node"), "component").distinct())  # it has no row for the smallest

@@ -169,6 +169,43 @@ def test_line_screen_loses_no_pair(spark):
     assert len(alike) > 30 and alike <= passed and len(passed) < len(pairs) // 2
 
 
+def test_line_screen_of_repeated_shingles(spark):
+    """Lines sketched without taking repeated shingles out: similar ones pass, and short unlike ones do not."""
+    r = random.Random(9)
+    lines = []
+    for n in (10, 60, 300, 1200):
+        for unit in (1, 7, 30, n):
+            base = ("".join(r.choices("abcdefgh ", k=unit)) * n)[:n]
+            lines += [base, base + "x", base[n // 9 :], base[: n // 2] + "yz" + base[n // 2 :], base + base[: n // 3], base + "".join(r.choices("xyz", k=n // 8))]
+    lines = sorted(set(lines))
+    nodes = spark.createDataFrame(list(enumerate(lines)), "node bigint, line string").select("node", op1_line_dedup.units().alias("bin"))
+    F = op1_line_dedup.F
+    bits = op1_line_dedup.sketches(nodes.repartition("node")).localCheckpoint()
+    assert all(r["n"] >= len(_windows(lines[r["node"]])) for r in bits.collect()) and bits.count() == len(lines)
+    both = bits.alias("l").join(bits.alias("r"), F.col("l.node") < F.col("r.node"))
+    passed = {tuple(x) for x in both.where(op1_line_dedup.near(F.col("l.n") + F.col("r.n"), F.col("l.bits"), F.col("r.bits"))).select("l.node", "r.node").collect()}
+    pairs = [(a, b) for a in range(len(lines)) for b in range(a + 1, len(lines))]
+    alike = {(a, b) for a, b in pairs if len(_windows(lines[a]) & _windows(lines[b])) >= 0.75 * len(_windows(lines[a]) | _windows(lines[b]))}
+    assert len(alike) > 30 and alike <= passed and len(passed) < len(pairs)
+
+
+def test_components_of_stars_take_no_round(spark, monkeypatch):
+    """Edges that already hang on the smallest node of their component are written once, others until they do."""
+    from logspark.llm import graph
+
+    tables, save = [], graph.save
+    monkeypatch.setattr(graph, "save", lambda df, name: tables.append(name) or save(df, name))
+    star = [(1, x) for x in range(5, 40)] + [(2, x) for x in range(50, 60)]
+    got = graph.components(spark.createDataFrame(star, "a bigint, b bigint")).collect()
+    assert sorted((r["component"], r["node"]) for r in got) == sorted(star) and len(tables) == 1
+    path = [(x, x + 1) for x in range(100, 130)] + [(7, 3), (3, 9)]
+    got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(path, "a bigint, b bigint")).collect()}
+    assert got == {x: 100 for x in range(101, 131)} | {7: 3, 9: 3}
+    joined = graph.save(spark.createDataFrame([(5, 1), (6, 1), (9, 8)], "node bigint, component bigint"), "joined")
+    more = op1_line_dedup.joined_further(joined, spark.createDataFrame([(6, 9), (20, 21), (5, 1)], "a bigint, b bigint"))
+    assert {tuple(r) for r in more.collect()} == {(5, 1), (6, 1), (9, 1), (8, 1), (21, 20)}
+
+
 def test_sharding(docs):
     got = op2_sharding.assign_shards(docs, 5).collect()
     rows = {r[0]: r[1] for r in _docs()}
