@@ -4,8 +4,11 @@ Every whole text is searched for words that licence notices use. The words
 around each, over line ends and comment marks, are candidate blocks (long ones
 in overlapping windows, so that none is too long to compare). Each block is
 compressed by zstandard plain, and with each licence's notices as raw
-dictionary, which gives the relative reduction. Every licence is then confirmed
-by wording: the words of a notice are aligned with the block's, and a licence
+dictionary, which gives the relative reduction. Candidates are all licences
+whose notices shorten the block; a short notice in a long block may not, so
+the block's pieces of twice a notice's length are compressed alike before a
+licence is given up. Candidates are confirmed by wording, the largest reduction
+first: the words of a notice are aligned with the block's, and a licence
 stands wherever one of its notices is there but for at most ``max_missing`` of
 its words, and no other licence's notice explains the same words better. What
 differs is reported, at the line of the first word.
@@ -102,6 +105,27 @@ def reductions(block: str) -> dict[str, float]:
     return {name: 1 - len(c.compress(data)) / size for name, c in held.items()}
 
 
+def candidates(words: list[str], max_missing: float = MAX_MISSING) -> dict[str, float]:
+    """The block's reductions by the licences that shorten it or a piece of it, largest first."""
+    plain, held = compressors()
+    saved, sizes = reductions(" ".join(words)), {}
+
+    def shortened(name: str, longest: int) -> bool:
+        for at in range(0, max(1, len(words) - longest), longest):  # what is no longer lies within one piece
+            data = " ".join(words[at : at + 2 * longest]).encode()
+            if data not in sizes:
+                sizes[data] = len(plain.compress(data))
+            if len(held[name].compress(data)) < sizes[data]:
+                return True
+        return False
+
+    spans: dict[str, set[int]] = {}
+    for name, a in worded():
+        spans.setdefault(name, set()).add(len(a) + int(max_missing * len(a)))
+    good = [name for name, r in saved.items() if r > 0 or any(shortened(name, n) for n in spans[name])]
+    return {name: saved[name] for name in sorted(good, key=lambda name: (-saved[name], name))}
+
+
 @lru_cache(maxsize=1)
 def worded() -> list[tuple[str, list[str]]]:
     return [(name, [w.lower() for w in WORD.findall(notice)]) for name, notices in NOTICES.items() for notice in notices]
@@ -135,12 +159,12 @@ def confirmed(text: str, max_missing: float = MAX_MISSING) -> list[dict]:
     """The licences whose notice is in the text, with line, reduction and wording differences."""
     good = []
     for at, block in blocks(text):
-        b, saved = [w for w, _ in block], None
-        for name, a in worded():
-            for missing, extra, (low, high) in places_of(a, b, max_missing):
-                saved = saved or reductions(" ".join(b))
-                line = text.count("\n", 0, block[low][1])
-                good.append({"license": name, "line": line, "reduction": saved[name], "common": len(a) - len(missing), "missing": missing, "extra": extra, "span": (at + low, at + high)})
+        b = [w for w, _ in block]
+        for name, saved in candidates(b, max_missing).items():
+            for a in (a for other, a in worded() if other == name):
+                for missing, extra, (low, high) in places_of(a, b, max_missing):
+                    line = text.count("\n", 0, block[low][1])
+                    good.append({"license": name, "line": line, "reduction": saved, "common": len(a) - len(missing), "missing": missing, "extra": extra, "span": (at + low, at + high)})
     good.sort(key=lambda g: (len(g["missing"]) + len(g["extra"]), -g["common"], -g["reduction"], g["license"]))
     out: list[dict] = []
     for g in good:  # of notices over the same words, the one with the fewest differences

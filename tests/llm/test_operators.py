@@ -363,6 +363,30 @@ def test_all_licences_of_a_line():
     assert len(op6_license_scan.confirmed("All rights reserved.\nAll rights reserved.")) == 2
 
 
+def test_licences_are_candidates_by_compression(monkeypatch):
+    """Compression alone decides what is confirmed, and gives up no licence whose wording is there."""
+    r = random.Random(7)
+    word = lambda: "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randint(2, 9)))
+    for name, notices in op6_license_scan.NOTICES.items():
+        for notice in notices:
+            a = [w.lower() for w in op6_license_scan.WORD.findall(notice)]
+            slack = int(op6_license_scan.MAX_MISSING * len(a))
+            for pad in (0, 3, 40, 75):
+                b = list(a)
+                for _ in range(r.randint(0, slack)):
+                    b.pop(r.randrange(len(b)))
+                for _ in range(r.randint(0, slack)):
+                    b.insert(r.randrange(1, len(b)), word())
+                b = [word() for _ in range(pad)] + b + [word() for _ in range(pad)]
+                got = op6_license_scan.candidates(b)
+                assert name in got and list(got.values()) == sorted(got.values(), reverse=True), (name, b)
+    assert "CC0-1.0" not in op6_license_scan.candidates(["qqxz", "0171", "vwkj"])
+    text = "Released under the MIT License"
+    assert [g["license"] for g in op6_license_scan.confirmed(text)] == ["MIT"]
+    monkeypatch.setattr(op6_license_scan, "compressors", lambda held=op6_license_scan.compressors(): (held[0], {name: held[0] for name in held[1]}))
+    assert op6_license_scan.confirmed(text) == []  # without dictionaries nothing is shortened
+
+
 def test_language_id(spark):
     r = random.Random(4)
     parts = {"en": ["the", "ing", "th", "and", "er"], "de": ["sch", "ung", "ü", "ver", "ein"], "fr": ["eau", "é", "tion", "que", "oi"]}
