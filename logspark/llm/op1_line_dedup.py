@@ -16,12 +16,12 @@ characters (UTF-16 units), or the whole line where it is shorter.
    with two members of its largest component. So large groups come together
    by few pairs. Then all pairs still apart are tested, in buckets of any size.
 4. Pairs are screened by sketches of 1792 bits, each telling whether an odd
-   number of a set's shingles hash to it: two sketches differ in no more bits
-   than the sets do in shingles, and similar sets differ in at most a seventh of
-   both sizes, so the screen loses no pair. Up to 1500 shingles repeated ones are
-   not taken out first; the screen allows a bit for each there can be.
+   number of a set's distinct shingles hash to it: two sketches differ in no more
+   bits than the sets do in shingles, and similar sets differ in at most a seventh
+   of both sizes, so the screen loses no pair.
    What passes fetches its lines and is verified by the exact
-   Jaccard similarity of all shingles (64-bit hashes); of those still apart after
+   Jaccard similarity of all shingles (64-bit hashes), as arrays within the pair's row,
+   with a line over ``LONG`` characters as rows; of those still apart after
    the turns, each node's likeliest pair first, then all that it leaves apart.
    Screening happens inside joins of blocks; other pairs are never rows.
 5. Union-find (alternating stars on edge tables) joins verified pairs; links of
@@ -52,8 +52,8 @@ BANDS, ROWS = 9, 3
 PER_MINIMUM, BINS = 4, 32
 #: 64-bit words of a node's sketch; with some more, the screen's method is too long (8000 bytes of code) for the JVM to compile.
 WORDS = 28
-#: Shingles, repeated ones included, up to which they are sketched as they come, and the bitmaps that tell how many may be repeated.
-SHORT, WIDE = 1500, 4
+#: Shingles, repeated ones included, up to which a line's are held as one array; those of longer lines are rows.
+LONG = 50_000
 TURNS = 3
 BLOCK = 256
 BLANKS = " \t\r\f\u000b"
@@ -91,6 +91,23 @@ def hash_at(bin_: str | Column, at: Column) -> Column:
     return F.xxhash64(F.substring(bin_, at * 2 + 1, F.lit(2 * SHINGLE)))
 
 
+def hash_as_text(bin_: str | Column, at: Column) -> Column:
+    """The hash that :func:`hashes` has for the same shingle."""
+    return F.xxhash64(F.decode(F.substring(bin_, at * 2 + 1, F.lit(2 * SHINGLE)), "ISO-8859-1"))
+
+
+def hashes(bin_: str) -> Column:
+    """Hashes of all shingles, repeated ones included, as an array.
+
+    One regular expression cuts all runs out, of a text with a character for each byte: that takes a fraction of the time
+    of cutting them one by one, or of a row for each.
+    """
+    text = F.decode(bin_, "ISO-8859-1")
+    cut = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{2 * SHINGLE}}})).."), F.lit(1))
+    cut = F.when(F.octet_length(bin_) > 2 * SHINGLE, cut).otherwise(F.array(text))
+    return F.transform(cut, lambda x: F.xxhash64(x))
+
+
 def signatures(nodes: DataFrame) -> DataFrame:
     """node, n and the minima ``sig``, one row for each distinct line (node, bin, n: how often it occurs)."""
     each = nodes.withColumnRenamed("n", "copies").select("node", "copies", "bin", runs(F.octet_length("bin")).alias("n"))
@@ -107,31 +124,22 @@ def bands() -> Column:
 
 
 def sketches(wording: DataFrame) -> DataFrame:
-    """node, ``bits`` and n (what its set of shingles counts for in :func:`near`) of the nodes (node, bin).
-
-    The caller deals them by node, so that all aggregations stay within their task. Where few shingles can share a bit, repeated ones
-    are not taken out first: each may change a bit, so it adds to n as much as allows one bit more. Their number is at most
-    that of all shingles less the bits they reach in ``WIDE`` bitmaps. Of longer lines the distinct shingles are taken.
-    """
+    """node, ``bits`` and n (distinct shingles) of the nodes (node, bin); the caller deals them by node, so that all aggregations stay within their task."""
     bit = F.expr("shiftleft(1L, cast(shiftright(h, 8) & 63 as int))")
     word = F.pmod("h", F.lit(WORDS)).alias("word")
     size = runs(F.octet_length("bin"))
-
-    def hashed(rows: DataFrame) -> DataFrame:
-        each = rows.select("node", "bin", F.explode(F.sequence(F.lit(0), size - 1)).alias("at"))
-        return each.select("node", hash_at("bin", F.col("at")).alias("h"))
+    short = wording.where(size <= LONG).select("node", F.explode(F.array_distinct(hashes("bin"))).alias("h"))
+    each = wording.where(size > LONG).select("node", "bin", F.explode(F.sequence(F.lit(0), size - 1)).alias("at"))
+    long = each.select("node", hash_as_text("bin", F.col("at")).alias("h")).groupBy("node", "h").agg(F.lit(1).alias("one"))
 
     # One row a word first: few rows then meet the columns of all words.
-    wide = [F.bit_or(F.when(F.expr(f"(shiftright(h, 14) & {WIDE - 1}) = {i}"), bit).otherwise(F.lit(0).cast("bigint"))) for i in range(WIDE)]
-    reached = sum((F.bit_count(x) for x in wide[1:]), F.bit_count(wide[0])).cast("bigint")
-    short = hashed(wording.where(size <= SHORT)).groupBy("node", word).agg(F.count("*").alias("n"), reached.alias("reached"), F.bit_xor(bit).alias("bits"))
-    long = hashed(wording.where(size > SHORT)).groupBy("node", "h").agg(F.lit(1).alias("one"))
-    long = long.groupBy("node", word).agg(F.count("*").alias("n"), F.bit_xor(bit).alias("bits"))
     columns = [F.bit_xor(F.when(F.col("word") == i, F.col("bits")).otherwise(F.lit(0).cast("bigint"))).alias(f"w{i}") for i in range(WORDS)]
-    # The bound in near() allows (1 - threshold) / (1 + threshold) bits for each of n.
-    allowed = F.sum("reached") + F.ceil(F.sum(F.col("n") - F.col("reached")) * ((1 + THRESHOLD) / (1 - THRESHOLD)))
-    found = short.groupBy("node").agg(allowed.alias("n"), *columns).unionByName(long.groupBy("node").agg(F.sum("n").alias("n"), *columns))
-    return found.select("node", "n", F.array(*[f"w{i}" for i in range(WORDS)]).alias("bits"))
+
+    def folded(rows: DataFrame) -> DataFrame:
+        by_word = rows.groupBy("node", word).agg(F.count("*").alias("n"), F.bit_xor(bit).alias("bits"))
+        return by_word.groupBy("node").agg(F.sum("n").alias("n"), *columns)
+
+    return folded(short).unionByName(folded(long)).select("node", "n", F.array(*[f"w{i}" for i in range(WORDS)]).alias("bits"))
 
 
 def differing(x: Column, y: Column) -> Column:
@@ -142,7 +150,7 @@ def differing(x: Column, y: Column) -> Column:
 
 
 def near(n: Column, x: Column, y: Column, threshold: float = THRESHOLD) -> Column:
-    """False only for sketches of sets, of n shingles together, whose similarity is below the threshold."""
+    """False only for sketches of sets, of n distinct shingles together, whose similarity is below the threshold."""
     return differing(x, y) * (1 + threshold) <= n * (1 - threshold)
 
 
@@ -173,15 +181,21 @@ def similar(pairs: DataFrame, texts: DataFrame, sketched: DataFrame, threshold:
     left, right = sketched.toDF("a", "m", "p"), sketched.toDF("b", "n", "q")
     met = pairs.join(left, "a").join(right, "b").where(near(F.col("m") + F.col("n"), F.col("p"), F.col("q"), threshold))
     # Only what passes fetches its lines.
-    sides = met.select("a", "b", F.posexplode(F.array("a", "b")).alias("side", "node")).join(texts, "node")
-    # Dealt by pair, however many pairs a node has; all shingles of a pair then meet where its lines are. As each byte
-    # becomes a row, the tasks are not joined to fewer.
+    both = (F.col("m") + F.col("n")).alias("both")
+    sides = met.select("a", "b", both, F.posexplode(F.array("a", "b")).alias("side", "node")).join(texts, "node")
+    # Dealt by pair, however many pairs a node has; a pair's lines then meet in its task. As each byte becomes a shingle, the
+    # tasks are not joined to fewer.
     tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = sides.select("a", "b", "side", "line").repartition(tasks, "a", "b").select("a", "b", "side", units().alias("bin"))
-    each = dealt.select("a", "b", "side", "bin", F.explode(F.sequence(F.lit(0), runs(F.octet_length("bin")) - 1)).alias("at"))
-    found = each.select("a", "b", "side", hash_at("bin", F.col("at")).alias("h")).groupBy("a", "b", "h").agg(F.min("side").alias("low"), F.max("side").alias("high"))
-    counts = found.groupBy("a", "b").agg(F.count("*").alias("all"), F.sum(F.col("high") - F.col("low")).alias("common"))
-    return counts.where(F.col("common") >= threshold * F.col("all")).select("a", "b")
+    dealt = sides.select("a", "b", "both", "side", "line").repartition(tasks, "a", "b")
+    bins = [units(F.max(F.when(F.col("side") == i, F.col("line")))).alias(c) for i, c in enumerate(("x", "y"))]
+    wording = dealt.groupBy("a", "b", "both").agg(*bins)
+    size = runs(F.greatest(F.octet_length("x"), F.octet_length("y")))
+    short = wording.where(size <= LONG).select("a", "b", "both", F.size(F.array_intersect(hashes("x"), hashes("y"))).alias("common"))
+    sides = wording.where(size > LONG).select("a", "b", "both", F.posexplode(F.array("x", "y")).alias("side", "bin"))
+    each = sides.select("a", "b", "both", "side", "bin", F.explode(F.sequence(F.lit(0), runs(F.octet_length("bin")) - 1)).alias("at"))
+    found = each.select("a", "b", "both", "side", hash_at("bin", F.col("at")).alias("h")).groupBy("a", "b", "both", "h").agg(F.min("side").alias("low"), F.max("side").alias("high"))
+    long = found.groupBy("a", "b", "both").agg(F.sum(F.col("high") - F.col("low")).alias("common"))
+    return short.unionByName(long).where(F.col("common") >= threshold * (F.col("both") - F.col("common"))).select("a", "b")
 
 
 def apart_pairs(named: DataFrame, sketched: DataFrame) -> DataFrame:

@@ -189,6 +189,83 @@ def test_line_screen_of_repeated_shingles(spark):
     assert len(alike) > 30 and alike <= passed and len(passed) < len(pairs)
 
 
+def _char_shingles(line):
+    data = line.encode("utf-16-be")
+    return {data[i : i + 16] for i in range(0, max(len(data) - 15, 1), 2)}
+
+
+def test_line_sketches_count_distinct_shingles_and_keep_dissimilar_lines_out(spark):
+    """Lines whose similarity is 0.70: a count that allows for repeated shingles let them through, as many as a group has pairs."""
+    F, r = op1_line_dedup.F, random.Random(17)
+    lines = []
+    for _ in range(20):
+        base = r.choices("abcdefghijklmnopqrstuvwxyz ", k=540)
+        lines.append("".join(base))
+        for at in r.sample(range(20, 520, 12), 12):
+            base[at] = "#"
+        lines.append("".join(base))
+    sets = [_char_shingles(x) for x in lines]
+    assert all(0.68 < len(a & b) / len(a | b) < 0.74 for a, b in zip(sets[::2], sets[1::2], strict=True))
+    nodes = spark.createDataFrame(list(enumerate([*lines, "ab" * 300, "short"])), "node bigint, line string").select("node", op1_line_dedup.units().alias("bin"))
+    bits = op1_line_dedup.sketches(nodes.repartition("node")).localCheckpoint()
+    assert {x["node"]: x["n"] for x in bits.collect()} == dict(enumerate([*map(len, sets), 2, 1]))
+    both = bits.alias("l").join(bits.alias("r"), F.expr("l.node + 1 = r.node and l.node % 2 = 0 and r.node < 40"))
+    assert both.where(op1_line_dedup.near(F.col("l.n") + F.col("r.n"), F.col("l.bits"), F.col("r.bits"))).count() == 0
+
+
+def test_line_pairs_are_verified_alike_as_arrays_and_as_rows(spark, monkeypatch):
+    """Surrogates, line separators and short lines too; ``LONG`` decides the way, not the result."""
+    F, r = op1_line_dedup.F, random.Random(18)
+    alphabet = "abcdefgh \u0000\u00e4\u4e2d\u2028\x85\U0001f600\U0001f680"
+    lines = ["\U0001f600", "seven c", "seven cs", "ab" * 200, "ab" * 300]
+    for n in (9, 30, 200, 700):
+        base = r.choices(alphabet, k=n)
+        lines.append("".join(base))
+        for k in range(4):
+            base[r.randrange(n)] = "x"
+            lines.append("".join(base) + "tail" * k)
+    sets = [_char_shingles(x) for x in lines]
+    pairs = [(i, j) for i in range(len(lines)) for j in range(i + 1, len(lines))]
+    expected = {(i, j) for i, j in pairs if len(sets[i] & sets[j]) >= 0.75 * len(sets[i] | sets[j])}
+    assert 5 < len(expected) < len(pairs) - 5
+    texts = spark.createDataFrame(list(enumerate(lines)), "node bigint, line string")
+    nodes = texts.select("node", op1_line_dedup.units().alias("bin")).repartition("node").localCheckpoint()
+    found = []
+    for long in (50_000, 100, 1):
+        monkeypatch.setattr(op1_line_dedup, "LONG", long, raising=False)
+        bits = op1_line_dedup.sketches(nodes).localCheckpoint()
+        found.append(sorted((x["node"], x["n"], tuple(x["bits"])) for x in bits.collect()))
+        got = op1_line_dedup.similar(spark.createDataFrame(pairs, "a bigint, b bigint"), texts, bits)
+        assert {tuple(x) for x in got.collect()} == expected
+    assert found[0] == found[1] == found[2]
+
+
+def test_verified_line_pairs_are_no_rows_of_shingles(spark):
+    """One line beside 40 near copies: no operator makes more rows than there are sides of pairs."""
+    F, r = op1_line_dedup.F, random.Random(19)
+    base = "".join(r.choices("abcdefghijklmnopqrstuvwxyz ", k=600))
+    texts = spark.createDataFrame([(i, base[: 10 * i] + "#" + base[10 * i :]) for i in range(41)], "node bigint, line string")
+    bits = op1_line_dedup.sketches(texts.select("node", op1_line_dedup.units().alias("bin")).repartition("node")).localCheckpoint()
+    found = op1_line_dedup.similar(spark.createDataFrame([(0, i) for i in range(1, 41)], "a bigint, b bigint"), texts, bits)
+    plan = found._jdf.queryExecution().executedPlan()
+    assert len(found._jdf.collectAsList()) == 40
+    made, todo = [], [plan]
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+            continue
+        if "QueryStage" in name:
+            todo.append(node.plan())
+            continue
+        rows = node.metrics().get("numOutputRows")
+        if name == "Generate" and rows.isDefined():
+            made.append(rows.get().value())
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    assert made and max(made) <= 80
+
+
 def test_components_of_stars_take_no_round(spark, monkeypatch):
     """Edges that already hang on the smallest node of their component are written once, others until they do."""
     from logspark.llm import graph
