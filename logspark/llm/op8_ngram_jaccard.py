@@ -41,6 +41,8 @@ from .wordcodes import mix, windows, words
 
 WORDS = 5
 SAMPLE_DOCS, HOT_SHARE = 5_000, 0.004
+#: Documents with a shingle, from which on it is frequent in tables of any size; how often the sample then has it; frequent shingles at most.
+HOT_DOCS, HOT_SEEN, HOT_MOST = 200, 8, 200_000
 CHUNK, LEAF, QUERIES = 4096, 32, 512
 #: Blocks of each smallest member that the first round joins; the second joins all that still hold several components.
 FIRST_BLOCKS = 4
@@ -190,8 +192,12 @@ def leader_pairs(nodes: np.ndarray, sizes: np.ndarray, vectors: list[np.ndarray]
 
 
 def hot_shingles(docs: DataFrame, n_docs: int) -> np.ndarray:
-    """Shingles in at least ``HOT_SHARE`` of a sample of documents; at most (mean set size / HOT_SHARE) of them."""
-    step = max(1, n_docs // SAMPLE_DOCS)
+    """Shingles that a sample shows to be in some ``HOT_DOCS`` documents, or in ``HOT_SHARE`` of all if that is fewer; the ``HOT_MOST`` most frequent.
+
+    With a share alone, blocks would grow with the table and their pairs with its square. The sample grows with the table
+    (a document in 25), so that it has such shingles often enough to tell.
+    """
+    step = max(1, min(n_docs // SAMPLE_DOCS, HOT_DOCS // HOT_SEEN))
     sample = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(step)) == 0)
 
     def run(batches):
@@ -201,8 +207,9 @@ def hot_shingles(docs: DataFrame, n_docs: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n, pa.int64())], ["key", "n"])
 
     counted = sample.mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
-    least = max(8, HOT_SHARE * n_docs / step)
-    return np.sort(np.array([r["key"] for r in counted.where(F.col("n") >= least).select("key").collect()], np.int64).view(np.uint64))
+    least = max(HOT_SEEN, min(HOT_SHARE * n_docs, HOT_DOCS) / step)
+    top = counted.where(F.col("n") >= least).orderBy(F.desc("n"), "key").limit(HOT_MOST).select("key")
+    return np.sort(top.toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64))
 
 
 def prefix(shingles: np.ndarray, hot: np.ndarray) -> np.ndarray:

@@ -611,3 +611,13 @@ def test_suffix_dedup_of_periodic_texts(spark):
     rows = [(1, "spam " * 3000), (2, "x" + "spam " * 100), (3, "none of it")]
     got = {g["doc_id"]: g["n_removed"] for g in op10_suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert got == {1: 15000, 2: 500, 3: 0}
+
+
+def test_ngram_jaccard_blocks_do_not_grow_with_the_table(spark):
+    """A passage in 600 of 300,000 documents, 0.2 % of them, counts as frequent; one in a few does not."""
+    F = op8_ngram_jaccard.F
+    text = F.when(F.col("id") % 500 == 0, "one common passage of words").when(F.col("id") % 30_000 == 1, "a rare passage of words").otherwise(F.concat(F.col("id").cast("string"), F.lit(" own words of it")))
+    docs = spark.range(300_000).select(F.col("id").alias("doc_id"), text.alias("text"))
+    common, rare = (set(s.tolist()) for _, s in op8_ngram_jaccard.shingle_sets(op8_ngram_jaccard.pa.array(["one common passage of words", "a rare passage of words"])))
+    hot = set(op8_ngram_jaccard.hot_shingles(docs, 300_000).tolist())
+    assert hot == common and not hot & rare
