@@ -4,8 +4,8 @@ Lines are compared lower-cased and without surrounding white space. Their
 similarity is that of their sets of character shingles: every run of eight
 characters (UTF-16 units), or the whole line where it is shorter.
 
-1. Equal lines become one node, kept once with its wording, its number and its
-   first place; they are pre-aggregated before the shuffle.
+1. Equal lines become one node, kept once with its wording and its number; they
+   are pre-aggregated before the shuffle.
 2. All shingles of a node are hashed once; XOR with fixed constants gives the
    permutations, whose minima form the signature. The constants differ in their
    first bits and agree in the rest, so that only hashes with a small rest can
@@ -14,7 +14,8 @@ characters (UTF-16 units), or the whole line where it is shorter.
 3. Bands of the signature form buckets. Within a bucket each node is paired
    with the line that occurs most often; further turns pair those still apart
    with two members of its largest component. So large groups come together
-   by few pairs. Then all pairs still apart are tested, in buckets of any size.
+   by few pairs; where few comparisons are left, turns are left out. Then all
+   pairs still apart are tested, in buckets of any size.
 4. Pairs are screened by sketches of 1792 bits, each telling whether an odd
    number of a set's distinct shingles hash to it: two sketches differ in no more
    bits than the sets do in shingles, and similar sets differ in at most a seventh
@@ -39,6 +40,8 @@ the others lose all their lines. Empty tables give empty results.
 from __future__ import annotations
 
 import random
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,7 +57,11 @@ PER_MINIMUM, BINS = 4, 32
 WORDS = 28
 #: Shingles, repeated ones included, up to which a line's are held as one array; those of longer lines are rows.
 LONG = 50_000
+#: Shingles hashed in one row for the sketches.
+CHUNK = 16
 TURNS = 3
+#: Comparisons for each row of a bucket that cost less than one more turn does.
+FEW = 8
 BLOCK = 256
 BLANKS = " \t\r\f\u000b"
 _REST = random.Random(1).getrandbits(27)
@@ -63,7 +70,9 @@ _MASKS = [((i << 27) | _REST) - (1 << 32) * (i >= 16) for i in range(BANDS * ROW
 
 
 def normal(line: Column) -> Column:
-    return F.lower(F.btrim(line, F.lit(BLANKS)))
+    # Trimming by a set of characters reads the whole line, so only lines with a blank at an end are trimmed.
+    ends = [at(line, F.lit(c)) for c in BLANKS for at in (F.startswith, F.endswith)]
+    return F.lower(F.when(reduce(or_, ends), F.btrim(line, F.lit(BLANKS))).otherwise(line))
 
 
 def row_key(doc_id: str | Column = "doc_id", text: str | Column = "text") -> Column:
@@ -91,16 +100,10 @@ def hash_at(bin_: str | Column, at: Column) -> Column:
     return F.xxhash64(F.substring(bin_, at * 2 + 1, F.lit(2 * SHINGLE)))
 
 
-def hash_as_text(bin_: str | Column, at: Column) -> Column:
-    """The hash that :func:`hashes` has for the same shingle."""
-    return F.xxhash64(F.decode(F.substring(bin_, at * 2 + 1, F.lit(2 * SHINGLE)), "ISO-8859-1"))
-
-
 def hashes(bin_: str) -> Column:
-    """Hashes of all shingles, repeated ones included, as an array.
+    """Hashes of all shingles, repeated ones included, as an array made within the row.
 
-    One regular expression cuts all runs out, of a text with a character for each byte: that takes a fraction of the time
-    of cutting them one by one, or of a row for each.
+    One regular expression cuts all runs out, of a text with a character for each byte.
     """
     text = F.decode(bin_, "ISO-8859-1")
     cut = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{2 * SHINGLE}}})).."), F.lit(1))
@@ -128,9 +131,12 @@ def sketches(wording: DataFrame) -> DataFrame:
     bit = F.expr("shiftleft(1L, cast(shiftright(h, 8) & 63 as int))")
     word = F.pmod("h", F.lit(WORDS)).alias("word")
     size = runs(F.octet_length("bin"))
-    short = wording.where(size <= LONG).select("node", F.explode(F.array_distinct(hashes("bin"))).alias("h"))
+    # Hashes as arrays of a few, a row for each: they are cut by compiled code, which no function of whole arrays is.
+    some = wording.where(size <= LONG).select("node", "bin", size.alias("size"), F.explode(F.sequence(F.lit(0), size - 1, F.lit(CHUNK))).alias("at"))
+    chunks = some.select("node", F.array(*[hash_at("bin", F.least(F.col("at") + i, F.col("size") - 1)) for i in range(CHUNK)]).alias("chunk"))
+    short = chunks.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("chunk"))).alias("set")).select("node", F.explode("set").alias("h"))
     each = wording.where(size > LONG).select("node", "bin", F.explode(F.sequence(F.lit(0), size - 1)).alias("at"))
-    long = each.select("node", hash_as_text("bin", F.col("at")).alias("h")).groupBy("node", "h").agg(F.lit(1).alias("one"))
+    long = each.select("node", hash_at("bin", F.col("at")).alias("h")).groupBy("node", "h").agg(F.lit(1).alias("one"))
 
     # One row a word first: few rows then meet the columns of all words.
     columns = [F.bit_xor(F.when(F.col("word") == i, F.col("bits")).otherwise(F.lit(0).cast("bigint"))).alias(f"w{i}") for i in range(WORDS)]
@@ -159,14 +165,15 @@ def shared_buckets(buckets: DataFrame) -> DataFrame:
 
     Near copies differ less from their original than from each other, and lines that nobody changed repeat it.
     """
-    ends = buckets.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.max("n").alias("top")).where("low <> high").select("bucket", "top")
-    ends = save(ends, "ends")
+    # Dealt once: the buckets' ends and the join read the same shuffle, and nearly all buckets are of one node, so nothing is
+    # gained by aggregating before it.
+    dealt = buckets.repartition("bucket")
+    ends = dealt.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.max("n").alias("top")).where("low <> high").select("bucket", "top")
+    shared = save(dealt.join(ends.hint("shuffle_hash"), "bucket"), "shared")
     release(buckets.sparkSession)
-    shared = save(buckets.join(ends, "bucket"), "shared")
     leads = shared.where("n = top").groupBy("bucket").agg(F.min("node").alias("lead"))
     out = save(shared.join(leads, "bucket").select("bucket", "node", "n", "lead"), "shared")
-    for old in (ends, shared):
-        drop_saved(old)
+    drop_saved(shared)
     return out
 
 
@@ -198,6 +205,13 @@ def similar(pairs: DataFrame, texts: DataFrame, sketched: DataFrame, threshold:
     return short.unionByName(long).where(F.col("common") >= threshold * (F.col("both") - F.col("common"))).select("a", "b")
 
 
+def comparisons(named: DataFrame) -> int:
+    """How many pairs :func:`apart_pairs` has to screen, at most."""
+    sizes = named.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    whole = sizes.groupBy("bucket").agg(F.max("n").alias("most"), F.sum("n").alias("all"))
+    return whole.agg(F.sum((F.col("all") - F.col("most")) * F.col("all").cast("double"))).first()[0] or 0
+
+
 def apart_pairs(named: DataFrame, sketched: DataFrame) -> DataFrame:
     """x, y and ``gap`` (smaller: likelier) of all nodes of a bucket in different components, whose sketches are near enough.
 
@@ -212,6 +226,8 @@ def apart_pairs(named: DataFrame, sketched: DataFrame) -> DataFrame:
     one = rows.where("component <> lead").select("bucket", "part", every.alias("other"), F.col("node").alias("x"), F.col("component").alias("cx"), F.col("lead").alias("lx"), F.col("n").alias("m"), F.col("bits").alias("p"))
     two = rows.select("bucket", every.alias("part"), F.col("part").alias("other"), F.col("node").alias("y"), F.col("component").alias("cy"), F.col("n"), F.col("bits").alias("q"))
     met = one.join(two, ["bucket", "part", "other"]).where("cx <> cy and (cy = lx or x < y)").where(near(F.col("m") + F.col("n"), F.col("p"), F.col("q")))
+    # The gap comes after a shuffle: beside the screen, it makes the join's method too long for the JVM to compile.
+    met = met.select("x", "y", "m", "n", "p", "q").repartition("x", "y")
     return met.select("x", "y", (differing(F.col("p"), F.col("q")) / (F.col("m") + F.col("n"))).alias("gap")).distinct()
 
 
@@ -267,6 +283,8 @@ def line_components(nodes: DataFrame) -> DataFrame:
 
     for turn in range(TURNS):  # those of a bucket still apart, with other members of its largest component
         named = with_components()
+        if comparisons(named) <= FEW * named.count():
+            break
         way = F.xxhash64("node", F.lit(turn))
         reps = F.array(F.max_by("node", F.struct("n", way)), F.min_by("node", way))
         sizes = named.groupBy("bucket", "component").agg(F.count("*").alias("all"), reps.alias("reps"))
@@ -274,7 +292,8 @@ def line_components(nodes: DataFrame) -> DataFrame:
         apart = named.join(lead, "bucket").where(F.col("component") != F.col("lead.component"))
         test(pairs_with(apart, "node", F.col("lead.reps")))
         drop_saved(named)
-    named = with_components()
+    else:
+        named = with_components()
     apart = save(apart_pairs(named, sketched), "apart")
     pair = F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")
     test(apart.groupBy("x").agg(F.min_by("y", F.struct("gap", "y")).alias("y")).select(*pair).distinct())
@@ -292,22 +311,23 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     lines = lines_of(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    place = F.struct("doc_id", "row", "pos")
-    nodes = lines.groupBy("node").agg(F.min("line").alias("line"), F.min(place).alias("first"), F.count("*").alias("n"))
-    nodes = save(nodes, "nodes")
+    # By node and wording, as a hash aggregation; minima of wordings or places would sort all lines.
+    nodes = save(lines.groupBy("node", "line").agg(F.count("*").alias("n")), "nodes")
     release(spark)
     linked = line_components(nodes)
     found = linked.unionByName(linked.select(F.col("component").alias("node"), "component").distinct())  # it has no row for the smallest
-    named = nodes.join(found, "node", "left").where("n > 1 or component is not null").select("node", "first", "n", F.coalesce("component", "node").alias("component"))
-    named = save(named, "named")
+    repeated = nodes.join(found, "node", "left").where("n > 1 or component is not null").select("node", F.coalesce("component", "node").alias("component"))
+    repeated = save(repeated, "repeated")
     drop_saved(linked)
     drop_saved(nodes)
-    firsts = save(named.groupBy("component").agg(F.min("first").alias("kept"), F.sum("n").alias("all")).where("all > 1"), "firsts")
-    repeated = save(named.join(firsts, "component").select("node", "kept"), "repeated")
     release(spark)
     # All places of repeated lines; the one that stays is marked, as another row may be equal to its row.
-    gone = save(lines.select("row", "doc_id", "pos", "node").join(repeated, "node").select("row", "pos", place.eqNullSafe(F.col("kept")).alias("stays")), "gone")
-    for old in (named, firsts, repeated):
+    places = save(lines.select("row", "doc_id", "pos", "node").join(repeated, "node").select("row", "doc_id", "pos", "component"), "places")
+    release(spark)
+    place = F.struct("doc_id", "row", "pos")
+    firsts = places.groupBy("component").agg(F.min(place).alias("kept"))
+    gone = save(places.join(firsts, "component").select("row", "pos", place.eqNullSafe(F.col("kept")).alias("stays")), "gone")
+    for old in (repeated, places):
         drop_saved(old)
     release(spark)
     per_row = gone.groupBy(F.col("row").alias("_row")).agg(F.collect_set("pos").alias("_all"), F.collect_set(F.when(F.col("stays"), F.col("pos"))).alias("_stay"))

@@ -266,6 +266,28 @@ def test_verified_line_pairs_are_no_rows_of_shingles(spark):
     assert made and max(made) <= 80
 
 
+def test_line_screens_are_compiled(spark):
+    """The JVM leaves methods of over 8000 bytes to its interpreter; each comparison of a bucket then takes some 20 microseconds."""
+    nodes = spark.createDataFrame([(1, "one line of text"), (2, "one line of texts"), (3, "quite another line")], "node bigint, line string")
+    bits = op1_line_dedup.sketches(nodes.select("node", op1_line_dedup.units().alias("bin")).repartition("node")).localCheckpoint()
+    named = spark.createDataFrame([(7, i, 1, i) for i in (1, 2, 3)], "bucket bigint, node bigint, n bigint, component bigint")
+    pairs = spark.createDataFrame([(1, 2)], "a bigint, b bigint")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else the plan has its code only after a run
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        for broadcast in (threshold, "-1"):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+            for df in (op1_line_dedup.apart_pairs(named, bits), op1_line_dedup.similar(pairs, nodes, bits)):
+                code = df._jdf.queryExecution().debug().codegenToSeq()
+                assert 0 < max(code.apply(i)._3().maxMethodCodeSize() for i in range(code.size())) <= 8000
+        found = op1_line_dedup.apart_pairs(named, bits).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert [{r["x"], r["y"]} for r in found] == [{1, 2}] and 0 < found[0]["gap"] < 0.1
+    assert op1_line_dedup.comparisons(named) == 6 and op1_line_dedup.comparisons(named.where("node = 1")) == 0
+
+
 def test_components_of_stars_take_no_round(spark, monkeypatch):
     """Edges that already hang on the smallest node of their component are written once, others until they do."""
     from logspark.llm import graph
