@@ -116,10 +116,10 @@ def signatures(nodes: DataFrame) -> DataFrame:
     each = nodes.withColumnRenamed("n", "copies").select("node", "copies", "bin", runs(F.octet_length("bin")).alias("n"))
     most = (F.least(F.lit(1.0), F.lit(float(BINS * PER_MINIMUM)) / F.col("n")) * float(1 << 27)).cast("bigint")
     each = each.select("node", "copies", "bin", most.alias("most"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("at"))
-    hashed = each.select("node", "copies", "most", F.shiftright(hash_at("bin", F.col("at")), 32).alias("h"))
+    hashed = each.select("node", "copies", "most", F.shiftright(hash_at("bin", F.col("at")), 32).cast("int").alias("h"))
     small = hashed.where(F.col("h").bitwiseXOR(F.lit(_REST)).bitwiseAND(F.lit((1 << 27) - 1)) < F.col("most"))
-    least = small.groupBy("node", "copies").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(m).cast("bigint"))).alias(f"m{i}") for i, m in enumerate(_MASKS)])
-    return least.select("node", F.col("copies").alias("n"), F.array(*[F.col(f"m{i}").cast("int") for i in range(len(_MASKS))]).alias("sig"))
+    least = small.groupBy("node", "copies").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{i}") for i, m in enumerate(_MASKS)])
+    return least.select("node", F.col("copies").alias("n"), F.array(*[f"m{i}" for i in range(len(_MASKS))]).alias("sig"))
 
 
 def bands() -> Column:
@@ -325,9 +325,10 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     places = save(lines.select("row", "doc_id", "pos", "node").join(repeated, "node").select("row", "doc_id", "pos", "component"), "places")
     release(spark)
     place = F.struct("doc_id", "row", "pos")
-    firsts = places.groupBy("component").agg(F.min(place).alias("kept"))
+    # Stored, so that Spark can split the places of a very common line between tasks of the join.
+    firsts = save(places.groupBy("component").agg(F.min(place).alias("kept")), "firsts")
     gone = save(places.join(firsts, "component").select("row", "pos", place.eqNullSafe(F.col("kept")).alias("stays")), "gone")
-    for old in (repeated, places):
+    for old in (repeated, places, firsts):
         drop_saved(old)
     release(spark)
     per_row = gone.groupBy(F.col("row").alias("_row")).agg(F.collect_set("pos").alias("_all"), F.collect_set(F.when(F.col("stays"), F.col("pos"))).alias("_stay"))
