@@ -510,19 +510,29 @@ def label_windows_50(spark, sf):
     return label_windows(A.doc_lines(spark, sf)).drop("request")
 
 
+#: Lines of each of the logs that labels are about, whole windows; a label moved by as many lies beyond its log.
+LOG_LINES = 1_000_000
+
+
+def _log_of(line_number):
+    """Name of the log that holds a line of the events: they are cut to logs, whatever their number, and keep their line numbers."""
+    return F.concat(F.lit("events/"), F.floor((line_number - 1) / LOG_LINES).cast("string"))
+
+
 def _labels(spark, sf):
-    """Labels of windows, one for each event that is an error or a sign-up, with some that point beyond the log."""
+    """Labels of windows, one for each event that is an error or a sign-up, with some that point beyond their log."""
     e = A.events_entries(spark, sf).where("level <> 'DEBUG'")
     start = F.floor((F.col("line_number") - 1) / WINDOW) * WINDOW + 1
     return e.select(
-        F.concat(F.lit("events_"), start.cast("string")).alias("custom_id"), (F.col("line_number") - start + 1 + F.when(F.col("line_number") % 10 == 0, 1_000_000).otherwise(0)).alias("window_line"),
+        F.concat_ws("_", _log_of(F.col("line_number")), start.cast("string")).alias("custom_id"), (F.col("line_number") - start + 1 + F.when(F.col("line_number") % 10 == 0, LOG_LINES).otherwise(0)).alias("window_line"),
         F.when(F.col("level") == "ERROR", "LOOK").otherwise("SKIP").alias("label"), F.lit("").alias("reason"),
     )
 
 
 @register("label_remap", f"WITH {EVENTS} SELECT 'events' AS system, line_number + CASE WHEN line_number % 10 = 0 THEN 1000000 ELSE 0 END AS line_number, CASE WHEN line_number % 10 = 0 THEN '' ELSE message END AS raw_line, CASE WHEN level = 'ERROR' THEN 'LOOK' ELSE 'SKIP' END AS label, '' AS reason FROM e WHERE level <> 'DEBUG'")
 def label_remap(spark, sf):
-    return remap_labels(_labels(spark, sf), A.events_entries(spark, sf).withColumn("file_path", F.lit("events")))
+    remapped = remap_labels(_labels(spark, sf), A.events_entries(spark, sf).withColumn("file_path", _log_of(F.col("line_number"))))
+    return remapped.withColumn("system", F.regexp_extract("system", "^[^/]+", 0))
 
 
 @register("new_datasets_anti", "SELECT CAST(doc_id AS VARCHAR) AS dataset FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")

@@ -31,3 +31,14 @@ def test_query(spark, duck, name):
         result = duck.execute(SQL[name])
         columns = [d[0] for d in result.description]
         assert _rows(rows, df.columns) == _rows(result.fetchall(), columns)
+
+
+def test_labels_beyond_long_logs(spark, tmp_path):
+    duck = duckdb.connect()
+    few = f"select * from (select * from '{SF}/events.parquet' order by event_id limit 300)"
+    duck.execute(f"copy ({few} union all select * replace (event_id + 1000000 as event_id) from ({few})) to '{tmp_path}/events.parquet' (format parquet)")
+    duck.execute(f"create view events as select * from '{tmp_path}/events.parquet'")
+    df = QUERIES["label_remap"](spark, str(tmp_path))
+    result = duck.execute(SQL["label_remap"])
+    columns = [d[0] for d in result.description]
+    assert _rows(df.collect(), df.columns) == _rows(result.fetchall(), columns)
