@@ -27,6 +27,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 LABELS = ("A", "B", "C")
+#: Lines of a written log's parts, and of each of the logs that labels are about (whole windows): a label moved by as many lies beyond its log.
+LOG_LINES = 1_000_000
 #: DuckDB's word boundaries know ASCII letters only: an underscore on both sides makes other characters part of a word.
 MARKED = "regexp_replace({}, '([^\\x00-\\x7F])', '_\\1_', 'g')"
 WORD_SQL = r"[\p{L}\p{M}\p{N}_]"
@@ -472,29 +474,34 @@ def previous_run(spark, sf):
 
 
 # --- Files --------------------------------------------------------------------------------------------------------
+def _in_order(df: DataFrame) -> DataFrame:
+    """``df`` by line_number, in parts of some LOG_LINES rows, so that no task sorts or writes the whole of it."""
+    return df.repartitionByRange(max(1, -(-df.count() // LOG_LINES)), "line_number").sortWithinPartitions("line_number")
+
+
 def _written(spark, df: DataFrame, name: str, kind: str, **options) -> str:
-    """A folder with ``df`` as one file, in the shared folder if the session names one."""
+    """A folder with a file for each part of ``df``, in the shared folder if the session names one."""
     top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
     path = f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.coalesce(1).write.options(**options).format(kind).save(path)
+    df.write.options(**options).format(kind).save(path)
     return path
 
 
 _FILE_SQL = f"WITH {EVENTS} SELECT line_number, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') || ' ' || level || ' ' || message AS raw FROM e"
 for _name, _options in (("text", {}), ("gzip", {"compression": "gzip"})):
-    register(f"source_{_name}_file", _FILE_SQL)(lambda spark, sf, name=_name, options=_options: read_lines(spark, _written(spark, A.events_raw(spark, sf).coalesce(1).sortWithinPartitions("line_number").select("raw"), name, "text", **options)).select("line_number", "raw"))
+    register(f"source_{_name}_file", _FILE_SQL)(lambda spark, sf, name=_name, options=_options: read_lines(spark, _written(spark, _in_order(A.events_raw(spark, sf)).select("raw"), name, "text", **options), parts=True).select("line_number", "raw"))
 
 
 @register("source_file_entries", f"WITH {EVENTS} SELECT line_number, ts, level, message FROM e")
 def source_file_entries(spark, sf):
-    """A file, read, numbered, detected, parsed and merged."""
-    path = _written(spark, A.events_raw(spark, sf).coalesce(1).sortWithinPartitions("line_number").select("raw"), "entries", "text")
-    return to_entries(read_lines(spark, path)).select("line_number", "ts", "level", "message")
+    """A log, written in parts, read, numbered, detected, parsed and merged."""
+    path = _written(spark, _in_order(A.events_raw(spark, sf)).select("raw"), "entries", "text")
+    return to_entries(read_lines(spark, path, parts=True)).select("line_number", "ts", "level", "message")
 
 
 @register("source_csv_truth", f"WITH {EVENTS} SELECT line_number, CASE WHEN level = 'DEBUG' THEN 'SKIP' ELSE 'LOOK' END AS label FROM e")
 def source_csv_truth(spark, sf):
-    rows = A.events_entries(spark, sf).coalesce(1).sortWithinPartitions("line_number").select(F.when(F.col("level") == "DEBUG", "-").otherwise(F.col("level")).alias("Label"), "message")
+    rows = _in_order(A.events_entries(spark, sf)).select(F.when(F.col("level") == "DEBUG", "-").otherwise(F.col("level")).alias("Label"), "message")
     return read_csv_truth(spark, _written(spark, rows, "truth", "csv", header="true"))
 
 
@@ -510,10 +517,6 @@ def label_windows_50(spark, sf):
     return label_windows(A.doc_lines(spark, sf)).drop("request")
 
 
-#: Lines of each of the logs that labels are about, whole windows; a label moved by as many lies beyond its log.
-LOG_LINES = 1_000_000
-
-
 def _log_of(line_number):
     """Name of the log that holds a line of the events: they are cut to logs, whatever their number, and keep their line numbers."""
     return F.concat(F.lit("events/"), F.floor((line_number - 1) / LOG_LINES).cast("string"))

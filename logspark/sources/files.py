@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.predicates import LogQueryError
+from ..plans.formats import held
 
 LABEL_SCHEMA = "system string, line_number bigint, raw_line string, label string, reason string"
 
@@ -28,26 +29,38 @@ def validate_paths(spark: SparkSession, paths: Sequence[str]) -> None:
             raise LogQueryError(f"File not readable: {path}") from e
 
 
-def read_lines(spark: SparkSession, paths: str | Sequence[str], recursive: bool = False) -> DataFrame:
+def _place() -> list[Column]:
+    """Where a row of a scan of files stands: file, block, and an id that grows within the block."""
+    file = F.regexp_replace("_metadata.file_path", "^file:(//)?", "")
+    return [file.alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id")]
+
+
+def _numbered(scan: DataFrame, log: Column) -> DataFrame:
+    """``scan`` with ``line_number``, the row's place in its ``log``: that of a block's first row, and the row's place in its block.
+
+    It has the columns of :func:`_place`. No file comes to one task: each block counts its rows, and the
+    counts of the blocks before it, files by name, are added. A scan gives the same rows the same ids each time, so both uses
+    of it agree. Blocks are counted here and now, so that a log of many uses is counted once and is not shuffled to meet its counts.
+    """
+    blocks = scan.groupBy(log.alias("_log"), "file", "block").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    before = F.sum("n").over(W.partitionBy("_log").orderBy("file", "block").rowsBetween(W.unboundedPreceding, -1))
+    blocks, _ = held(blocks.select("file", "block", (F.coalesce(before, F.lit(0)) - F.col("first") + 1).alias("_shift")))
+    return scan.join(blocks, ["file", "block"]).withColumn("line_number", F.col("id") + F.col("_shift"))
+
+
+def read_lines(spark: SparkSession, paths: str | Sequence[str], recursive: bool = False, parts: bool = False) -> DataFrame:
     """file_path, line_number (from 1), raw; with ``recursive`` all *.log files below directories.
 
-    Lines are numbered without bringing a file to one task: each file block counts its rows, and the running
-    counts of a file's blocks are added to the row's place in its block. A scan gives the same rows the same ids
-    each time, so both uses of it agree.
+    With ``parts`` the files of a folder are one log, in the order of their names, and file_path is the folder.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     validate_paths(spark, paths)
     reader = spark.read
     if recursive:
         reader = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.log")
-    scan = reader.text(paths).select(
-        F.regexp_replace("_metadata.file_path", "^file:(//)?", "").alias("file_path"), F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("id"), F.make_valid_utf8("value").alias("raw"),
-    )
-    blocks = scan.groupBy("file_path", "block").agg(F.count("*").alias("n"), F.min("id").alias("first"))
-    before = F.sum("n").over(W.partitionBy("file_path").orderBy("block").rowsBetween(W.unboundedPreceding, -1))
-    blocks = blocks.select("file_path", "block", "first", F.coalesce(before, F.lit(0)).alias("before"))
-    return scan.join(blocks, ["file_path", "block"]).select("file_path", (F.col("before") + F.col("id") - F.col("first") + 1).alias("line_number"), "raw")
+    scan = reader.text(paths).select(*_place(), F.make_valid_utf8("value").alias("raw"))
+    log = F.regexp_replace("file", "/[^/]*$", "") if parts else F.col("file")
+    return _numbered(scan, log).select(log.alias("file_path"), "line_number", "raw")
 
 
 def count_lines(lines: DataFrame) -> DataFrame:
@@ -80,11 +93,8 @@ def read_csv_truth(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.option("header", "true").csv(path)
     if "LineId" in rows.columns:
         rows = rows.withColumn("_number", F.col("LineId").try_cast("bigint"))
-    else:  # the row's place in its partition, after the rows of those before it
-        rows = rows.withColumn("_id", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_id", 33))
-        sizes = rows.groupBy("_part").agg(F.count("*").alias("n"), F.min("_id").alias("_first"))
-        sizes = sizes.select("_part", "_first", F.coalesce(F.sum("n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-        rows = rows.join(sizes, "_part").withColumn("_number", F.col("_before") + F.col("_id") - F.col("_first") + 1)
+    else:  # the row's place in the file, or in all files by name
+        rows = _numbered(rows.select("Label", *_place()), F.lit("")).withColumnRenamed("line_number", "_number")
     return rows.select(F.col("_number").alias("line_number"), F.when(F.col("Label") == "-", "SKIP").otherwise("LOOK").alias("label"))
 
 

@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from logspark import queries
 from logspark.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
@@ -42,3 +43,15 @@ def test_labels_beyond_long_logs(spark, tmp_path):
     result = duck.execute(SQL["label_remap"])
     columns = [d[0] for d in result.description]
     assert _rows(df.collect(), df.columns) == _rows(result.fetchall(), columns)
+
+
+@pytest.mark.parametrize("name", ["source_text_file", "source_gzip_file", "source_file_entries", "source_csv_truth"])
+def test_logs_in_parts(spark, duck, name, monkeypatch):
+    written, kept = [], queries._written
+    monkeypatch.setattr(queries, "LOG_LINES", 300)
+    monkeypatch.setattr(queries, "_written", lambda *a, **k: written.append(kept(*a, **k)) or written[-1])
+    df = QUERIES[name](spark, SF)
+    result = duck.execute(SQL[name])
+    columns = [d[0] for d in result.description]
+    assert _rows(df.collect(), df.columns) == _rows(result.fetchall(), columns)
+    assert len(spark.read.text(written[0]).inputFiles()) > 1
