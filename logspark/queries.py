@@ -14,8 +14,9 @@ from .functions import features, normalize, normalize_extended
 from .functions.levels import light_level
 from .functions.predicates import CONTENT_ERROR, ERROR_WORDS, WARN_WORDS, WIDE_ERROR_WORDS, matches
 from .model import LineModel, confusion, keyword_capture, label_windows, new_datasets, remap_labels, sample_evenly, score_lines, split_bgl, validate_labels, with_previous
+from .model.counting import char_document_frequencies, word_document_frequencies
 from .model.labeling import WINDOW
-from .model.tokens import char_ngrams, word_ngrams
+from .model.tokens import word_ngrams
 from .operators.errors import error_candidates
 from .operators.search import scanned
 from .plans import detect_formats, to_entries
@@ -356,8 +357,7 @@ _WORDS = f"w AS (SELECT doc_id, regexp_extract_all(lower(text), '{WORD_SQL}{{2,}
 @register("word_ngrams_df", f"WITH {_WORDS}, g AS (SELECT doc_id, unnest(w) AS gram FROM w UNION SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM w UNION SELECT doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM w) SELECT gram, count(*) AS df FROM g GROUP BY gram HAVING count(*) >= 10")
 def word_ngrams_df(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    grams = docs.select("doc_id", F.explode(F.array_distinct(word_ngrams(F.col("text")))).alias("gram"))
-    return grams.groupBy("gram").agg(F.count("*").alias("df")).where("df >= 10")
+    return word_document_frequencies(docs, F.col("text"), 10)
 
 
 _CHARWB = " UNION ".join(f"SELECT file_path, line_number, unnest(list_transform(range(1, length(p) - {n - 2}), lambda i: substr(p, i, {n}))) AS gram FROM a" for n in (3, 4, 5, 6))
@@ -365,9 +365,7 @@ _CHARWB = " UNION ".join(f"SELECT file_path, line_number, unnest(list_transform(
 
 @register("charwb_ngrams_df", f"WITH {LINES}, a AS (SELECT DISTINCT file_path, line_number, ' ' || x || ' ' AS p FROM (SELECT file_path, line_number, unnest({_W.replace('raw', 'lower(raw)')}) AS x FROM l)), g AS ({_CHARWB}) SELECT gram, count(*) AS df FROM g GROUP BY gram")
 def charwb_ngrams_df(spark, sf):
-    lines = A.doc_lines(spark, sf)
-    grams = lines.select("file_path", "line_number", F.explode(F.array_distinct(char_ngrams(F.col("raw")))).alias("gram"))
-    return grams.groupBy("gram").agg(F.count("*").alias("df"))
+    return char_document_frequencies(A.doc_lines(spark, sf), F.col("raw"))
 
 
 @register("tfidf_weights", f"WITH {_WORDS}, u AS (SELECT doc_id, unnest(w) AS gram FROM w), c AS (SELECT doc_id, gram, count(*) AS n FROM u GROUP BY ALL), f AS (SELECT gram, count(*) AS df FROM c GROUP BY gram), t AS (SELECT count(*) AS n_docs FROM documents) SELECT doc_id, gram, round((1 + ln(n)) * (ln((1.0 + n_docs) / (1 + df)) + 1), 6) AS weight FROM c JOIN f USING (gram), t WHERE df >= 20")

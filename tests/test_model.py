@@ -51,3 +51,30 @@ def test_confusion_and_sample(spark):
     assert confusion(df.where("false")).first()["f1"] == 0
     lines = spark.createDataFrame([("f", i, "plain", 0.9) for i in range(30)] + [("f", 99, "an error", 0.9)], "file_path string, line_number bigint, raw string, p_look double")
     assert sample_unmarked(lines).count() == 20
+
+
+def test_document_frequencies_as_numbers(spark, monkeypatch):
+    """Rows are batches, not a row for each gram, and their counts are those of strings."""
+    from collections import Counter
+
+    from logspark.model import counting
+    from logspark.model.tokens import python_char_ngrams, python_word_ngrams
+
+    texts = ["", " ", "a", "ab ab abab", "the cat the cat sat", "the cat sat", "größe 漢字かな漢字 𝒳𝒴𝒵𝒳𝒴𝒵", "x" * 50, None] * 3 + ["the cat sat down"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    monkeypatch.setattr(counting, "CHUNK", 7)
+    monkeypatch.setattr(counting, "ROWS", 3)
+    want = Counter(g for t in texts if t for g in set(python_char_ngrams(t)))
+    batches = [p.array([list(dict.fromkeys(t.lower().split())) if t else [] for t in texts], p.list_(p.string())) for p in [__import__("pyarrow")]]
+    got = Counter()
+    for b in counting._char_counts(batches[0]):
+        for r in b.to_pylist():
+            got[r["gram"]] += r["n"]
+    assert got == want
+    chars = counting.char_document_frequencies(df, df.t)
+    assert "Generate" not in chars._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["gram"]: r["df"] for r in chars.collect()} == want
+    want = {g: n for g, n in Counter(g for t in texts if t for g in set(python_word_ngrams(t))).items() if n >= 4}
+    assert {r["gram"]: r["df"] for r in counting.word_document_frequencies(df, df.t, 4).collect()} == want
+    monkeypatch.setattr(counting, "BITS", 1)
+    assert {r["gram"]: r["df"] for r in counting.word_document_frequencies(df, df.t, 4).collect()} == want
