@@ -17,6 +17,8 @@ from .tokens import word_ngrams, words
 BITS = 21
 #: Numbers that are sorted at a time, as far as whole lines and documents allow; rows of a batch given away.
 CHUNK, ROWS = 1 << 21, 100_000
+#: Words with their frequencies, or repeated keys, that go to every task; more are joined by a shuffle.
+HELD = 1_000_000
 _indexes: dict = {}
 
 
@@ -173,3 +175,36 @@ def word_document_frequencies(docs: DataFrame, text: Column, least: int) -> Data
     keys = docs.select(words(text).alias("w")).mapInArrow(lambda batches: _word_keys(batches, _index(shared), 3), "key bigint, n bigint")
     longer = keys.repartition(parts, "key").mapInArrow(lambda batches: _frequent(batches, shared.words.value, least), "gram string, df bigint")
     return spark.createDataFrame(found).unionByName(longer)
+
+
+def _held(table: DataFrame) -> tuple[DataFrame, int]:
+    """A table, computed once and made a broadcast side if it has at most ``HELD`` rows, and how many it has, or more than that."""
+    found = table.limit(HELD + 1).toArrow()
+    if found.num_rows > HELD:
+        return table, found.num_rows
+    return F.broadcast(table.sparkSession.createDataFrame(found, table.schema)), found.num_rows
+
+
+def word_counts(docs: DataFrame, key: str, text: Column, least: int) -> tuple[DataFrame, DataFrame]:
+    """(key, gram, n: how often a document has each of its words), and (gram, df: documents with the word) for those in ``least`` or more.
+
+    A document's words are counted in its row, so that they are not shuffled to be counted, nor to meet their frequencies. Only rows
+    that share their key are first brought together, as one document.
+    """
+    rows = docs.select(F.col(key), text.alias("_text"))
+    again = rows.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(F.col(key).alias("_again"))
+    again, n = _held(again)
+    if n:
+        same = F.col(key).eqNullSafe(F.col("_again"))
+        several = rows.join(again, same, "left_semi").groupBy(key).agg(F.flatten(F.collect_list(words(F.col("_text")))).alias("w"))
+        every = rows.join(again, same, "left_anti").select(key, words(F.col("_text")).alias("w")).unionByName(several)
+    else:
+        every = rows.select(key, words(F.col("_text")).alias("w"))
+    df = every.select(F.explode(F.array_distinct("w")).alias("gram")).groupBy("gram").agg(F.count("*").alias("df")).where(F.col("df") >= least)
+    df, _ = _held(df)
+    # Of the sorted words: where each begins, and where the next one does.
+    ordered = every.select(key, F.sort_array("w").alias("_s")).where("size(_s) > 0")
+    begins = F.filter(F.sequence(F.lit(0), F.size("_s") - 1), lambda i: (i == 0) | (F.get("_s", i) != F.get("_s", F.greatest(i - 1, F.lit(0)))))
+    ordered = ordered.withColumn("_b", begins)
+    counts = F.transform("_b", lambda b, k: F.struct(F.get("_s", b).alias("gram"), (F.coalesce(F.get("_b", k + 1), F.size("_s")) - b).cast("bigint").alias("n")))
+    return ordered.select(key, F.inline(counts)), df

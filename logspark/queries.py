@@ -14,9 +14,8 @@ from .functions import features, normalize, normalize_extended
 from .functions.levels import light_level
 from .functions.predicates import CONTENT_ERROR, ERROR_WORDS, WARN_WORDS, WIDE_ERROR_WORDS, matches
 from .model import LineModel, confusion, keyword_capture, label_windows, new_datasets, remap_labels, sample_evenly, score_lines, split_bgl, validate_labels, with_previous
-from .model.counting import char_document_frequencies, word_document_frequencies
+from .model.counting import char_document_frequencies, word_counts, word_document_frequencies
 from .model.labeling import WINDOW
-from .model.tokens import word_ngrams
 from .operators.errors import error_candidates
 from .operators.search import scanned
 from .plans import detect_formats, to_entries
@@ -371,8 +370,7 @@ def charwb_ngrams_df(spark, sf):
 @register("tfidf_weights", f"WITH {_WORDS}, u AS (SELECT doc_id, unnest(w) AS gram FROM w), c AS (SELECT doc_id, gram, count(*) AS n FROM u GROUP BY ALL), f AS (SELECT gram, count(*) AS df FROM c GROUP BY gram), t AS (SELECT count(*) AS n_docs FROM documents) SELECT doc_id, gram, round((1 + ln(n)) * (ln((1.0 + n_docs) / (1 + df)) + 1), 6) AS weight FROM c JOIN f USING (gram), t WHERE df >= 20")
 def tfidf_weights(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    counted = docs.select("doc_id", F.explode(word_ngrams(F.col("text"), 1, 1)).alias("gram")).groupBy("doc_id", "gram").agg(F.count("*").alias("n"))
-    df = counted.groupBy("gram").agg(F.count("*").alias("df")).where("df >= 20")
+    counted, df = word_counts(docs, "doc_id", F.col("text"), 20)
     total = docs.agg(F.count("*").alias("t"))
     joined = counted.join(df, "gram").join(F.broadcast(total))  # a single row
     weight = (1 + F.ln("n")) * (F.ln((1.0 + F.col("t")) / (1 + F.col("df"))) + 1)

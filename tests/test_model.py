@@ -78,3 +78,15 @@ def test_document_frequencies_as_numbers(spark, monkeypatch):
     assert {r["gram"]: r["df"] for r in counting.word_document_frequencies(df, df.t, 4).collect()} == want
     monkeypatch.setattr(counting, "BITS", 1)
     assert {r["gram"]: r["df"] for r in counting.word_document_frequencies(df, df.t, 4).collect()} == want
+
+
+def test_word_counts_in_the_row(spark):
+    """Words are counted without a shuffle of theirs; rows of one key, or of none, are one document."""
+    from logspark.model.counting import word_counts
+
+    df = spark.createDataFrame([(1, "to be or not to be"), (2, "not so"), (2, "so be it"), (None, "be be"), (None, "or"), (3, None), (4, "a")], "k bigint, t string")
+    counted, found = word_counts(df, "k", df.t, 2)
+    assert sorted(map(tuple, counted.collect()), key=str) == sorted([(1, "be", 2), (1, "not", 1), (1, "or", 1), (1, "to", 2), (2, "be", 1), (2, "it", 1), (2, "not", 1), (2, "so", 2), (None, "be", 2), (None, "or", 1)], key=str)
+    assert {r["gram"]: r["df"] for r in found.collect()} == {"be": 3, "not": 2, "or": 2}
+    plan = counted.join(found, "gram")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [k" in plan and "gram" not in "".join(x for x in plan.splitlines() if "Aggregate" in x)
